@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayflow.functions.scalar import clean_visit
-from assayflow.operators import ttest
+from assayflow.operators import ols, ttest
 from assayflow.operators.report import round_doubles
 from assayflow.plans import fixtures as fx
 from assayflow.plans import sqlkit as sk
@@ -143,6 +143,59 @@ def unpaired_t(spark: SparkSession, d: str) -> DataFrame:
     return round_doubles(ttest.unpaired_t(wide, baseline=BASELINE, timepoints=FOLLOWUPS))
 
 
+# --- regression (M1, M2, U1, P1, P2, F1, G4) ------------------------------
+
+TIME_POINT = "1996"
+SWEEP_VARIABLES = ("x_discount", "x_quantity", "x_acctbal")
+
+
+def _assay_tp(spark, d):
+    return fx.assay_long(spark, d).withColumnRenamed("metabolite", "feature_label")
+
+
+_OLS_SRC = (f"SELECT metabolite AS feature_label, level, site, site_num, x_discount, x_quantity, "
+            f"x_acctbal FROM assay_long WHERE time_point = '{TIME_POINT}'")
+
+
+def _ols_oracle(ivs, **kw):
+    body, ctes = sk.ols_sql("src", ivs, **kw)
+    return fx.with_views(body, "assay_long", extra={"src": _OLS_SRC, **ctes})
+
+
+@register("ols_categorical_covariate", _ols_oracle(["x_quantity"], categorical="site"))
+def ols_categorical_covariate(spark: SparkSession, d: str) -> DataFrame:
+    """M1: level ~ C(site) + x_quantity per brand at one time point."""
+    return round_doubles(ols.regress_features(
+        _assay_tp(spark, d), ["x_quantity"], covariate="site", time_point=TIME_POINT,
+        details=True))
+
+
+@register("ols_numeric_covariate", _ols_oracle(["x_quantity"], numeric=["site_num"]))
+def ols_numeric_covariate(spark: SparkSession, d: str) -> DataFrame:
+    """M1: level ~ site_num + x_quantity (numeric covariate enters linearly)."""
+    return round_doubles(ols.regress_features(
+        _assay_tp(spark, d), ["x_quantity"], covariate="site_num", time_point=TIME_POINT,
+        details=True))
+
+
+@register("ols_sweep", _ols_oracle(list(SWEEP_VARIABLES), categorical="site"))
+def ols_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """M2: the variable sweep as one job (x == 0 rows dropped per variable)."""
+    return round_doubles(ols.regress_features(
+        _assay_tp(spark, d), list(SWEEP_VARIABLES), covariate="site", time_point=TIME_POINT,
+        details=True))
+
+
+@register("ols_multi_covariate", _ols_oracle(["x_quantity"], categorical="site",
+                                             numeric=["site_num", "x_acctbal"]))
+def ols_multi_covariate(spark: SparkSession, d: str) -> DataFrame:
+    """Site dummies + two numeric covariates + x; three slope terms are
+    solved per feature by the Arrow-batched solver."""
+    return round_doubles(ols.regress_features(
+        _assay_tp(spark, d), ["x_quantity"], covariate="site",
+        numeric_covariates=["site_num", "x_acctbal"], time_point=TIME_POINT, details=True))
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 
