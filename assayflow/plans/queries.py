@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayflow.functions.scalar import clean_visit
-from assayflow.operators import ols, ttest
+from assayflow.operators import foldchange, multiple, ols, ttest, volcano
 from assayflow.operators.report import round_doubles
 from assayflow.plans import fixtures as fx
 from assayflow.plans import sqlkit as sk
@@ -196,6 +196,228 @@ def ols_multi_covariate(spark: SparkSession, d: str) -> DataFrame:
         numeric_covariates=["site_num", "x_acctbal"], time_point=TIME_POINT, details=True))
 
 
+# --- multiple testing, fold change, volcano (M6-M9, M14-M16, R2, G6, G14, F7, J3) ---
+
+def _welch_ctes(rounded: bool) -> tuple[str, dict[str, str]]:
+    body = sk.ttest_finish("mom", ["Visit", "metabolite"], **sk.welch_parts(nother="nother"),
+                           method=ttest.WELCH_METHOD, rounded=rounded,
+                           extra=[("m0", "estimate1"), ("m1", "estimate2")])
+    return body, {
+        "src": _sql_visits_clean(PLACEBO),
+        "mom": ("SELECT Visit, metabolite, "
+                + sk.welch_moments("Progressive = 0", "Progressive = 1", "level")
+                + ", count(CASE WHEN Progressive NOT IN (0, 1) THEN 1 END) AS nother "
+                "FROM src WHERE level IS NOT NULL AND Progressive IS NOT NULL "
+                "GROUP BY Visit, metabolite"),
+    }
+
+
+def _welch_full(spark, d):
+    return ttest.welch_by_group(_visits_clean(spark, d, PLACEBO), by=["Visit"])
+
+
+_wb, _wc = _welch_ctes(rounded=False)
+
+
+@register("bh_adjust", fx.with_views(
+    "SELECT Visit, metabolite, round(p_value, 6) AS p_value, round(p_bh, 6) AS p_bh FROM bh",
+    "visits_long", extra={**_wc, "w": _wb,
+                          "bh": sk.bh_sql("w", p="p_value", by=["Visit"], order_key="metabolite")}))
+def bh_adjust(spark: SparkSession, d: str) -> DataFrame:
+    """M6: Benjamini-Hochberg per visit over the placebo Welch results."""
+    res = multiple.bh_adjust(_welch_full(spark, d), p="p_value", by=["Visit"])
+    return round_doubles(res.select("Visit", "metabolite", "p_value", "p_bh"))
+
+
+_ob, _oc = sk.ols_sql("src", list(SWEEP_VARIABLES), categorical="site", rounded=False)
+_FDR = 0.1
+_OLS_BH = {"src": _OLS_SRC, **_oc, "o": _ob,
+           "bh": sk.bh_sql("o", p="LR_P_Value", by=["independent_variable"],
+                           order_key="feature_label"),
+           "thr": ("SELECT independent_variable, coalesce(min(CASE WHEN p_bh >= "
+                   f"{_FDR} THEN LR_P_Value END), 'Infinity'::DOUBLE) AS p_threshold "
+                   "FROM bh GROUP BY independent_variable")}
+
+
+@register("fdr_threshold", fx.with_views(
+    "SELECT t.independent_variable, round(t.p_threshold, 6) AS p_threshold, "
+    "count(DISTINCT CASE WHEN b.LR_P_Value < t.p_threshold THEN b.feature_label END) AS n_significant "
+    "FROM thr t JOIN bh b ON t.independent_variable = b.independent_variable "
+    "GROUP BY t.independent_variable, t.p_threshold",
+    "assay_long", extra=_OLS_BH))
+def fdr_threshold(spark: SparkSession, d: str) -> DataFrame:
+    """M7 + G14: raw-p cut-off for FDR 0.1 per independent variable and the
+    number of distinct significant features."""
+    res = ols.regress_features(_assay_tp(spark, d), list(SWEEP_VARIABLES), covariate="site",
+                               time_point=TIME_POINT)
+    adj = multiple.bh_adjust(res, p="LR_P_Value", by=["independent_variable"])
+    return round_doubles(multiple.fdr_threshold(
+        adj, p="LR_P_Value", by=["independent_variable"], fdr=_FDR, feature="feature_label"))
+
+
+HIGHLIGHT = ("Brand#11", "Brand#23", "Brand#35")
+
+
+@register("feature_class", fx.with_views(
+    "SELECT b.feature_label, b.independent_variable, round(b.LR_P_Value, 6) AS LR_P_Value, "
+    "round(b.LR_Effect_Size, 6) AS LR_Effect_Size, round(b.p_bh, 6) AS p_bh, "
+    "round(t.p_threshold, 6) AS p_threshold, "
+    "CASE WHEN b.feature_label IN (" + ", ".join(f"'{h}'" for h in HIGHLIGHT) + ") THEN 'PD biomarkers' "
+    "WHEN b.LR_P_Value < t.p_threshold THEN 'significant biomarkers' ELSE 'total biomarkers' END AS \"group\", "
+    "round(CASE WHEN b.LR_P_Value = 0 THEN 'Infinity'::DOUBLE WHEN b.LR_P_Value > 0 "
+    "THEN -log10(b.LR_P_Value) END, 6) AS neg_log10_p "
+    "FROM bh b JOIN thr t ON b.independent_variable = t.independent_variable",
+    "assay_long", extra=_OLS_BH))
+def feature_class(spark: SparkSession, d: str) -> DataFrame:
+    """Highlighted / significant / total class per feature and variable."""
+    res = ols.regress_features(_assay_tp(spark, d), list(SWEEP_VARIABLES), covariate="site",
+                               time_point=TIME_POINT)
+    cls = volcano.feature_classes(res, highlight=HIGHLIGHT, fdr=_FDR)
+    return round_doubles(cls.select("feature_label", "independent_variable", "LR_P_Value",
+                                    "LR_Effect_Size", "p_bh", "p_threshold", "group",
+                                    "neg_log10_p"))
+
+
+_FCG_SQL = sk.median_pivot_sql("src", keys=["Visit", "metabolite"], group="Progressive",
+                               value="level", groups=(0, 1),
+                               labels=("non_progressive", "progressive"))
+
+
+@register("fold_change_groups", fx.with_views(
+    "SELECT Visit, metabolite, round(non_progressive, 6) AS non_progressive, "
+    "round(progressive, 6) AS progressive, round(fold_change, 6) AS fold_change, "
+    "round(log2_fold_change, 6) AS log2_fold_change FROM (SELECT *, "
+    + sk.fc_cols("progressive", "non_progressive") + " FROM fcw) z",
+    "visits_long", extra={"src": _sql_visits_clean(PLACEBO), "fcw": _FCG_SQL}))
+def fold_change_groups(spark: SparkSession, d: str) -> DataFrame:
+    """M8: median(progressive) / median(non-progressive) per feature and visit
+    (placebo arm), log2."""
+    return round_doubles(foldchange.fold_change_groups(
+        _visits_clean(spark, d, PLACEBO), by=["Visit"]))
+
+
+@register("pivot_group_median", fx.with_views(
+    "SELECT Treatment, Visit, metabolite, round(non_progressive, 6) AS non_progressive, "
+    "round(progressive, 6) AS progressive FROM pm",
+    "visits_long", extra={"pm": sk.median_pivot_sql(
+        "visits_long", keys=["Treatment", "Visit", "metabolite"], group="Progressive",
+        value="level", groups=(0, 1), labels=("non_progressive", "progressive"))}))
+def pivot_group_median(spark: SparkSession, d: str) -> DataFrame:
+    """R2 + G6: exact group medians pivoted by Progressive, every arm and visit."""
+    return round_doubles(foldchange.pivot_group_median(
+        fx.visits_long(spark, d), by=["Treatment", "Visit"]))
+
+
+def _fcv_sql():
+    med = ("SELECT metabolite, Visit, median(level) AS _med FROM src "
+           f"WHERE Visit IN ({', '.join(repr(v) for v in VISITS)}) GROUP BY metabolite, Visit")
+    wide = ("SELECT metabolite, " + ", ".join(
+        f"max(CASE WHEN Visit = '{v}' THEN _med END) AS m_{v}" for v in VISITS)
+        + f" FROM ({med}) m GROUP BY metabolite")
+    rows = " UNION ALL ".join(
+        f"SELECT metabolite, '{tp}' AS time_point, m_{BASELINE} AS baseline_median, "
+        f"m_{tp} AS visit_median FROM fvw" for tp in FOLLOWUPS)
+    return {"src": _sql_visits_clean(TREATED), "fvw": wide,
+            "fv": f"SELECT *, {sk.fc_cols('visit_median', 'baseline_median')} FROM ({rows}) u"}
+
+
+@register("fold_change_visits", fx.with_views(
+    "SELECT metabolite, time_point, round(baseline_median, 6) AS baseline_median, "
+    "round(visit_median, 6) AS visit_median, round(fold_change, 6) AS fold_change, "
+    "round(log2_fold_change, 6) AS log2_fold_change FROM fv",
+    "visits_long", extra=_fcv_sql()))
+def fold_change_visits(spark: SparkSession, d: str) -> DataFrame:
+    """M9 (+F3, X4, X7): median(visit) / median(Day0) per feature, treated arm."""
+    return round_doubles(foldchange.fold_change_visits(
+        _visits_clean(spark, d, TREATED), baseline=BASELINE, timepoints=FOLLOWUPS))
+
+
+def _paired_ctes(rounded: bool):
+    body = sk.ttest_finish(
+        "mom", ["metabolite", "time_point"], est="m",
+        se="sqrt(v / n)", dof="cast(n - 1 AS double)",
+        status=(f"CASE WHEN n < 2 THEN 'not_enough_x' WHEN sqrt(v / n) <= 0 OR "
+                f"sqrt(v / n) < 10 * {sk.EPS} * abs(m) THEN 'constant' ELSE 'ok' END"),
+        method=ttest.PAIRED_METHOD, rounded=rounded)
+    return body, {
+        "wide": _sql_pivot(TREATED), "st": _sql_stack(FOLLOWUPS),
+        "mom": ("SELECT metabolite, time_point, count(x - y) AS n, avg(x - y) AS m, "
+                "var_samp(x - y) AS v FROM st GROUP BY metabolite, time_point")}
+
+
+_pb, _pc = _paired_ctes(rounded=True)
+_fv = _fcv_sql()
+
+
+@register("stats_fc_outer", fx.with_views(
+    "SELECT coalesce(p.metabolite, f.metabolite) AS metabolite, "
+    "coalesce(p.time_point, f.time_point) AS time_point, p.estimate, p.statistic, p.p_value, "
+    "p.parameter, p.conf_low, p.conf_high, p.method, p.alternative, p.status, "
+    "round(f.baseline_median, 6) AS baseline_median, round(f.visit_median, 6) AS visit_median, "
+    "round(f.fold_change, 6) AS fold_change, round(f.log2_fold_change, 6) AS log2_fold_change "
+    "FROM pt p FULL OUTER JOIN fv f ON p.metabolite = f.metabolite AND p.time_point = f.time_point",
+    "visits_long", extra={**_pc, "pt": _pb, "src": _fv["src"], "fvw": _fv["fvw"], "fv": _fv["fv"]}))
+def stats_fc_outer(spark: SparkSession, d: str) -> DataFrame:
+    """Paired-test statistics full-outer-joined with visit fold changes."""
+    v = _visits_clean(spark, d, TREATED)
+    stats = ttest.paired_t(ttest.pivot_visits(v, values=VISITS), baseline=BASELINE,
+                           timepoints=FOLLOWUPS)
+    fc = foldchange.fold_change_visits(v, baseline=BASELINE, timepoints=FOLLOWUPS)
+    return round_doubles(volcano.stats_with_fold_change(stats, fc,
+                                                        keys=["metabolite", "time_point"]))
+
+
+def _volcano_sql(final: str) -> str:
+    fcg = sk.median_pivot_sql("src", keys=["Visit", "metabolite"], group="Progressive",
+                              value="level", groups=(0, 1),
+                              labels=("non_progressive", "progressive"))
+    joined = ("SELECT coalesce(b.Visit, f.Visit) AS Visit, coalesce(b.metabolite, f.metabolite) "
+              "AS metabolite, b.estimate, b.estimate1, b.estimate2, b.statistic, b.p_value AS P, "
+              "b.parameter, b.conf_low, b.conf_high, b.method, b.alternative, b.status, b.p_bh, "
+              "f.non_progressive, f.progressive, f.fold_change, f.log2_fold_change "
+              "FROM bh b FULL OUTER JOIN fcx f ON b.Visit = f.Visit AND b.metabolite = f.metabolite")
+    vol = ("SELECT *, cast(NULL AS VARCHAR) AS ID, coalesce(P < 0.0001, false) AS is_sig, "
+           "CASE WHEN P = 0 THEN 'Infinity'::DOUBLE WHEN P > 0 THEN -log10(P) END AS log_p, "
+           "false AS has_id FROM vj")
+    return fx.with_views(final, "visits_long", extra={
+        **_wc, "w": _wb, "bh": sk.bh_sql("w", p="p_value", by=["Visit"], order_key="metabolite"),
+        "fcw": fcg, "fcx": f"SELECT *, {sk.fc_cols('progressive', 'non_progressive')} FROM fcw",
+        "vj": joined, "vol": vol})
+
+
+def _volcano_spark(spark, d):
+    v = _visits_clean(spark, d, PLACEBO)
+    stats = ttest.welch_by_group(v, by=["Visit"])
+    fc = foldchange.fold_change_groups(v, by=["Visit"])
+    return volcano.volcano_table(stats, fc, by=["Visit"], sig_column="P", threshold=1e-4)
+
+
+_VOL_COLS = ["Visit", "metabolite", "estimate", "estimate1", "estimate2", "statistic", "P",
+             "parameter", "conf_low", "conf_high", "method", "alternative", "status", "p_bh",
+             "non_progressive", "progressive", "fold_change", "log2_fold_change", "ID", "is_sig",
+             "log_p", "has_id"]
+_ROUND_VOL = {"estimate", "estimate1", "estimate2", "statistic", "P", "parameter", "conf_low",
+              "conf_high", "p_bh", "non_progressive", "progressive", "fold_change",
+              "log2_fold_change", "log_p"}
+
+
+@register("volcano_dataset", _volcano_sql(
+    "SELECT " + ", ".join(f"round({c}, 6) AS {c}" if c in _ROUND_VOL else c for c in _VOL_COLS)
+    + " FROM vol"))
+def volcano_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """M14 + M16: Welch -> BH per visit -> full outer join with group fold
+    change -> is_sig (P < 1e-4), log_p, has_id."""
+    return round_doubles(_volcano_spark(spark, d).select(*_VOL_COLS))
+
+
+@register("significant_count", _volcano_sql(
+    "SELECT Visit, count(*) AS n_rows, count(CASE WHEN P < 0.0001 THEN 1 END) AS n_p_significant, "
+    "count(CASE WHEN p_bh < 0.1 THEN 1 END) AS n_bh_significant FROM vol GROUP BY Visit"))
+def significant_count(spark: SparkSession, d: str) -> DataFrame:
+    """per visit, rows and counts under P < 1e-4 and p_bh < 0.1."""
+    return volcano.significance_counts(_volcano_spark(spark, d), by=["Visit"])
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 

@@ -44,7 +44,8 @@ def welch_parts(nother: str | None = None) -> dict[str, str]:
 
 def ttest_finish(src: str, keys: Sequence[str], *, est: str, se: str, dof: str,
                  status: str, method: str, extra: Sequence[tuple[str, str]] = (),
-                 alpha: float = 0.05) -> str:
+                 alpha: float = 0.05, rounded: bool = True) -> str:
+    r = sql_round if rounded else (lambda e: f"({e})")
     k = ", ".join(keys)
     extra_in = "".join(f", {e} AS {n}" for e, n in extra)
     extra_out = "".join(f", {r(n)} AS {n}" for _, n in extra)
@@ -62,10 +63,11 @@ def ttest_finish(src: str, keys: Sequence[str], *, est: str, se: str, dof: str,
 
 
 def ols_sql(src: str, ivs: Sequence[str], *, categorical: str | None = None,
-            numeric: Sequence[str] = (), alpha: float = 0.05) -> str:
+            numeric: Sequence[str] = (), alpha: float = 0.05, rounded: bool = True):
     """Oracle OLS: centred sums (within ``categorical`` when given), solved in
     closed form for 1-3 slope terms. ``src`` has feature_label, level, the
     covariates and the independent variables (time point already applied)."""
+    r = sql_round if rounded else (lambda e: f"({e})")
     covs = ([categorical] if categorical else []) + list(numeric)
     names = [*numeric, "x"]
     allv = [*names, "level"]
@@ -140,3 +142,28 @@ def ols_sql(src: str, ivs: Sequence[str], *, categorical: str | None = None,
             f"{r('b + crit * se')} AS LR_CI_Upper, n, {r('dfree')} AS df, {r('se')} AS std_err, "
             f"{r('t')} AS t_stat FROM fin")
     return body, {"unp": unp, "s1": s1, "s2": s2, "fit": fitq, "fin": fin}
+
+
+def bh_sql(src: str, *, p: str, by: Sequence[str], order_key: str) -> str:
+    """Oracle BH: plain windows over each contrast (ties need no order)."""
+    part = f"PARTITION BY {', '.join(by)}" if by else ""
+    ranked = (f"SELECT *, row_number() OVER ({part} ORDER BY {p}, {order_key}) AS _rk, "
+              f"count({p}) OVER ({part}) AS _m FROM {src} WHERE {p} IS NOT NULL")
+    adj = (f"SELECT *, least(1.0, min({p} * _m / _rk) OVER ({part} ORDER BY _rk DESC "
+           f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS p_bh FROM ({ranked}) q")
+    keys = " AND ".join([f"s.{b} = a.{b}" for b in by] + [f"s.{order_key} = a.{order_key}"])
+    return (f"SELECT s.*, a.p_bh FROM {src} s LEFT JOIN ({adj}) a ON {keys}")
+
+
+def median_pivot_sql(src: str, *, keys: Sequence[str], group: str, value: str,
+                     groups: Sequence, labels: Sequence[str]) -> str:
+    k = ", ".join(keys)
+    med = f"SELECT {k}, {group}, median({value}) AS _med FROM {src} GROUP BY {k}, {group}"
+    cols = ", ".join(f"max(CASE WHEN {group} = {g!r} THEN _med END) AS {lbl}"
+                     for g, lbl in zip(groups, labels))
+    return f"SELECT {k}, {cols} FROM ({med}) m GROUP BY {k}"
+
+
+def fc_cols(num: str, den: str) -> str:
+    fc = f"(CASE WHEN {den} <> 0 THEN {num} / {den} END)"
+    return f"{fc} AS fold_change, CASE WHEN {fc} > 0 THEN log2({fc}) END AS log2_fold_change"
