@@ -13,16 +13,24 @@ MAX_BROADCAST_ROWS = 1_000_000
 
 
 def join_group_stats(rows: DataFrame, stats: DataFrame, on: Sequence[str], how: str = "inner",
-                     max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                     max_rows: int | None = None) -> DataFrame:
     """Join a per-group statistics table (one row per key) back onto rows.
 
-    The statistics table is cached and counted first: only when its size is
-    proven below ``max_rows`` it is broadcast, which avoids shuffling the
-    row-level side (a hot group would otherwise land in one join task).
+    Default: a plain equi-join inside the same query. Adaptive execution
+    measures the statistics side at runtime and turns the join into a
+    broadcast join when it is below
+    ``spark.sql.adaptive.autoBroadcastJoinThreshold``; otherwise it stays a
+    sort-merge join whose skewed partitions (a hot group) are split.
+
+    With ``max_rows`` the size is proven up front instead: the statistics
+    table is cached and counted, and broadcast only when it has at most
+    ``max_rows`` rows - the row-level side is then never shuffled. This costs
+    one extra job per call and pays off only on large inputs.
     """
-    stats = stats.cache()
-    if stats.count() <= max_rows:
-        stats = F.broadcast(stats)
+    if max_rows is not None:
+        stats = stats.cache()
+        if stats.count() <= max_rows:
+            stats = F.broadcast(stats)
     return rows.join(stats, list(on), how)
 
 

@@ -1,17 +1,23 @@
 """Multiple-testing correction (M6) and FDR cut-off (M7).
 
-Benjamini-Hochberg per contrast, without putting a contrast in one task:
-
-* the adjusted value of p depends only on the multiset of p-values:
-  adj(p) = min(1, min over distinct values w >= p of w * m / #{p_j <= w}),
-  so ties need no order and p-values are first reduced to distinct values
-  with their multiplicity (partial aggregation: a p shared by a third of the
-  features becomes one row);
-* distinct values are cut into ``buckets`` ranges by approximate quantiles
-  (one sketch per contrast); bucket offsets and bucket minima are tiny
-  per-(contrast, bucket) tables, and the running count / suffix minimum
-  inside a bucket is a window over that bucket only;
-* the adjusted value is joined back to the rows on (contrast, p).
+The adjusted value of p depends only on the multiset of p-values:
+
+    adj(p) = min(1, min over distinct values w >= p of w * m / #{p_j <= w})
+
+so ties need no order. p-values are first reduced to distinct values with
+their multiplicity (a partial aggregation: a p shared by many features
+becomes one row). Then:
+
+* ``method="window"`` (default): running count and suffix minimum are two
+  windows over each contrast's distinct p-values. One task per contrast
+  holds one row per distinct p-value of that contrast - the size of the
+  per-feature result table, never the raw data - and Spark spills window
+  buffers that exceed memory. Three shuffles in total.
+* ``method="buckets"``: for contrasts with hundreds of millions of features,
+  the distinct values are cut into ranges by an approximate-quantile sketch;
+  bucket offsets and bucket minima are tiny per-(contrast, bucket) tables
+  and every window runs over one bucket only. More stages, no task ever
+  holds a whole contrast.
 
 NULL p-values are ignored (they do not count in m) and get a NULL result.
 """
@@ -29,11 +35,34 @@ DEFAULT_BUCKETS = 64
 
 
 def bh_adjust(df: DataFrame, *, p: str = "p_value", by: Sequence[str] = (), out: str = "p_bh",
-              buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+              method: str = "window", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """M6: Benjamini-Hochberg adjusted p per contrast ``by`` into ``out``."""
     by = list(by)
     pv = F.col(p).cast("double")
     valid = df.select(*by, pv.alias("_p")).filter(F.col("_p").isNotNull() & ~F.isnan("_p"))
     distinct = valid.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    if method == "window":
+        adj = _bh_window(distinct, by, out)
+    elif method == "buckets":
+        adj = _bh_buckets(distinct, by, out, buckets)
+    else:
+        raise ValueError(f"unknown BH method {method!r}")
+    keyed = df.withColumn("_pk", pv)
+    return keyed.join(adj, [*by, "_pk"], "left").drop("_pk")
+
+
+def _bh_window(distinct: DataFrame, by: list[str], out: str) -> DataFrame:
+    part = Window.partitionBy(*by)
+    asc = part.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    desc = part.orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    q = (distinct
+         .withColumn("_m", F.sum("_c").over(part))
+         .withColumn("_q", F.col("_p") * F.col("_m") / F.sum("_c").over(asc)))
+    return q.select(*by, F.col("_p").alias("_pk"),
+                    F.least(F.lit(1.0), F.min("_q").over(desc)).alias(out))
+
+
+def _bh_buckets(distinct: DataFrame, by: list[str], out: str, buckets: int) -> DataFrame:
 
     fracs = [i / buckets for i in range(1, buckets)]
     sketch = distinct.groupBy(*by).agg(
@@ -61,12 +90,10 @@ def bh_adjust(df: DataFrame, *, p: str = "p_value", by: Sequence[str] = (), out:
     wl = Window.partitionBy(*by).orderBy(F.col("_b").desc())
     later = bmin.select(*by, "_b", F.min("_bq").over(
         wl.rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))
-    adj = (join_contrast_table(ranked, later, [*by, "_b"])
-           .select(*by, F.col("_p").alias("_pk"),
-                   F.least(F.lit(1.0), F.col("_qmin"),
-                           F.coalesce(F.col("_later"), F.lit(float("inf")))).alias(out)))
-    keyed = df.withColumn("_pk", pv)
-    return keyed.join(adj, [*by, "_pk"], "left").drop("_pk")
+    return (join_contrast_table(ranked, later, [*by, "_b"])
+            .select(*by, F.col("_p").alias("_pk"),
+                    F.least(F.lit(1.0), F.col("_qmin"),
+                            F.coalesce(F.col("_later"), F.lit(float("inf")))).alias(out)))
 
 
 def fdr_threshold(df: DataFrame, *, p: str = "p_value", adjusted: str = "p_bh",

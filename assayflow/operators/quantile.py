@@ -45,28 +45,32 @@ def group_median(df: DataFrame, keys: Sequence[str], value: str, *, out: str = "
     ).select(*keys, "_n", F.col("_br")[0].alias("_lo"), F.col("_br")[1].alias("_hi"))
 
     tagged = join_group_stats(base, sketch, keys)
-    below = tagged.groupBy(*keys).agg(
+    v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
+    inside = (v >= lo) & (v <= hi)
+    # One partial aggregation: a row per distinct in-bracket value, plus one
+    # row (value NULL) per group carrying the count below the bracket.
+    cells = tagged.groupBy(*keys, F.when(inside, v).alias("_iv")).agg(
         F.first("_n").alias("_n"),
-        F.count(F.when(F.col("_v") < F.col("_lo"), 1)).alias("_below"),
-        F.count(F.when(F.col("_v") <= F.col("_hi"), 1)).alias("_le"),
+        F.count(F.lit(1)).alias("_c"),
+        F.count(F.when(v < lo, 1)).alias("_cb"),
     )
-    inside = (tagged.filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-              .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
-
+    part = Window.partitionBy(*keys)
+    running = part.orderBy("_iv").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     k1 = F.floor((F.col("_n") + 1) / 2)
     k2 = F.ceil((F.col("_n") + 1) / 2)
-    ranked = (inside.join(below, keys)
-              .withColumn("_cum", F.sum("_c").over(
-                  Window.partitionBy(*keys).orderBy("_v")
-                  .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-              .withColumn("_r1", k1 - F.col("_below"))
-              .withColumn("_r2", k2 - F.col("_below")))
-    checked = F.when(
-        (F.col("_below") >= k1) | (F.col("_le") < k2),
-        F.raise_error(F.lit("median bracket violated"))).otherwise(F.lit(True))
+    ranked = (cells
+              .withColumn("_below", F.sum("_cb").over(part))
+              .withColumn("_cum", F.sum(F.when(F.col("_iv").isNotNull(), F.col("_c"))
+                                        .otherwise(F.lit(0))).over(running)))
+    at_or_above = lambda r: F.col("_iv").isNotNull() & (F.col("_cum") >= r - F.col("_below"))
     res = ranked.groupBy(*keys).agg(
-        F.min(F.when(F.col("_cum") >= F.col("_r1"), F.col("_v"))).alias("_a"),
-        F.min(F.when(F.col("_cum") >= F.col("_r2"), F.col("_v"))).alias("_b"),
-        F.bool_and(checked).alias("_chk"),
+        F.min(F.when(at_or_above(k1), F.col("_iv"))).alias("_a"),
+        F.min(F.when(at_or_above(k2), F.col("_iv"))).alias("_b"),
+        F.max("_below").alias("_below"), F.max("_cum").alias("_inside"), F.max("_n").alias("_n"),
     )
-    return res.select(*keys, F.when(F.col("_chk"), (F.col("_a") + F.col("_b")) / 2).alias(out))
+    # The sketch guarantees the bracket holds ranks k1..k2; fail loudly if not.
+    violated = ((F.col("_below") >= F.floor((F.col("_n") + 1) / 2)) |
+                (F.col("_below") + F.col("_inside") < F.ceil((F.col("_n") + 1) / 2)))
+    med = F.when(violated, F.raise_error(F.lit("median bracket violated")).cast("double")) \
+        .otherwise((F.col("_a") + F.col("_b")) / 2)
+    return res.select(*keys, med.alias(out))

@@ -9,8 +9,6 @@ comparable; the operators themselves keep full precision.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +17,7 @@ from assayflow.operators import foldchange, multiple, ols, ttest, volcano
 from assayflow.operators.report import round_doubles
 from assayflow.plans import fixtures as fx
 from assayflow.plans import sqlkit as sk
-
-QueryFn = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, QueryFn] = {}
-ORACLE: dict[str, str] = {}
+from assayflow.plans.registry import register
 
 # Fixed study parameters used by the registered queries.
 PLACEBO, TREATED = "T01", "T03"
@@ -30,15 +25,6 @@ VISITS = ("Day0", "Day10", "Day20")
 BASELINE, FOLLOWUPS = "Day0", ("Day10", "Day20")
 
 
-def register(name: str, sql: str | None = None):
-    def deco(fn: QueryFn) -> QueryFn:
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
-
-
 # --- t-tests (M3-M5, R3, X2) -----------------------------------------------
 
 def _visits_clean(spark, d, treatment):
@@ -416,11 +402,3 @@ def volcano_dataset(spark: SparkSession, d: str) -> DataFrame:
 def significant_count(spark: SparkSession, d: str) -> DataFrame:
     """per visit, rows and counts under P < 1e-4 and p_bh < 0.1."""
     return volcano.significance_counts(_volcano_spark(spark, d), by=["Visit"])
-
-
-def queries() -> dict[str, QueryFn]:
-    return dict(QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)

@@ -1,0 +1,2 @@
+from assayflow.sources.readers import has_glob, read_source, read_stage  # noqa: F401
+from assayflow.sources.sinks import republish, save_table, write_csv, write_dataset  # noqa: F401
