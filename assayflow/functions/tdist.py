@@ -85,23 +85,47 @@ def t_critical(df, alpha: float = 0.05, steps: int = 60) -> Column:
 
 
 # --- DuckDB oracle twins -------------------------------------------------
-# The oracle has no incomplete beta either: it integrates
-#   P(|T| > t) = int_0^phi sin^(nu-1) / int_0^(pi/2) sin^(nu-1),
-#   phi = atan(sqrt(nu)/|t|)
-# by Simpson's rule (exact to ~1e-10 for the df seen here).
+# DuckDB has no incomplete beta either. The oracle evaluates
+#   P(|T| > t) = I_x(nu/2, 1/2),  x = nu / (nu + t^2)
+# with the classic continued fraction for the regularized incomplete beta
+# (modified Lentz iteration, fixed number of steps, via list_reduce) and the
+# lgamma prefactor; for x beyond the mean it uses I_x(a, b) = 1 - I_{1-x}(b, a).
 
-_SIMPSON_N = 2000
+_CF_STEPS = 80
+_TINY = "1e-300"
 
 
-def _sql_simpson(phi: str, nu: str, n: int = _SIMPSON_N) -> str:
-    w = f"(CASE WHEN i = 0 OR i = {n} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
-    return (f"(list_sum(list_transform(range(0, {n} + 1), lambda i: "
-            f"{w} * pow(sin(({phi}) * i / {n}), ({nu}) - 1))) * ({phi}) / {n} / 3)")
+def _g(v: str) -> str:
+    return f"(CASE WHEN abs({v}) < {_TINY} THEN {_TINY} ELSE {v} END)"
+
+
+def _sql_betacf(x: str, a: str, b: str, steps: int = _CF_STEPS) -> str:
+    """Continued fraction of I_x(a, b) by half-steps k = 1..2*steps: the
+    state keeps the running product without the current (c, d), so every
+    term is evaluated once per step."""
+    m = "((k + 1) // 2)"
+    aa = (f"(CASE WHEN k % 2 = 1 THEN {m} * ({b} - {m}) * {x} / (({a} - 1 + 2 * {m}) * ({a} + 2 * {m})) "
+          f"ELSE -({a} + {m}) * ({a} + {b} + {m}) * {x} / (({a} + 2 * {m}) * ({a} + 1 + 2 * {m})) END)")
+    d0 = f"(1 / {_g(f'1 - ({a} + {b}) * {x} / ({a} + 1)')})"
+    init = f"{{'c': 1.0::DOUBLE, 'd': {d0}, 'h': 1.0::DOUBLE}}"
+    step = (f"lambda s, k: {{'c': {_g(f'1 + {aa} / s.c')}, 'd': 1 / {_g(f'1 + {aa} * s.d')}, "
+            f"'h': s.h * s.c * s.d}}")
+    return f"list_transform([list_reduce(range(1, 2 * {steps} + 1), {step}, {init})], lambda r: r.h * r.c * r.d)[1]"
+
+
+def _sql_ibeta(x: str, a: str, b: str) -> str:
+    """Regularized incomplete beta I_x(a, b) for 0 < x < 1."""
+    front = (f"exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b}) + {a} * ln({x}) "
+             f"+ {b} * ln(1 - {x}))")
+    direct = f"({front} * {_sql_betacf(x, a, b)} / {a})"
+    swapped = f"(1 - {front} * {_sql_betacf(f'(1 - {x})', b, a)} / {b})"
+    return (f"(CASE WHEN {x} <= 0 THEN 0.0 WHEN {x} >= 1 THEN 1.0 "
+            f"WHEN {x} < ({a} + 1) / ({a} + {b} + 2) THEN {direct} ELSE {swapped} END)")
 
 
 def _sql_tail_unguarded(t: str, nu: str) -> str:
-    phi = f"atan(sqrt({nu}) / abs({t}))"
-    return f"({_sql_simpson(phi, nu)} / {_sql_simpson('pi() / 2', nu)})"
+    x = f"(({nu}) / (({nu}) + ({t}) * ({t})))"
+    return _sql_ibeta(x, f"(({nu}) / 2)", "0.5")
 
 
 def sql_t_two_sided_p(t: str, nu: str) -> str:
