@@ -1,0 +1 @@
+"""Operators: DataFrame -> DataFrame functions over the long model."""

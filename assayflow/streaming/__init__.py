@@ -1,0 +1 @@
+from assayflow.streaming.ingest import ingest_assay_files  # noqa: F401
