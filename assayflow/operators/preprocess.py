@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from assayflow.functions.scalar import hash_uniform, nan_to_null
 from assayflow.operators.joins import join_group_stats
+from assayflow.session import cut_lineage
 
 LOG_ZERO = 1e-200
 
@@ -144,10 +145,16 @@ STEP_NAMES = ("replace_zero", "drop_na", "fill_na", "log", "scale")
 def run_steps(df: DataFrame, steps: Sequence[str] = ("scale",), *,
               impute_strategy: str = "uniform", dropping_thres: float = 0.9,
               feature: str = "metabolite", value: str = "level", sample: str = "sample_id",
-              seed: int = 10) -> DataFrame:
+              seed: int = 10, materialize: bool = True) -> DataFrame:
     """Apply named steps in order (defaults as in the original:
     ``["scale"]``, uniform imputation, threshold 0.9). An unknown step name
-    raises instead of being skipped."""
+    raises instead of being skipped.
+
+    Every statistics step (drop_na, fill_na, scale) reads its input twice -
+    once for the per-feature statistics, once for the rows - so chaining them
+    doubles the plan per step. With ``materialize`` the output of each such
+    step is checkpointed into the shared checkpoint folder, keeping the plan
+    linear and letting a lost executor resume from the last step."""
     unknown = [s for s in steps if s not in STEP_NAMES]
     if unknown:
         raise ValueError(f"unknown preprocessing steps {unknown}")
@@ -159,7 +166,19 @@ def run_steps(df: DataFrame, steps: Sequence[str] = ("scale",), *,
         "log": lambda d: log_transform(d, **kw),
         "scale": lambda d: standardize(d, **kw),
     }
-    return reduce(lambda acc, step: acc.transform(fns[step]), steps, df)
+    with_stats = {"drop_na", "fill_na", "scale"}
+    remaining = sum(1 for st in steps if st in with_stats)
+
+    def apply(acc, step):
+        nonlocal remaining
+        out = acc.transform(fns[step])
+        if step in with_stats:
+            remaining -= 1
+            if materialize and remaining > 0:
+                out = cut_lineage(out)
+        return out
+
+    return reduce(apply, steps, df)
 
 
 def missing_report(df: DataFrame, *, feature: str = "metabolite", value: str = "level",
