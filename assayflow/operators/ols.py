@@ -16,9 +16,10 @@ centred cross-product sums:
   one task);
 * numeric covariates enter the cross-product matrix.
 
-With one or two slope terms the normal equations are solved in closed form
-as column expressions (JVM side). With three or more, the per-feature
-matrices (one row per feature) are solved by an Arrow-batched pandas UDF.
+With up to three slope terms the normal equations are solved in closed form
+(cofactors) as column expressions, JVM side. With four or more, the
+per-feature matrices (one row per feature) are solved by an Arrow-batched
+pandas UDF.
 
 The sweep over independent variables is one job: variables are unpivoted
 into ``(independent_variable, x)`` rows and become a grouping key.
@@ -140,6 +141,23 @@ def fit(long: DataFrame, *, categorical: str | None = None,
         rss = F.greatest(syy - bx * sxy - bz * szy, F.lit(0.0))
         se = F.when(ok, F.sqrt(rss / F.col("_df") * szz / det))
         solved = sums.select(*keys, "_n", "_df", bx.alias("_b"), se.alias("_se"))
+    elif len(names) == 3:
+        v1, v2, v3 = names
+        a11, a12, a13 = S(v1, v1), S(v1, v2), S(v1, v3)
+        a22, a23, a33 = S(v2, v2), S(v2, v3), S(v3, v3)
+        c1, c2, c3 = S(v1, "level"), S(v2, "level"), S(v3, "level")
+        # cofactors of the symmetric 3 x 3 centred cross-product matrix
+        C11, C12, C13 = a22 * a33 - a23 * a23, a13 * a23 - a12 * a33, a12 * a23 - a13 * a22
+        C22, C23, C33 = a11 * a33 - a13 * a13, a12 * a13 - a11 * a23, a11 * a22 - a12 * a12
+        det = a11 * C11 + a12 * C12 + a13 * C13
+        ok = ((det > SINGULAR_RTOL * a11 * a22 * a33) & (a11 > 0) & (a22 > 0) & (a33 > 0)
+              & (F.col("_df") > 0))
+        b1 = F.when(ok, (C11 * c1 + C12 * c2 + C13 * c3) / det)
+        b2 = F.when(ok, (C12 * c1 + C22 * c2 + C23 * c3) / det)
+        bx = F.when(ok, (C13 * c1 + C23 * c2 + C33 * c3) / det)
+        rss = F.greatest(syy - b1 * c1 - b2 * c2 - bx * c3, F.lit(0.0))
+        se = F.when(ok, F.sqrt(rss / F.col("_df") * C33 / det))
+        solved = sums.select(*keys, "_n", "_df", bx.alias("_b"), se.alias("_se"))
     else:
         m = len(names)
         mat = F.array(*[S(a, b) for a in names for b in names])

@@ -175,8 +175,8 @@ def ols_sweep(spark: SparkSession, d: str) -> DataFrame:
 @register("ols_multi_covariate", _ols_oracle(["x_quantity"], categorical="site",
                                              numeric=["site_num", "x_acctbal"]))
 def ols_multi_covariate(spark: SparkSession, d: str) -> DataFrame:
-    """Site dummies + two numeric covariates + x; three slope terms are
-    solved per feature by the Arrow-batched solver."""
+    """Site dummies + two numeric covariates + x (three slope terms,
+    closed form per feature)."""
     return round_doubles(ols.regress_features(
         _assay_tp(spark, d), ["x_quantity"], covariate="site",
         numeric_covariates=["site_num", "x_acctbal"], time_point=TIME_POINT, details=True))

@@ -37,15 +37,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
-    Reads ``spark.checkpoint.dir`` from the session (the cluster names a
-    shared folder there). Only when it is unset - local tests - a fresh
-    scratch folder is created and registered.
+    Uses ``spark.checkpoint.dir`` (or a checkpoint folder already set on the
+    context): on a cluster that names a shared file system. Only for a local
+    master with nothing configured - tests - a fresh scratch folder is
+    created and registered; on a cluster a missing setting is an error
+    rather than a silent machine-local folder.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder to cut lineage")
         path = tempfile.mkdtemp(prefix="assayflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     return path
 
 

@@ -147,3 +147,26 @@ def test_streaming_ingest_appends_each_file_once(spark):
     q.awaitTermination(120)
     back = spark.read.parquet(out)
     assert back.count() == 6 and back.filter("level IS NULL").count() == 1
+
+
+def test_table_read_and_republish(spark):
+    from assayflow.sources import republish
+    d = _scratch()
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "feature string, level double")
+    write_csv(df, f"{d}/src_a")
+    rep = republish(spark, {"feature_intensities": f"{d}/src_a"}, f"{d}/out", prefix="p1_serum_")
+    r = rep.first()
+    assert (r.name, r.n_rows, r.n_cols) == ("feature_intensities", 2, 2)
+    assert r.path.endswith("p1_serum_feature_intensities")
+    assert os.path.isdir(f"{d}/src_a")                       # sources are kept
+    save_table(spark, df, "assayflow_test_db.t2", f"{d}/t2")
+    assert read_source(spark, "assayflow_test_db.t2", "table").count() == 2
+    spark.sql("DROP TABLE assayflow_test_db.t2")
+
+
+def test_checkpoint_dir_is_read_from_session(spark):
+    from assayflow.session import checkpoint_dir, cut_lineage
+    path = checkpoint_dir(spark)
+    assert path and checkpoint_dir(spark) == path             # stable once set
+    df = cut_lineage(spark.range(10).withColumn("x", F.col("id") * 2))
+    assert df.count() == 10

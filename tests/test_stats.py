@@ -95,24 +95,28 @@ def _lstsq(X, y):
     return beta[-1], math.sqrt(cov[-1, -1]), dof
 
 
-@pytest.mark.parametrize("kind", ["categorical", "numeric", "multi"])
+@pytest.mark.parametrize("kind", ["categorical", "numeric", "multi", "multi4"])
 def test_ols_matches_lstsq(spark, kind):
     base = fx.assay_long(spark, SF001).withColumnRenamed("metabolite", "feature_label")
     kw = {"categorical": dict(covariate="site"), "numeric": dict(covariate="site_num"),
-          "multi": dict(covariate="site", numeric_covariates=["site_num", "x_acctbal"])}[kind]
+          "multi": dict(covariate="site", numeric_covariates=["site_num", "x_acctbal"]),
+          "multi4": dict(covariate="site", numeric_covariates=["site_num", "x_acctbal",
+                                                                "x_discount"])}[kind]
     res = ols.regress_features(base, ["x_quantity"], details=True, **kw).toPandas()
     pdf = base.toPandas()
     pdf = pdf[pdf.x_quantity != 0]
     checked = 0
     for feat, g in pdf.groupby("feature_label"):
         cols = [np.ones(len(g))]
-        if kind in ("categorical", "multi"):
+        if kind in ("categorical", "multi", "multi4"):
             import pandas as pd
             cols.append(pd.get_dummies(g["site"], drop_first=True, dtype=float).to_numpy())
         if kind == "numeric":
             cols.append(g["site_num"].to_numpy(float))
-        if kind == "multi":
+        if kind in ("multi", "multi4"):
             cols += [g["site_num"].to_numpy(float), g["x_acctbal"].to_numpy(float)]
+        if kind == "multi4":  # four slope terms: the Arrow-batched solver path
+            cols.append(g["x_discount"].to_numpy(float))
         cols.append(g["x_quantity"].to_numpy(float))
         X = np.column_stack(cols)
         if len(g) <= X.shape[1] or np.linalg.matrix_rank(X) < X.shape[1]:
