@@ -14,7 +14,11 @@ from assayflow.sources.readers import read_source
 
 RAW_VISITS = ("Day 0", "Day 10", "Day 20")
 
-_PC = ("SELECT * FROM (SELECT DISTINCT * FROM pheno) p FULL OUTER JOIN manifest m "
+# Progressive is NULL on manifest-only rows; it is exchanged as a double so
+# that both engines hand over the same representation of a nullable number.
+_PC = ("SELECT p.animal, p.visit_dcf, p.Treatment, cast(p.Progressive AS DOUBLE) AS Progressive, "
+       "m.case_id, m.Visit, m.treatment_id, m.custom_id "
+       "FROM (SELECT DISTINCT * FROM pheno) p FULL OUTER JOIN manifest m "
        "ON p.animal IS NOT DISTINCT FROM m.case_id AND p.visit_dcf IS NOT DISTINCT FROM m.Visit "
        "AND p.Treatment IS NOT DISTINCT FROM m.treatment_id")
 _IDS = "SELECT DISTINCT replace(trim(cast(sample_id AS VARCHAR)), ' ', '') AS sample_id FROM grand_wide"
@@ -26,7 +30,8 @@ def _csql(body: str, *views: str, **extra: str) -> str:
 
 
 def _pc(spark, d):
-    return cohort.combine_pheno_manifest(fx.pheno(spark, d), fx.manifest(spark, d))
+    pc = cohort.combine_pheno_manifest(fx.pheno(spark, d), fx.manifest(spark, d))
+    return pc.withColumn("Progressive", F.col("Progressive").cast("double"))
 
 
 def _swm(spark, d):

@@ -84,7 +84,7 @@ def ols_sql(src: str, ivs: Sequence[str], *, categorical: str | None = None,
     if categorical:
         s1 = (f"SELECT feature_label, independent_variable, {categorical}, count(*) AS n, {sums} "
               f"FROM unp WHERE {notnull} GROUP BY feature_label, independent_variable, {categorical}")
-        s2 = ("SELECT feature_label, independent_variable, sum(n) AS n, count(*) AS k, "
+        s2 = ("SELECT feature_label, independent_variable, cast(sum(n) AS BIGINT) AS n, count(*) AS k, "
               + ", ".join(f"sum({al[p]}) AS {al[p]}" for p in pairs)
               + " FROM s1 GROUP BY feature_label, independent_variable")
         nparams = f"k + {len(names)}"
