@@ -37,12 +37,17 @@ def join_group_stats(rows: DataFrame, stats: DataFrame, on: Sequence[str], how:
 def join_contrast_table(rows: DataFrame, small: DataFrame, on: Sequence[str],
                         how: str = "inner") -> DataFrame:
     """Join a table with one row per contrast (time point, variable, ...) or
-    per (contrast, bucket). Its size is bounded by the number of contrasts
-    times a fixed bucket count, so it is always broadcast. With no contrast
-    keys a constant key is used (still a broadcast hash join, never a cross
-    join)."""
+    per (contrast, bucket) onto rows.
+
+    With no contrast keys the table has exactly one row: it is broadcast on a
+    constant key (a broadcast hash join, never a cross join, and never a
+    shuffle of every row to one partition). With keys, its size depends on
+    how many contrasts the data has, so the join is left to adaptive
+    execution, which broadcasts it after measuring it (typically a handful of
+    rows) and otherwise keeps a sort-merge join.
+    """
     if not on:
         rows = rows.withColumn("_all", F.lit(0))
         small = small.withColumn("_all", F.lit(0))
         return rows.join(F.broadcast(small), ["_all"], how).drop("_all")
-    return rows.join(F.broadcast(small), list(on), how)
+    return rows.join(small, list(on), how)

@@ -93,7 +93,10 @@ def lod_correct(df: DataFrame, lods: DataFrame, *, target: str = "target", value
     other = F.col("LOD") if strategy == "replace_with_LOD" else F.lit(None).cast("double")
     corrected = F.when(F.col(target).isin(list(exempt)), v).when(below, other).otherwise(v)
     flagged = j.withColumn("_below", below).withColumn("_zero", zero)
-    drop = flagged.groupBy(target).agg(
-        (F.bool_and("_below") | F.bool_and("_zero")).alias("_drop")).filter(~F.col("_drop"))
-    kept = join_group_stats(flagged, drop.select(target), [target], "left_semi")
-    return kept.withColumn(value, corrected).drop("LOD", "_below", "_zero")
+    # Per-target drop flag joined back and filtered (an equi-join on the key;
+    # a semi join would be rewritten into an existence check for inputs that
+    # are unions of constant-labelled parts).
+    flags = flagged.groupBy(target).agg(
+        (F.bool_and("_below") | F.bool_and("_zero")).alias("_drop"))
+    kept = join_group_stats(flagged, flags, [target], "left").filter(~F.col("_drop"))
+    return kept.withColumn(value, corrected).drop("LOD", "_below", "_zero", "_drop")

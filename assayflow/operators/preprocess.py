@@ -82,15 +82,15 @@ def missing_rates(df: DataFrame, *, feature: str = "metabolite", value: str = "l
 def drop_missing(df: DataFrame, *, feature: str = "metabolite", value: str = "level",
                  threshold: float = 0.9, **_) -> DataFrame:
     """Keep features whose missing rate is strictly below ``threshold``."""
-    keep = missing_rates(df, feature=feature, value=value).filter(
-        F.col("missing_rate") < threshold).select(feature)
-    return join_group_stats(df, keep, [feature], "left_semi")
+    rates = missing_rates(df, feature=feature, value=value)
+    return (join_group_stats(df, rates, [feature], "left")
+            .filter(F.col("missing_rate") < threshold).drop("missing_rate"))
 
 
 def drop_empty(df: DataFrame, *, feature: str = "metabolite", value: str = "level", **_) -> DataFrame:
     """Z6 (+G13): drop features with no present value."""
-    keep = df.groupBy(feature).agg(F.count(value).alias("_n")).filter(F.col("_n") > 0).select(feature)
-    return join_group_stats(df, keep, [feature], "left_semi")
+    present = df.groupBy(feature).agg(F.count(value).alias("_n"))
+    return join_group_stats(df, present, [feature], "left").filter(F.col("_n") > 0).drop("_n")
 
 
 def impute(df: DataFrame, *, strategy: str = "uniform", feature: str = "metabolite",
