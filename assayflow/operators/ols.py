@@ -56,19 +56,21 @@ def _is_numeric(df: DataFrame, name: str) -> bool:
 def regression_input(df: DataFrame, independent_variables: Sequence[str], *,
                      feature: str = "feature_label", level: str = "level",
                      covariates: Sequence[str] = (), time_point: str | None = None,
-                     time_col: str = "time_point", exclude_zero: bool = True) -> DataFrame:
+                     time_col: str = "time_point", exclude_zero: bool = True,
+                     by: Sequence[str] = ()) -> DataFrame:
     """Project, filter the time point, unpivot the independent
     variables into (independent_variable, x) and keep complete rows.
 
     The time-point filter sits below the unpivot, so it reaches the scan."""
     if time_point is not None:
         df = df.filter(F.col(time_col) == F.lit(time_point))
-    cols = [F.col(feature).alias("feature_label"), F.col(level).cast("double").alias("level")]
+    cols = [F.col(b) for b in by]
+    cols += [F.col(feature).alias("feature_label"), F.col(level).cast("double").alias("level")]
     cols += [F.col(c) for c in covariates]
     cols += [F.col(v).cast("double").alias(v) for v in independent_variables]
     narrow = df.select(*cols)
-    long = narrow.unpivot(["feature_label", "level", *covariates], list(independent_variables),
-                          "independent_variable", "x")
+    long = narrow.unpivot([*by, "feature_label", "level", *covariates],
+                          list(independent_variables), "independent_variable", "x")
     keep = F.col("x").isNotNull() & ~F.isnan("x") & F.col("level").isNotNull() & ~F.isnan("level")
     if exclude_zero:
         keep = keep & (F.col("x") != 0)
@@ -94,10 +96,10 @@ def _centered(a: str, b: str) -> Column:
 
 def fit(long: DataFrame, *, categorical: str | None = None,
         numeric_covariates: Sequence[str] = (), alpha: float = 0.05,
-        details: bool = False) -> DataFrame:
-    """Fit per (feature_label, independent_variable) on the output of
+        details: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """Fit per (by..., feature_label, independent_variable) on the output of
     ``regression_input``."""
-    keys = ["feature_label", "independent_variable"]
+    keys = [*by, "feature_label", "independent_variable"]
     names = [*numeric_covariates, "x"]
     pairs = _pair_sums(names)
     if categorical is not None:
@@ -176,7 +178,7 @@ def fit(long: DataFrame, *, categorical: str | None = None,
         F.col("_n").cast("long").alias("n"), F.col("_df").alias("df"),
         F.col("_se").alias("std_err"), t.alias("t_stat"),
     )
-    return out if details else out.select(*RESULT_COLUMNS)
+    return out if details else out.select(*by, *RESULT_COLUMNS)
 
 
 def _solve_udf(m: int):
@@ -215,9 +217,10 @@ def regress_features(df: DataFrame, independent_variables: Sequence[str], *,
                      feature: str = "feature_label", level: str = "level",
                      time_point: str | None = None, time_col: str = "time_point",
                      exclude_zero: bool = True, alpha: float = 0.05,
-                     details: bool = False) -> DataFrame:
+                     details: bool = False, by: Sequence[str] = ()) -> DataFrame:
     """M1 + M2: fit ``level ~ covariate + numeric_covariates + x`` for every
-    feature and every independent variable in one job.
+    feature and every independent variable in one job. ``by`` adds grouping
+    keys (e.g. every time point at once instead of one ``time_point``).
 
     ``covariate`` is dummy-coded when it is a string column and enters
     linearly when numeric (the formula interface's behaviour).
@@ -232,8 +235,8 @@ def regress_features(df: DataFrame, independent_variables: Sequence[str], *,
     covs = ([categorical] if categorical else []) + numeric
     long = regression_input(df, independent_variables, feature=feature, level=level,
                             covariates=covs, time_point=time_point, time_col=time_col,
-                            exclude_zero=exclude_zero)
+                            exclude_zero=exclude_zero, by=by)
     for c in numeric:
         long = long.withColumn(c, F.col(c).cast("double"))
     return fit(long, categorical=categorical, numeric_covariates=numeric, alpha=alpha,
-               details=details)
+               details=details, by=by)

@@ -172,6 +172,24 @@ def ols_sweep(spark: SparkSession, d: str) -> DataFrame:
         details=True))
 
 
+_ALL_TP_SRC = ("SELECT time_point, metabolite AS feature_label, level, site, site_num, x_discount, "
+               "x_quantity, x_acctbal FROM assay_long")
+
+
+def _ols_oracle_all(ivs, **kw):
+    body, ctes = sk.ols_sql("src", ivs, by=["time_point"], **kw)
+    return fx.with_views(body, "assay_long", extra={"src": _ALL_TP_SRC, **ctes})
+
+
+@register("ols_sweep_all_time_points", _ols_oracle_all(list(SWEEP_VARIABLES), categorical="site"))
+def ols_sweep_all_time_points(spark: SparkSession, d: str) -> DataFrame:
+    """M2 with the time-point loop fused too: every (time point, variable,
+    feature) model over the whole table in one job."""
+    return round_doubles(ols.regress_features(
+        _assay_tp(spark, d), list(SWEEP_VARIABLES), covariate="site", by=["time_point"],
+        details=True))
+
+
 @register("ols_multi_covariate", _ols_oracle(["x_quantity"], categorical="site",
                                              numeric=["site_num", "x_acctbal"]))
 def ols_multi_covariate(spark: SparkSession, d: str) -> DataFrame:

@@ -63,11 +63,13 @@ def ttest_finish(src: str, keys: Sequence[str], *, est: str, se: str, dof: str,
 
 
 def ols_sql(src: str, ivs: Sequence[str], *, categorical: str | None = None,
-            numeric: Sequence[str] = (), alpha: float = 0.05, rounded: bool = True):
+            numeric: Sequence[str] = (), alpha: float = 0.05, rounded: bool = True,
+            by: Sequence[str] = ()):
     """Oracle OLS: centred sums (within ``categorical`` when given), solved in
     closed form for 1-3 slope terms. ``src`` has feature_label, level, the
     covariates and the independent variables (time point already applied)."""
     r = sql_round if rounded else (lambda e: f"({e})")
+    bk = "".join(f"{b}, " for b in by)
     covs = ([categorical] if categorical else []) + list(numeric)
     names = [*numeric, "x"]
     allv = [*names, "level"]
@@ -76,21 +78,21 @@ def ols_sql(src: str, ivs: Sequence[str], *, categorical: str | None = None,
     al.update({(b, a): v for (a, b), v in list(al.items())})
     cov_sel = "".join(f", cast({c} AS double) AS {c}" if c in numeric else f", {c}" for c in covs)
     unp = " UNION ALL ".join(
-        f"SELECT feature_label, level{cov_sel}, '{iv}' AS independent_variable, "
+        f"SELECT {bk}feature_label, level{cov_sel}, '{iv}' AS independent_variable, "
         f"cast({iv} AS double) AS x FROM {src}" for iv in ivs)
     notnull = " AND ".join(["x IS NOT NULL", "NOT isnan(x)", "x <> 0", "level IS NOT NULL"]
                            + [f"{c} IS NOT NULL" for c in covs])
     sums = ", ".join(f"regr_sxy({b}, {a}) AS {al[(a, b)]}" for a, b in pairs)
     if categorical:
-        s1 = (f"SELECT feature_label, independent_variable, {categorical}, count(*) AS n, {sums} "
-              f"FROM unp WHERE {notnull} GROUP BY feature_label, independent_variable, {categorical}")
-        s2 = ("SELECT feature_label, independent_variable, cast(sum(n) AS BIGINT) AS n, count(*) AS k, "
+        s1 = (f"SELECT {bk}feature_label, independent_variable, {categorical}, count(*) AS n, {sums} "
+              f"FROM unp WHERE {notnull} GROUP BY {bk}feature_label, independent_variable, {categorical}")
+        s2 = (f"SELECT {bk}feature_label, independent_variable, cast(sum(n) AS BIGINT) AS n, count(*) AS k, "
               + ", ".join(f"sum({al[p]}) AS {al[p]}" for p in pairs)
-              + " FROM s1 GROUP BY feature_label, independent_variable")
+              + f" FROM s1 GROUP BY {bk}feature_label, independent_variable")
         nparams = f"k + {len(names)}"
     else:
-        s1 = (f"SELECT feature_label, independent_variable, count(*) AS n, {sums} "
-              f"FROM unp WHERE {notnull} GROUP BY feature_label, independent_variable")
+        s1 = (f"SELECT {bk}feature_label, independent_variable, count(*) AS n, {sums} "
+              f"FROM unp WHERE {notnull} GROUP BY {bk}feature_label, independent_variable")
         s2 = "SELECT * FROM s1"
         nparams = f"{1 + len(names)}"
     S = lambda a, b: al[(a, b)]
@@ -131,12 +133,12 @@ def ols_sql(src: str, ivs: Sequence[str], *, categorical: str | None = None,
         se = f"sqrt({rss} / dfree * {C33} / {det})"
     else:
         raise ValueError("oracle supports up to three slope terms")
-    fitq = (f"SELECT feature_label, independent_variable, n, dfree, "
+    fitq = (f"SELECT {bk}feature_label, independent_variable, n, dfree, "
             f"CASE WHEN {ok} THEN {b} END AS b, CASE WHEN {ok} THEN {se} END AS se "
             f"FROM (SELECT *, cast(n - ({nparams}) AS double) AS dfree FROM s2) q")
     fin = (f"SELECT *, b / se AS t, CASE WHEN se IS NOT NULL THEN {sql_t_critical('dfree', alpha)} END AS crit "
            f"FROM fit")
-    body = (f"SELECT feature_label, independent_variable, "
+    body = (f"SELECT {bk}feature_label, independent_variable, "
             f"{r(f'CASE WHEN se IS NOT NULL THEN {sql_t_two_sided_p("t", "dfree")} END')} AS LR_P_Value, "
             f"{r('b')} AS LR_Effect_Size, {r('b - crit * se')} AS LR_CI_Lower, "
             f"{r('b + crit * se')} AS LR_CI_Upper, n, {r('dfree')} AS df, {r('se')} AS std_err, "
