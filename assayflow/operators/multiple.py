@@ -30,14 +30,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayflow.operators.joins import join_contrast_table
+from assayflow.session import cut_lineage
 
 DEFAULT_BUCKETS = 64
 
 
 def bh_adjust(df: DataFrame, *, p: str = "p_value", by: Sequence[str] = (), out: str = "p_bh",
-              method: str = "window", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """M6: Benjamini-Hochberg adjusted p per contrast ``by`` into ``out``."""
+              method: str = "window", buckets: int = DEFAULT_BUCKETS,
+              materialize: bool = True) -> DataFrame:
+    """M6: Benjamini-Hochberg adjusted p per contrast ``by`` into ``out``.
+
+    The input is a per-feature result table that is read twice (distinct
+    p-values, and the rows the adjustment is joined back to). With
+    ``materialize`` it is checkpointed first - one row per feature and
+    contrast - so the model fit upstream runs once, not once per branch
+    (its p-value projection is non-deterministic to the optimizer, which
+    therefore never shares it between branches)."""
     by = list(by)
+    if materialize:
+        df = cut_lineage(df)
     pv = F.col(p).cast("double")
     valid = df.select(*by, pv.alias("_p")).filter(F.col("_p").isNotNull() & ~F.isnan("_p"))
     distinct = valid.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_c"))
