@@ -168,7 +168,10 @@ def fit(long: DataFrame, *, categorical: str | None = None,
         solved = sums.select(*keys, "_n", "_df", sol["b"].alias("_b"), sol["se"].alias("_se"))
 
     t = F.try_divide(F.col("_b"), F.col("_se"))
-    crit = t_critical(F.col("_df"), alpha)
+    # the critical value is its own column, so each row runs the bisection once
+    solved = solved.withColumn("_crit", F.when(F.col("_se").isNotNull(),
+                                               t_critical(F.col("_df"), alpha)))
+    crit = F.col("_crit")
     out = solved.select(
         *keys,
         F.when(F.col("_se").isNotNull(), t_two_sided_p(t, F.col("_df"))).alias("LR_P_Value"),

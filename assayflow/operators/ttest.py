@@ -56,7 +56,9 @@ def _finish(df: DataFrame, keys: list[str], *, estimate: Column, stderr: Column,
                    if c not in {*keys, "estimate", "_se", "_df", "status"}]
     is_ok = F.col("status") == "ok"
     staged = staged.withColumn("statistic", F.when(is_ok, F.col("estimate") / F.col("_se")))
-    crit = t_critical(F.col("_df"), alpha)
+    # the critical value is its own column, so each row runs the bisection once
+    staged = staged.withColumn("_crit", F.when(is_ok, t_critical(F.col("_df"), alpha)))
+    crit = F.col("_crit")
     out = staged.select(
         *keys, "estimate", *extra_names,
         "statistic",
