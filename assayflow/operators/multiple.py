@@ -8,16 +8,17 @@ so ties need no order. p-values are first reduced to distinct values with
 their multiplicity (a partial aggregation: a p shared by many features
 becomes one row). Then:
 
-* ``method="window"`` (default): running count and suffix minimum are two
-  windows over each contrast's distinct p-values. One task per contrast
-  holds one row per distinct p-value of that contrast - the size of the
-  per-feature result table, never the raw data - and Spark spills window
-  buffers that exceed memory. Three shuffles in total.
-* ``method="buckets"``: for contrasts with hundreds of millions of features,
-  the distinct values are cut into ranges by an approximate-quantile sketch;
-  bucket offsets and bucket minima are tiny per-(contrast, bucket) tables
-  and every window runs over one bucket only. More stages, no task ever
-  holds a whole contrast.
+* ``method="window"``: running count and suffix minimum are two windows over
+  each contrast's distinct p-values; one task per contrast holds them.
+  Three shuffles in total.
+* ``method="buckets"``: the distinct values are cut into ranges by an
+  approximate-quantile sketch; bucket offsets and bucket minima are tiny
+  per-(contrast, bucket) tables and every window runs over one bucket only.
+  More stages, no task ever holds a whole contrast.
+* ``method="auto"`` (default): the input (one row per feature and
+  contrast) is materialized and its largest contrast counted; the window
+  form is used only when that count is proven to be at most
+  ``WINDOW_MAX_ROWS``, the bucketed form otherwise.
 
 NULL p-values are ignored (they do not count in m) and get a NULL result.
 """
@@ -33,11 +34,13 @@ from assayflow.operators.joins import join_contrast_table
 from assayflow.session import cut_lineage
 
 DEFAULT_BUCKETS = 64
+# Largest contrast (rows of the result table) handled by one window task.
+WINDOW_MAX_ROWS = 2_000_000
 
 
 def bh_adjust(df: DataFrame, *, p: str = "p_value", by: Sequence[str] = (), out: str = "p_bh",
-              method: str = "window", buckets: int = DEFAULT_BUCKETS,
-              materialize: bool = True) -> DataFrame:
+              method: str = "auto", buckets: int = DEFAULT_BUCKETS,
+              materialize: bool = True, window_max_rows: int = WINDOW_MAX_ROWS) -> DataFrame:
     """M6: Benjamini-Hochberg adjusted p per contrast ``by`` into ``out``.
 
     The input is a per-feature result table that is read twice (distinct
@@ -47,8 +50,11 @@ def bh_adjust(df: DataFrame, *, p: str = "p_value", by: Sequence[str] = (), out:
     (its p-value projection is non-deterministic to the optimizer, which
     therefore never shares it between branches)."""
     by = list(by)
-    if materialize:
+    if materialize or method == "auto":
         df = cut_lineage(df)
+    if method == "auto":
+        largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        method = "window" if largest <= window_max_rows else "buckets"
     pv = F.col(p).cast("double")
     valid = df.select(*by, pv.alias("_p")).filter(F.col("_p").isNotNull() & ~F.isnan("_p"))
     distinct = valid.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_c"))

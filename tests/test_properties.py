@@ -80,3 +80,13 @@ def test_size_checked_broadcast_path(spark):
     big = join_group_stats(rows, stats, ["k"], max_rows=1)
     assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
     assert sorted(small.collect()) == sorted(big.collect())
+
+
+def test_bh_auto_switches_to_buckets_beyond_the_bound(spark):
+    rng = np.random.default_rng(11)
+    p = rng.uniform(size=200).tolist()
+    df = spark.createDataFrame([("c", i, v) for i, v in enumerate(p)], "c string, f int, p_value double")
+    small = multiple.bh_adjust(df, by=["c"]).orderBy("f").toPandas()
+    forced = multiple.bh_adjust(df, by=["c"], window_max_rows=50).orderBy("f").toPandas()
+    np.testing.assert_allclose(small.p_bh, _bh_np(p), rtol=1e-12)
+    np.testing.assert_allclose(forced.p_bh, _bh_np(p), rtol=1e-12)
