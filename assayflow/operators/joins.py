@@ -7,11 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Per-group statistic tables up to this many rows are broadcast; beyond it
-# the join shuffles both sides (AQE splits skewed partitions of the big side).
-MAX_BROADCAST_ROWS = 1_000_000
-
-
 def join_group_stats(rows: DataFrame, stats: DataFrame, on: Sequence[str], how: str = "inner",
                      max_rows: int | None = None) -> DataFrame:
     """Join a per-group statistics table (one row per key) back onto rows.

@@ -39,10 +39,6 @@ def to_tidy_names(df: DataFrame) -> DataFrame:
     return df
 
 
-def _null() -> Column:
-    return F.lit(None).cast("double")
-
-
 def _finish(df: DataFrame, keys: list[str], *, estimate: Column, stderr: Column,
             dof: Column, status: Column, method: str, alpha: float,
             extra: list[Column] = ()) -> DataFrame:

@@ -4,7 +4,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from assayflow.operators import cohort, foldchange, lod, multiple, preprocess, volcano
 from assayflow.operators.quantile import group_median
