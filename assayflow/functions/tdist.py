@@ -42,12 +42,35 @@ def _two_sided_unguarded(t: Column, df: Column) -> Column:
     return _reg_beta(x, df / 2.0, 0.5)
 
 
+def _sql_ref(x) -> str | None:
+    """SQL text for a column name or a number; None for other Columns."""
+    if isinstance(x, str):
+        return "`" + x.replace("`", "``") + "`"
+    if isinstance(x, (int, float)) and not isinstance(x, bool):
+        return f"CAST({float(x)!r} AS DOUBLE)"
+    return None
+
+
+def _reflect_sql(t: str, df: str) -> str:
+    return (f"CAST(reflect('{_BETA_CLASS}', 'regularizedBeta', CAST({df} / ({df} + {t} * {t}) AS DOUBLE), "
+            f"CAST({df} / 2 AS DOUBLE), CAST(0.5 AS DOUBLE)) AS DOUBLE)")
+
+
 def t_two_sided_p(t, df) -> Column:
     """Two-sided p-value P(|T_df| > |t|).
 
     NULL when t or df is NULL/NaN or df <= 0; 1 when t == 0; 0 when |t| is
-    infinite.
+    infinite. Column names / numbers are turned into one SQL expression
+    (one parse instead of many expression-building calls).
     """
+    ts, ds = _sql_ref(t), _sql_ref(df)
+    if ts is not None and ds is not None:
+        t_, d_ = f"CAST({ts} AS DOUBLE)", f"CAST({ds} AS DOUBLE)"
+        return F.expr(
+            f"CASE WHEN {t_} IS NULL OR {d_} IS NULL OR isnan({t_}) OR isnan({d_}) OR {d_} <= 0 "
+            f"THEN CAST(NULL AS DOUBLE) WHEN {t_} = 0 THEN CAST(1.0 AS DOUBLE) "
+            f"WHEN abs({t_}) = double('inf') THEN CAST(0.0 AS DOUBLE) "
+            f"ELSE {_reflect_sql(t_, d_)} END")
     t, df = _c(t).cast("double"), _c(df).cast("double")
     bad = t.isNull() | df.isNull() | F.isnan(t) | F.isnan(df) | (df <= 0)
     safe_t = F.when(bad, F.lit(1.0)).otherwise(t)
@@ -63,6 +86,17 @@ def t_two_sided_p(t, df) -> Column:
 def t_critical(df, alpha: float = 0.05, steps: int = 60) -> Column:
     """Two-sided critical value c with P(|T_df| > c) = alpha
     (i.e. the (1 - alpha/2) quantile). NULL when df is NULL or <= 0."""
+    ds = _sql_ref(df)
+    if ds is not None:
+        d_ = f"CAST({ds} AS DOUBLE)"
+        mid = "((acc__.lo + acc__.hi) / 2)"
+        tail = _reflect_sql(f"({mid} / (1 - {mid}))", d_)
+        return F.expr(
+            f"CASE WHEN {d_} IS NULL OR isnan({d_}) OR {d_} <= 0 THEN CAST(NULL AS DOUBLE) ELSE "
+            f"aggregate(sequence(1, {int(steps)}), named_struct('lo', CAST(0.0 AS DOUBLE), "
+            f"'hi', CAST(1.0 AS DOUBLE)), (acc__, i__) -> IF({tail} > {float(alpha)!r}, "
+            f"named_struct('lo', {mid}, 'hi', acc__.hi), named_struct('lo', acc__.lo, 'hi', {mid})), "
+            f"acc__ -> {mid} / (1 - {mid})) END")
     df = _c(df).cast("double")
     bad = df.isNull() | F.isnan(df) | (df <= 0)
     safe_df = F.when(bad, F.lit(1.0)).otherwise(df)

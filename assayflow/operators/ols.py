@@ -167,14 +167,14 @@ def fit(long: DataFrame, *, categorical: str | None = None,
         sol = _solve_udf(m)(mat, vec, syy, F.col("_df"))
         solved = sums.select(*keys, "_n", "_df", sol["b"].alias("_b"), sol["se"].alias("_se"))
 
-    t = F.try_divide(F.col("_b"), F.col("_se"))
-    # the critical value is its own column, so each row runs the bisection once
-    solved = solved.withColumn("_crit", F.when(F.col("_se").isNotNull(),
-                                               t_critical(F.col("_df"), alpha)))
-    crit = F.col("_crit")
+    # t and the critical value are their own columns, so each row runs the
+    # bisection once
+    solved = (solved.withColumn("_t", F.try_divide(F.col("_b"), F.col("_se")))
+              .withColumn("_crit", F.when(F.col("_se").isNotNull(), t_critical("_df", alpha))))
+    t, crit = F.col("_t"), F.col("_crit")
     out = solved.select(
         *keys,
-        F.when(F.col("_se").isNotNull(), t_two_sided_p(t, F.col("_df"))).alias("LR_P_Value"),
+        F.when(F.col("_se").isNotNull(), t_two_sided_p("_t", "_df")).alias("LR_P_Value"),
         F.col("_b").alias("LR_Effect_Size"),
         (F.col("_b") - crit * F.col("_se")).alias("LR_CI_Lower"),
         (F.col("_b") + crit * F.col("_se")).alias("LR_CI_Upper"),

@@ -53,12 +53,12 @@ def _finish(df: DataFrame, keys: list[str], *, estimate: Column, stderr: Column,
     is_ok = F.col("status") == "ok"
     staged = staged.withColumn("statistic", F.when(is_ok, F.col("estimate") / F.col("_se")))
     # the critical value is its own column, so each row runs the bisection once
-    staged = staged.withColumn("_crit", F.when(is_ok, t_critical(F.col("_df"), alpha)))
+    staged = staged.withColumn("_crit", F.when(is_ok, t_critical("_df", alpha)))
     crit = F.col("_crit")
     out = staged.select(
         *keys, "estimate", *extra_names,
         "statistic",
-        F.when(is_ok, t_two_sided_p(F.col("statistic"), F.col("_df"))).alias("p_value"),
+        F.when(is_ok, t_two_sided_p("statistic", "_df")).alias("p_value"),
         F.when(is_ok, F.col("_df")).alias("parameter"),
         F.when(is_ok, F.col("estimate") - crit * F.col("_se")).alias("conf_low"),
         F.when(is_ok, F.col("estimate") + crit * F.col("_se")).alias("conf_high"),
