@@ -190,6 +190,33 @@ def ols_sweep_all_time_points(spark: SparkSession, d: str) -> DataFrame:
         details=True))
 
 
+def _ols_ci_sql():
+    body, ctes = sk.ols_sql("src", ["x_quantity"], categorical="site", rounded=False)
+    from assayflow.functions.tdist import sql_t_two_sided_p
+    final = ("SELECT feature_label, independent_variable, round(LR_CI_Lower, 6) AS LR_CI_Lower, "
+             "round(LR_CI_Upper, 6) AS LR_CI_Upper, "
+             f"round({sql_t_two_sided_p('((LR_Effect_Size - LR_CI_Lower) / std_err)', 'df')}, 6) "
+             "AS tail_at_lower, "
+             f"round({sql_t_two_sided_p('((LR_CI_Upper - LR_Effect_Size) / std_err)', 'df')}, 6) "
+             "AS tail_at_upper FROM o")
+    return fx.with_views(final, "assay_long", extra={"src": _OLS_SRC, **ctes, "o": body})
+
+
+@register("ols_ci", _ols_ci_sql())
+def ols_ci(spark: SparkSession, d: str) -> DataFrame:
+    """M1 confidence interval (X11 quantile): the bounds, and the two-sided
+    t tail at each bound - 0.05 by construction of the 95% interval."""
+    from assayflow.functions.tdist import t_two_sided_p
+    res = ols.regress_features(_assay_tp(spark, d), ["x_quantity"], covariate="site",
+                               time_point=TIME_POINT, details=True)
+    res = (res.withColumn("_tl", (F.col("LR_Effect_Size") - F.col("LR_CI_Lower")) / F.col("std_err"))
+              .withColumn("_tu", (F.col("LR_CI_Upper") - F.col("LR_Effect_Size")) / F.col("std_err")))
+    return round_doubles(res.select(
+        "feature_label", "independent_variable", "LR_CI_Lower", "LR_CI_Upper",
+        t_two_sided_p("_tl", "df").alias("tail_at_lower"),
+        t_two_sided_p("_tu", "df").alias("tail_at_upper")))
+
+
 @register("ols_multi_covariate", _ols_oracle(["x_quantity"], categorical="site",
                                              numeric=["site_num", "x_acctbal"]))
 def ols_multi_covariate(spark: SparkSession, d: str) -> DataFrame:
