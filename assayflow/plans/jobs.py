@@ -99,6 +99,20 @@ def regression_job(df: DataFrame, independent_variables: Sequence[str], *, covar
     return res
 
 
+def regression_job_from_table(spark: SparkSession, table_name: str, selected_columns: Sequence[str],
+                              *, covariate: str, independent_variables: Sequence[str],
+                              time_point: str, result_path: str | None = None,
+                              feature: str = "metabolite") -> DataFrame:
+    """D7 as configured in the original notebooks: read the catalog table
+    (A5), keep the selected columns and rename the feature column to
+    ``feature_label`` (P1), fit every independent variable in one job (M2)
+    and write the results partitioned by time point and variable (S4)."""
+    data = (read_source(spark, table_name, "table").select(*selected_columns)
+            .withColumnRenamed(feature, "feature_label"))
+    return regression_job(data, independent_variables, covariate=covariate,
+                          time_point=time_point, out=result_path)
+
+
 @dataclass(frozen=True)
 class TTestResults:
     placebo: DataFrame

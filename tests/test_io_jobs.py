@@ -170,3 +170,20 @@ def test_checkpoint_dir_is_read_from_session(spark):
     assert path and checkpoint_dir(spark) == path             # stable once set
     df = cut_lineage(spark.range(10).withColumn("x", F.col("id") * 2))
     assert df.count() == 10
+
+
+def test_regression_job_from_catalog_table(spark):
+    d = _scratch()
+    a = fx.assay_long(spark, SF001)
+    save_table(spark, a, "assayflow_test_db.mtb_pheno", f"{d}/mtb")
+    res = jobs.regression_job_from_table(
+        spark, "assayflow_test_db.mtb_pheno",
+        ["time_point", "level", "metabolite", "site", "x_quantity", "x_acctbal"],
+        covariate="site", independent_variables=["x_quantity", "x_acctbal"], time_point="1996",
+        result_path=f"{d}/res")
+    assert set(res.columns) >= {"feature_label", "independent_variable", "LR_P_Value",
+                                "LR_Effect_Size", "LR_CI_Lower", "LR_CI_Upper"}
+    back = spark.read.option("header", "true").csv(f"{d}/res")
+    assert back.count() == res.count() and os.path.isdir(
+        f"{d}/res/time_point=1996/independent_variable=x_acctbal")
+    spark.sql("DROP TABLE assayflow_test_db.mtb_pheno")
