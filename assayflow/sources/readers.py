@@ -20,6 +20,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from assayflow.functions.scalar import last_path_segment
 
 GLOB_CHARS = re.compile(r"[*?\[\]{}]")
+# Formats whose column types are inferred from text (keys must be read as strings).
+TEXT_FORMATS = ("csv", "json", "text")
 
 
 def has_glob(path: str) -> bool:
@@ -50,12 +52,17 @@ def read_source(spark: SparkSession, path: str, fmt: str = "csv", *, delimiter:
             reader = reader.option("inferSchema", str(infer_schema).lower())
     for k, v in (options or {}).items():
         reader = reader.option(k, v)
+    text_format = fmt in TEXT_FORMATS
     if schema is not None:
         reader = reader.schema(schema)
-    elif string_columns:
+    elif string_columns and text_format:
         reader = reader.schema(_schema_with_strings(spark, path, fmt, delimiter, header,
                                                     infer_schema, string_columns, options))
     df = reader.load(path)
+    if string_columns and not text_format and schema is None:
+        # typed formats store the key's type; a cast loses nothing there
+        for c in string_columns:
+            df = df.withColumn(c, F.col(c).cast("string"))
     if has_glob(path):
         df = df.withColumn(lineage_column, last_path_segment(F.col("_metadata.file_path")))
     return df

@@ -187,3 +187,10 @@ def test_regression_job_from_catalog_table(spark):
     assert back.count() == res.count() and os.path.isdir(
         f"{d}/res/time_point=1996/independent_variable=x_acctbal")
     spark.sql("DROP TABLE assayflow_test_db.mtb_pheno")
+
+
+def test_string_keys_on_typed_format(spark):
+    d = _scratch()
+    spark.createDataFrame([(7, 1.0), (8, 2.0)], "animal int, level double").write.parquet(f"{d}/p")
+    df = read_source(spark, f"{d}/p", "parquet", string_columns=["animal"])
+    assert dict(df.dtypes)["animal"] == "string" and sorted(r.animal for r in df.collect()) == ["7", "8"]
