@@ -40,3 +40,17 @@ def test_chained_steps_keep_plans_linear(spark):
     for name in ("preprocess_steps", "lod_correct_replace"):
         plan = _plan(qs[name](spark, SF001))
         assert plan.count("Exchange") < 40, name
+
+
+def test_per_feature_statistics_aggregate_before_the_shuffle(spark):
+    """A feature holding a third of all rows is reduced map-side: every
+    statistics aggregation runs a partial step before its exchange."""
+    qs = entry.queries()
+    expect = {"welch_by_feature": ("partial_avg", "partial_var_samp"),
+              "ols_sweep": ("partial_regr_sxy",),
+              "standardize": ("partial_avg", "partial_stddev_pop"),
+              "fold_change_groups": ("partial_percentile_approx", "partial_count")}
+    for name, parts in expect.items():
+        plan = _plan(qs[name](spark, SF001))
+        for p in parts:
+            assert p in plan, (name, p)
