@@ -123,14 +123,17 @@ def welch_by_group(df: DataFrame, *, feature: str = "metabolite", group: str = "
 def pivot_visits(df: DataFrame, *, id_cols: Sequence[str] = ("metabolite", "animal"),
                  names_from: str = "Visit", values_from: str = "level",
                  values: Sequence[str] = ("Day0", "Day10", "Day20"),
-                 fill: float | None = 0.0) -> DataFrame:
+                 fill: float | None = 0.0, on_duplicate: str = "avg") -> DataFrame:
     """Long -> wide by visit with ``fill`` for *absent* cells.
 
     A cell whose row exists but whose level is NULL stays NULL; only cells
-    with no row at all get ``fill``. Duplicate rows in a cell are averaged.
-    ``id_cols`` is explicit (never "all other columns"). The pivot values are
-    always given, so no extra job collects them.
+    with no row at all get ``fill``. Duplicate rows in a cell are averaged,
+    or fail the job with ``on_duplicate="error"``. ``id_cols`` is explicit
+    (never "all other columns"). The pivot values are always given, so no
+    extra job collects them.
     """
+    if on_duplicate not in ("avg", "error"):
+        raise ValueError(f"on_duplicate must be 'avg' or 'error', not {on_duplicate!r}")
     name = F.col(names_from)
     aggs = []
     for v in values:
@@ -141,6 +144,10 @@ def pivot_visits(df: DataFrame, *, id_cols: Sequence[str] = ("metabolite", "anim
     for v in values:
         filled = F.col(f"_v_{v}") if fill is None else F.when(
             F.col(f"_p_{v}") == 0, F.lit(float(fill))).otherwise(F.col(f"_v_{v}"))
+        if on_duplicate == "error":
+            filled = F.when(F.col(f"_p_{v}") > 1, F.raise_error(
+                F.lit(f"duplicate rows in a {names_from}={v} cell")).cast("double")
+            ).otherwise(filled)
         out.append(filled.alias(v))
     return wide.select(*out)
 

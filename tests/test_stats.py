@@ -85,6 +85,9 @@ def test_paired_zero_fill_absent_not_null(spark):
                           F.col("Day0").alias("Day10"))
     r2 = ttest.paired_t(swapped, timepoints=("Day10",)).first()
     assert r2.statistic == pytest.approx(-res.statistic)
+    # a4 has two Day10 rows: averaged by default, an error on request
+    with pytest.raises(Exception, match="duplicate rows"):
+        ttest.pivot_visits(df, values=("Day0", "Day10"), on_duplicate="error").collect()
 
 
 def _lstsq(X, y):
