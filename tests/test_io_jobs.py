@@ -194,3 +194,30 @@ def test_string_keys_on_typed_format(spark):
     spark.createDataFrame([(7, 1.0), (8, 2.0)], "animal int, level double").write.parquet(f"{d}/p")
     df = read_source(spark, f"{d}/p", "parquet", string_columns=["animal"])
     assert dict(df.dtypes)["animal"] == "string" and sorted(r.animal for r in df.collect()) == ["7", "8"]
+
+
+def test_study_config_runners(spark):
+    from assayflow.plans.config import StudyConfig, run_preprocessing, run_regression
+    d = _scratch()
+    save_table(spark, fx.assay_long(spark, SF001), "assayflow_test_db.cfg_tbl", f"{d}/tbl")
+    pheno = _write_csv_pd(fx.pheno(spark, SF001), f"{d}/pheno.csv")
+    manifest = _write_csv_pd(fx.manifest(spark, SF001), f"{d}/manifest.csv")
+    gw = fx.grand_wide(spark, SF001)
+    samples = _write_csv_pd(gw.select(F.replace(F.trim("sample_id"), F.lit(" "), F.lit(""))
+                                      .alias("sample_id")), f"{d}/samples.csv")
+    assay = _write_csv_pd(gw, f"{d}/assay.csv")
+    cfg = StudyConfig.from_nested({
+        "data": {"table_name": "assayflow_test_db.cfg_tbl",
+                 "selected_columns": ["time_point", "level", "metabolite", "site", "x_quantity"]},
+        "analysis": {"covariate": "site", "independent_variable_list": ["x_quantity"],
+                     "time_point": "1996", "result_path": f"{d}/res"},
+        "files": {"pheno": pheno, "manifest": manifest, "sample_metadata": samples,
+                  "metab": {"serum": assay}, "grand_table_path": f"{d}/gt"},
+        "wide2long": {"id_vars_base": ["sample_id", "animal_y"]},
+        "preprocessing": {"steps": ["replace_zero", "fill_na", "scale"],
+                          "fill_na": {"impute_strategy": "min"}},
+    })
+    assert cfg.dropping_thres == 0.9 and cfg.steps == ("replace_zero", "fill_na", "scale")
+    assert run_regression(spark, cfg).count() > 0
+    assert run_preprocessing(spark, cfg).count() > 0
+    spark.sql("DROP TABLE assayflow_test_db.cfg_tbl")
