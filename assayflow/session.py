@@ -43,7 +43,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     created and registered; on a cluster a missing setting is an error
     rather than a silent machine-local folder.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote sessions have no SparkContext
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder to cut lineage")
+        return path
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
         if not sc.master.startswith("local"):
