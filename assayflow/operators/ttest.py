@@ -162,36 +162,38 @@ def _stack_contrasts(wide: DataFrame, keys: Sequence[str], baseline: str,
 
 
 def paired_t(wide: DataFrame, *, feature: str = "metabolite", baseline: str = "Day0",
-             timepoints: Sequence[str] = ("Day10", "Day20"), alpha: float = 0.05) -> DataFrame:
+             timepoints: Sequence[str] = ("Day10", "Day20"), alpha: float = 0.05,
+             by: Sequence[str] = ()) -> DataFrame:
     """M4: paired t-test baseline vs each time point, per feature.
 
     d = baseline - time point over rows where both are present;
     statistic = mean(d) / (sd(d) / sqrt(n)), df = n - 1. All time points are
     computed in one aggregation.
     """
-    long = _stack_contrasts(wide, [feature], baseline, timepoints)
+    long = _stack_contrasts(wide, [*by, feature], baseline, timepoints)
     d = F.col("x") - F.col("y")
-    mom = long.groupBy(feature, "time_point").agg(
+    mom = long.groupBy(*by, feature, "time_point").agg(
         F.count(d).alias("_n"), F.avg(d).alias("_m"), F.var_samp(d).alias("_v"))
     n, m, v = F.col("_n"), F.col("_m"), F.col("_v")
     se = F.sqrt(v / n)
     status = (F.when(n < 2, F.lit("not_enough_x"))
               .when((se <= 0) | (se < 10 * DOUBLE_EPS * F.abs(m)), F.lit("constant"))
               .otherwise(F.lit("ok")))
-    return _finish(mom, [feature, "time_point"], estimate=m, stderr=se,
+    return _finish(mom, [*by, feature, "time_point"], estimate=m, stderr=se,
                    dof=(n - 1).cast("double"), status=status, method=PAIRED_METHOD, alpha=alpha)
 
 
 def unpaired_t(wide: DataFrame, *, feature: str = "metabolite", baseline: str = "Day0",
-               timepoints: Sequence[str] = ("Day10", "Day20"), alpha: float = 0.05) -> DataFrame:
+               timepoints: Sequence[str] = ("Day10", "Day20"), alpha: float = 0.05,
+               by: Sequence[str] = ()) -> DataFrame:
     """M5: Welch t-test of two wide columns (baseline vs each time point),
     missing values removed per column."""
-    long = _stack_contrasts(wide, [feature], baseline, timepoints)
+    long = _stack_contrasts(wide, [*by, feature], baseline, timepoints)
     x, y = F.col("x"), F.col("y")
-    mom = long.groupBy(feature, "time_point").agg(
+    mom = long.groupBy(*by, feature, "time_point").agg(
         F.count(x).alias("_n0"), F.avg(x).alias("_m0"), F.var_samp(x).alias("_v0"),
         F.count(y).alias("_n1"), F.avg(y).alias("_m1"), F.var_samp(y).alias("_v1"))
     est, se, dof, status = _welch_from_moments(
         F.col("_n0"), F.col("_m0"), F.col("_v0"), F.col("_n1"), F.col("_m1"), F.col("_v1"))
-    return _finish(mom, [feature, "time_point"], estimate=est, stderr=se, dof=dof,
+    return _finish(mom, [*by, feature, "time_point"], estimate=est, stderr=se, dof=dof,
                    status=status, method=WELCH_METHOD, alpha=alpha)

@@ -62,6 +62,30 @@ def welch_by_feature(spark: SparkSession, d: str) -> DataFrame:
     return round_doubles(ttest.welch_by_group(v, by=["Visit"]))
 
 
+_WELCH_ALL_SQL = fx.with_views(
+    sk.ttest_finish("mom", ["Treatment", "Visit", "metabolite"], **sk.welch_parts(nother="nother"),
+                    method=ttest.WELCH_METHOD, extra=[("m0", "estimate1"), ("m1", "estimate2")]),
+    "visits_long",
+    extra={
+        "src": ("SELECT metabolite, animal, replace(Visit, ' ', '') AS Visit, Treatment, "
+                "Progressive, level FROM visits_long"),
+        "mom": ("SELECT Treatment, Visit, metabolite, "
+                + sk.welch_moments("Progressive = 0", "Progressive = 1", "level")
+                + ", count(CASE WHEN Progressive NOT IN (0, 1) THEN 1 END) AS nother "
+                "FROM src WHERE level IS NOT NULL AND Progressive IS NOT NULL "
+                "GROUP BY Treatment, Visit, metabolite"),
+    },
+)
+
+
+@register("welch_all_arms", _WELCH_ALL_SQL)
+def welch_all_arms(spark: SparkSession, d: str) -> DataFrame:
+    """M3 with the arm loop fused as well: Welch t per (arm, visit, feature)
+    over the whole long table in one aggregation."""
+    v = fx.visits_long(spark, d).withColumn("Visit", clean_visit("Visit"))
+    return round_doubles(ttest.welch_by_group(v, by=["Treatment", "Visit"]))
+
+
 def _sql_pivot(treatment):
     cols = ", ".join(
         f"CASE WHEN count(CASE WHEN Visit = '{v}' THEN 1 END) = 0 THEN 0.0 "
@@ -129,6 +153,37 @@ def unpaired_t(spark: SparkSession, d: str) -> DataFrame:
     return round_doubles(ttest.unpaired_t(wide, baseline=BASELINE, timepoints=FOLLOWUPS))
 
 
+_PIVOT_ALL = (
+    "SELECT Treatment, metabolite, animal, " + ", ".join(
+        f"CASE WHEN count(CASE WHEN Visit = '{v}' THEN 1 END) = 0 THEN 0.0 "
+        f"ELSE avg(CASE WHEN Visit = '{v}' THEN level END) END AS {v}" for v in VISITS)
+    + " FROM (SELECT metabolite, animal, replace(Visit, ' ', '') AS Visit, Treatment, level "
+      "FROM visits_long) s GROUP BY Treatment, metabolite, animal")
+_STACK_ALL = " UNION ALL ".join(
+    f"SELECT Treatment, metabolite, '{tp}' AS time_point, {BASELINE} AS x, {tp} AS y FROM wide"
+    for tp in FOLLOWUPS)
+
+
+@register("paired_t_all_arms", fx.with_views(
+    sk.ttest_finish(
+        "mom", ["Treatment", "metabolite", "time_point"], est="m",
+        se="sqrt(v / n)", dof="cast(n - 1 AS double)",
+        status=(f"CASE WHEN n < 2 THEN 'not_enough_x' WHEN sqrt(v / n) <= 0 OR "
+                f"sqrt(v / n) < 10 * {sk.EPS} * abs(m) THEN 'constant' ELSE 'ok' END"),
+        method=ttest.PAIRED_METHOD),
+    "visits_long",
+    extra={"wide": _PIVOT_ALL, "st": _STACK_ALL,
+           "mom": ("SELECT Treatment, metabolite, time_point, count(x - y) AS n, avg(x - y) AS m, "
+                   "var_samp(x - y) AS v FROM st GROUP BY Treatment, metabolite, time_point")}))
+def paired_t_all_arms(spark: SparkSession, d: str) -> DataFrame:
+    """M4 with the arm as a key: paired t per (arm, feature, later visit)
+    over the whole long table."""
+    v = fx.visits_long(spark, d).withColumn("Visit", clean_visit("Visit"))
+    wide = ttest.pivot_visits(v, id_cols=("Treatment", "metabolite", "animal"), values=VISITS)
+    return round_doubles(ttest.paired_t(wide, baseline=BASELINE, timepoints=FOLLOWUPS,
+                                        by=["Treatment"]))
+
+
 # --- regression (M1, M2, U1, P1, P2, F1, G4) ------------------------------
 
 TIME_POINT = "1996"
