@@ -184,6 +184,23 @@ def paired_t_all_arms(spark: SparkSession, d: str) -> DataFrame:
                                         by=["Treatment"]))
 
 
+@register("unpaired_t_all_arms", fx.with_views(
+    sk.ttest_finish("mom", ["Treatment", "metabolite", "time_point"], **sk.welch_parts(),
+                    method=ttest.WELCH_METHOD),
+    "visits_long",
+    extra={"wide": _PIVOT_ALL, "st": _STACK_ALL,
+           "mom": ("SELECT Treatment, metabolite, time_point, count(x) AS n0, avg(x) AS m0, "
+                   "var_samp(x) AS v0, count(y) AS n1, avg(y) AS m1, var_samp(y) AS v1 "
+                   "FROM st GROUP BY Treatment, metabolite, time_point")}))
+def unpaired_t_all_arms(spark: SparkSession, d: str) -> DataFrame:
+    """M5 with the arm as a key: Welch t of Day0 vs each later visit column
+    per (arm, feature) over the whole long table."""
+    v = fx.visits_long(spark, d).withColumn("Visit", clean_visit("Visit"))
+    wide = ttest.pivot_visits(v, id_cols=("Treatment", "metabolite", "animal"), values=VISITS)
+    return round_doubles(ttest.unpaired_t(wide, baseline=BASELINE, timepoints=FOLLOWUPS,
+                                          by=["Treatment"]))
+
+
 # --- regression (M1, M2, U1, P1, P2, F1, G4) ------------------------------
 
 TIME_POINT = "1996"
