@@ -1,8 +1,8 @@
 """Per-feature preprocessing on the long model (Z1-Z9) and reshapes.
 
 Every statistic is per feature over all samples: computed by one partial
-aggregation and joined back (broadcast when the per-feature table is proven
-small, see ``joins.join_group_stats``). A run of steps is a fold of
+aggregation and joined back (broadcast once adaptive execution has measured
+the per-feature table as small, see ``joins.join_group_stats``). A run of steps is a fold of
 ``DataFrame.transform`` over named steps; each step scans the input once.
 
 Input shape: ``(id columns..., feature, level)`` with one row per

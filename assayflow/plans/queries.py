@@ -399,6 +399,24 @@ def fold_change_groups(spark: SparkSession, d: str) -> DataFrame:
         _visits_clean(spark, d, PLACEBO), by=["Visit"]))
 
 
+@register("fold_change_groups_all_arms", fx.with_views(
+    "SELECT Treatment, Visit, metabolite, round(non_progressive, 6) AS non_progressive, "
+    "round(progressive, 6) AS progressive, round(fold_change, 6) AS fold_change, "
+    "round(log2_fold_change, 6) AS log2_fold_change FROM (SELECT *, "
+    + sk.fc_cols("progressive", "non_progressive") + " FROM fcw) z",
+    "visits_long", extra={
+        "src": ("SELECT metabolite, animal, replace(Visit, ' ', '') AS Visit, Treatment, "
+                "Progressive, level FROM visits_long"),
+        "fcw": sk.median_pivot_sql("src", keys=["Treatment", "Visit", "metabolite"],
+                                   group="Progressive", value="level", groups=(0, 1),
+                                   labels=("non_progressive", "progressive"))}))
+def fold_change_groups_all_arms(spark: SparkSession, d: str) -> DataFrame:
+    """M8 with the arm as a key: group-median fold change per (arm, visit,
+    feature) over the whole long table."""
+    v = fx.visits_long(spark, d).withColumn("Visit", clean_visit("Visit"))
+    return round_doubles(foldchange.fold_change_groups(v, by=["Treatment", "Visit"]))
+
+
 @register("pivot_group_median", fx.with_views(
     "SELECT Treatment, Visit, metabolite, round(non_progressive, 6) AS non_progressive, "
     "round(progressive, 6) AS progressive FROM pm",
