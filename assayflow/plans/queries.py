@@ -537,3 +537,51 @@ def volcano_dataset(spark: SparkSession, d: str) -> DataFrame:
 def significant_count(spark: SparkSession, d: str) -> DataFrame:
     """per visit, rows and counts under P < 1e-4 and p_bh < 0.1."""
     return volcano.significance_counts(_volcano_spark(spark, d), by=["Visit"])
+
+
+# Volcano over every (arm, visit) contrast of the whole table in one job.
+_ALL_SRC = ("SELECT metabolite, animal, replace(Visit, ' ', '') AS Visit, Treatment, Progressive, "
+            "level FROM visits_long")
+_ALL_MOM = ("SELECT Treatment, Visit, metabolite, "
+            + sk.welch_moments("Progressive = 0", "Progressive = 1", "level")
+            + ", count(CASE WHEN Progressive NOT IN (0, 1) THEN 1 END) AS nother "
+            "FROM src WHERE level IS NOT NULL AND Progressive IS NOT NULL "
+            "GROUP BY Treatment, Visit, metabolite")
+
+
+def _volcano_all_sql(final: str) -> str:
+    keys = ["Treatment", "Visit", "metabolite"]
+    welch = sk.ttest_finish("mom", keys, **sk.welch_parts(nother="nother"),
+                            method=ttest.WELCH_METHOD, rounded=False,
+                            extra=[("m0", "estimate1"), ("m1", "estimate2")])
+    fcg = sk.median_pivot_sql("src", keys=keys, group="Progressive", value="level",
+                              groups=(0, 1), labels=("non_progressive", "progressive"))
+    on = " AND ".join(f"b.{k} = f.{k}" for k in keys)
+    joined = ("SELECT " + ", ".join(f"coalesce(b.{k}, f.{k}) AS {k}" for k in keys)
+              + ", b.estimate, b.estimate1, b.estimate2, b.statistic, b.p_value AS P, "
+              "b.parameter, b.conf_low, b.conf_high, b.method, b.alternative, b.status, b.p_bh, "
+              "f.non_progressive, f.progressive, f.fold_change, f.log2_fold_change "
+              f"FROM bh b FULL OUTER JOIN fcx f ON {on}")
+    vol = ("SELECT *, cast(NULL AS VARCHAR) AS ID, coalesce(P < 0.0001, false) AS is_sig, "
+           "CASE WHEN P = 0 THEN 'Infinity'::DOUBLE WHEN P > 0 THEN -log10(P) END AS log_p, "
+           "false AS has_id FROM vj")
+    return fx.with_views(final, "visits_long", extra={
+        "src": _ALL_SRC, "mom": _ALL_MOM, "w": welch,
+        "bh": sk.bh_sql("w", p="p_value", by=["Treatment", "Visit"], order_key="metabolite"),
+        "fcw": fcg, "fcx": f"SELECT *, {sk.fc_cols('progressive', 'non_progressive')} FROM fcw",
+        "vj": joined, "vol": vol})
+
+
+@register("volcano_all_contrasts", _volcano_all_sql(
+    "SELECT Treatment, " + ", ".join(f"round({c}, 6) AS {c}" if c in _ROUND_VOL else c
+                                     for c in _VOL_COLS) + " FROM vol"))
+def volcano_all_contrasts(spark: SparkSession, d: str) -> DataFrame:
+    """M16 fused over every (arm, visit) contrast of the whole long table:
+    Welch -> BH per contrast -> full outer join with group fold change ->
+    volcano flags, one job instead of one per contrast."""
+    v = fx.visits_long(spark, d).withColumn("Visit", clean_visit("Visit"))
+    by = ["Treatment", "Visit"]
+    stats = ttest.welch_by_group(v, by=by)
+    fc = foldchange.fold_change_groups(v, by=by)
+    vol = volcano.volcano_table(stats, fc, by=by, sig_column="P", threshold=1e-4)
+    return round_doubles(vol.select("Treatment", *_VOL_COLS))
