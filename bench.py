@@ -28,7 +28,8 @@ from assayflow.plans.queries import SWEEP_VARIABLES, TIME_POINT  # noqa: E402
 from assayflow.session import local_session  # noqa: E402
 
 HEADLINE = [
-    "welch_by_feature", "paired_t", "unpaired_t", "ols_sweep", "ols_sweep_all_time_points",
+    "welch_by_feature", "welch_all_arms", "paired_t", "unpaired_t", "ols_sweep",
+    "ols_sweep_all_time_points", "volcano_all_contrasts",
     "ols_multi_covariate",
     "bh_adjust", "fdr_threshold", "fold_change_groups", "fold_change_visits", "volcano_dataset",
     "preprocess_steps", "impute_uniform", "melt_wide", "modified_z", "lod_correct_replace",
