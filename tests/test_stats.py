@@ -145,3 +145,20 @@ def test_ols_degenerate_gives_null(spark):
     for f in ("few", "flat", "within"):
         assert res[f].LR_Effect_Size is None and res[f].LR_P_Value is None
     assert "z" not in res  # no complete row left after the x != 0 filter
+
+
+def test_fused_arm_key_equals_per_arm_runs(spark):
+    """Loop fusion must not change results: the by-arm job equals one job per arm."""
+    v = fx.visits_long(spark, SF001).withColumn("Visit", F.replace("Visit", F.lit(" "), F.lit("")))
+    visits = ("Day0", "Day10", "Day20")
+    wide = ttest.pivot_visits(v, id_cols=("Treatment", "metabolite", "animal"), values=visits)
+    fused = {(r.Treatment, r.metabolite, r.time_point): r.statistic
+             for r in ttest.paired_t(wide, timepoints=visits[1:], by=["Treatment"]).collect()}
+    for arm in ("T01", "T02", "T03"):
+        w = ttest.pivot_visits(v.filter(F.col("Treatment") == arm), values=visits)
+        for r in ttest.paired_t(w, timepoints=visits[1:]).collect():
+            assert fused[(arm, r.metabolite, r.time_point)] == pytest.approx(r.statistic, nan_ok=True)
+    welch = {(r.Treatment, r.Visit, r.metabolite): r.p_value
+             for r in ttest.welch_by_group(v, by=["Treatment", "Visit"]).collect()}
+    for r in ttest.welch_by_group(v.filter(F.col("Treatment") == "T02"), by=["Visit"]).collect():
+        assert welch[("T02", r.Visit, r.metabolite)] == pytest.approx(r.p_value)
