@@ -3,7 +3,9 @@ checkpoint folder for jobs that cut lineage."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,13 +37,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts.
+    """Shared folder for lineage cuts and intermediate tables.
 
-    Uses ``spark.checkpoint.dir`` (or a checkpoint folder already set on the
-    context): on a cluster that names a shared file system. Only for a local
-    master with nothing configured - tests - a fresh scratch folder is
-    created and registered; on a cluster a missing setting is an error
-    rather than a silent machine-local folder.
+    It is ``spark.checkpoint.dir`` or a checkpoint folder already set on the
+    context: on a cluster that names a shared file system, and a missing
+    setting is an error. Only a session with a local master and nothing
+    configured - tests, the bench - gets a scratch folder, which is removed
+    when Python ends; no session setting is changed.
     """
     try:
         sc = spark.sparkContext
@@ -55,7 +57,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder to cut lineage")
         path = tempfile.mkdtemp(prefix="assayflow-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
