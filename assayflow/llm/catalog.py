@@ -7,14 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayflow.llm import exact_dedup, sharding
+from assayflow.llm import bpe, exact_dedup, licenses, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": licenses.query,
     "op2_exact_dedup": exact_dedup.query,
+    "op6_byte_bpe": bpe.query,
     "op7_hilbert_sharding": sharding.query,
 }
 
 ORACLE: dict[str, str] = {
+    "op1_license_scan": licenses.SQL,
     "op2_exact_dedup": exact_dedup.SQL,
     "op7_hilbert_sharding": sharding.SQL,
 }
