@@ -7,13 +7,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayflow.llm import bpe, exact_dedup, licenses, sharding
+from assayflow.llm import bpe, exact_dedup, licenses, near_dedup, pii, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.query,
     "op2_exact_dedup": exact_dedup.query,
     "op6_byte_bpe": bpe.query,
     "op7_hilbert_sharding": sharding.query,
+    "op9_weak_pii": pii.query,
+    "op10_order_minhash": near_dedup.query,
 }
 
 ORACLE: dict[str, str] = {
