@@ -2,11 +2,11 @@
 
 The merges of a word are a fold over its array of byte pieces: each step joins
 the leftmost adjacent pair of the lowest rank, found in a rank map that is a
-constant of the plan. Distinct words are encoded once: their counts are taken
-over the whole corpus, and the frequent ones - as many as fit ``CACHE_WORDS``,
-which bounds what is broadcast - become a second constant map word -> ids.
-Words outside that map are folded where they stand, so ids never depend on it.
-Decoding looks up the bytes of every id and concatenates the pieces.
+constant of the plan. Distinct words are folded once: the words of a bounded
+sample of documents, at most ``CACHE_WORDS`` of them, become a second constant
+map word -> ids, which answers for nearly all words of any text. A word outside
+it is folded where it stands, so ids never depend on the sample. Decoding looks
+up the bytes of every id and concatenates the pieces.
 
 Both constants are session variables, set from a one-row query and inlined as
 literals when the plan is built; they are arrays of small maps addressed by
@@ -28,18 +28,29 @@ from pyspark.sql import functions as F
 
 from assayflow.llm.common import materialize, table, words_expr
 
-#: Most words in the constant word map, and the longest word in it (bytes):
-#: 2^19 words are about 40 MB.
-CACHE_WORDS, CACHE_WORD_BYTES = 1 << 19, 64
-WORD_BUCKETS, RANK_BUCKETS = 1 << 16, 1 << 14
+#: Documents whose distinct words are folded once, the most words kept of
+#: them, and the longest word kept (bytes): about 60 MB at most.
+CACHE_DOCS, CACHE_WORDS, CACHE_WORD_BYTES = 20_000, 1 << 20, 64
+WORD_BUCKETS, RANK_BUCKETS = 1 << 18, 1 << 15
 #: Stands for "no merge" in the fold.
 NO_RANK = 1 << 30
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
+# Fixed value: the characters that Unicode calls white space.
+WHITE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+
+
 def split_pattern() -> str:
-    """The public pattern, with Unicode classes in the JVM's syntax."""
-    return "(?U)" + importlib.import_module("public_tokenizers").PATTERN
+    """The public pattern in the JVM's syntax: white space spelled out, and
+    the alternatives that start with a letter or digit tried first. No two
+    alternatives before the last three start alike, so their order is free."""
+    public = importlib.import_module("public_tokenizers").PATTERN
+    expected = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    if public != expected:
+        raise ValueError("the public split pattern has changed")
+    return (r" ?\p{L}++| ?\p{N}++|'(?:[stmd]|re|ve|ll)"
+            rf"| ?[^{WHITE}\p{{L}}\p{{N}}]++|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
 def read_ranks(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -92,34 +103,43 @@ def _lookup(maps: Column, key: Column, buckets: int) -> Column:
     return F.try_element_at(F.get(maps, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), key)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold_word(word: Column, rank_of) -> Column:
     """Ids of one word (binary): pieces start as single bytes, with the rank
     of each adjacent pair; every step merges the best pair and looks up the
     two pairs that changed."""
-    n = F.octet_length(word)
-    pieces = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))
+    none = F.array().cast("array<int>")
     pair = lambda a, b: F.coalesce(rank_of(F.concat(a, b)), F.lit(NO_RANK))
-    ranks = F.transform(F.sequence(F.lit(1), n), lambda i: F.when(
-        i < n, pair(F.substring(word, i, F.lit(1)), F.substring(word, i + 1, F.lit(1)))).otherwise(F.lit(NO_RANK)))
 
     def step(acc: Column, _: Column) -> Column:
-        best = F.array_min(acc["ranks"])
-        return F.when(best >= NO_RANK, acc).otherwise(merge(acc, F.array_position(acc["ranks"], best).cast("int")))
-
-    def merge(acc: Column, at: Column) -> Column:
-        p, r = acc["pieces"], acc["ranks"]
-        made = F.concat(F.get(p, at - 1), F.get(p, at))
-        left = F.when(at > 1, F.array(pair(F.get(p, at - 2), made))).otherwise(F.array().cast("array<int>"))
-        right = F.when(at + 1 < F.size(p), pair(made, F.get(p, at + 1))).otherwise(F.lit(NO_RANK))
-        return F.struct(
-            F.concat(F.slice(p, F.lit(1), at - 1), F.array(made), F.slice(p, at + 2, F.size(p))).alias("pieces"),
-            F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), left, F.array(right),
-                     F.slice(r, at + 2, F.size(r))).alias("ranks"))
-
-    start = F.struct(pieces.alias("pieces"), ranks.alias("ranks"))
-    steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
-    folded = F.aggregate(steps, start, step, lambda acc: acc["pieces"])
-    return F.transform(folded, rank_of)
+        return _let(F.array_min(acc["ranks"]), lambda best: F.when(best >= NO_RANK, acc).otherwise(
+            _let(F.array_position(acc["ranks"], best).cast("int"), lambda at: merge(acc["pieces"], acc["ranks"], at))))
+
+    def merge(p: Column, r: Column, at: Column) -> Column:
+        def joined(made: Column) -> Column:
+            left = F.when(at > 1, F.array(pair(F.get(p, at - 2), made))).otherwise(none)
+            right = F.when(at + 1 < F.size(p), pair(made, F.get(p, at + 1))).otherwise(F.lit(NO_RANK))
+            return F.struct(
+                F.concat(F.slice(p, F.lit(1), at - 1), F.array(made), F.slice(p, at + 2, F.size(p))).alias("pieces"),
+                F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), left, F.array(right),
+                         F.slice(r, at + 2, F.size(r))).alias("ranks"))
+        return _let(F.concat(F.get(p, at - 1), F.get(p, at)), joined)
+
+    def whole(n: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))
+        ranks = F.transform(F.sequence(F.lit(1), n), lambda i: F.when(
+            i < n, F.coalesce(rank_of(F.substring(word, i, F.lit(2))), F.lit(NO_RANK))).otherwise(F.lit(NO_RANK)))
+        steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(none)
+        return F.aggregate(steps, F.struct(pieces.alias("pieces"), ranks.alias("ranks")), step,
+                           lambda acc: F.transform(acc["pieces"], rank_of))
+
+    # a word that is a piece itself is its own id
+    return _let(rank_of(word), lambda own: F.when(own.isNotNull(), F.array(own)).otherwise(
+        _let(F.octet_length(word), whole)))
 
 
 def _rank_lookup(constants: Constants, ranks: DataFrame):
@@ -127,28 +147,31 @@ def _rank_lookup(constants: Constants, ranks: DataFrame):
     return lambda piece: _lookup(maps, piece, RANK_BUCKETS)
 
 
-def word_ids(texts: DataFrame, text: str, rank_of, cache_words: int = CACHE_WORDS) -> DataFrame:
-    """(word, ids) of the corpus's frequent words, each encoded once. The
-    smallest count that keeps at most ``cache_words`` words is read off a
-    histogram of the counts (one row per count up to 1,000)."""
-    words = texts.select(F.explode(words_expr(F.col(text), split_pattern())).alias("word"))
+def word_ids(texts: DataFrame, text: str, rank_of, cache_docs: int = CACHE_DOCS,
+             cache_words: int = CACHE_WORDS) -> DataFrame:
+    """(word, ids) of the distinct words of about ``cache_docs`` texts, taken
+    by their hash. Beyond ``cache_words`` words the most frequent stay: the
+    least count kept is read off a histogram of the counts."""
+    share = min(1.0, cache_docs / max(1, texts.count()))
+    sample = texts.filter(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < int(share * (1 << 20)))
+    words = sample.select(F.explode(words_expr(F.col(text), split_pattern())).alias("word"))
     counts = materialize(words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-                         .filter((F.octet_length("word") <= CACHE_WORD_BYTES) & (F.col("n") > 1)))
+                         .filter(F.octet_length("word") <= CACHE_WORD_BYTES))
     levels = counts.groupBy(F.least("n", F.lit(1000)).alias("level")).agg(F.count(F.lit(1)).alias("words")).collect()
     least, kept = 1001, 0
     for level, words_at in sorted(levels, reverse=True):
         if kept + words_at > cache_words:
             break
         least, kept = level, kept + words_at
-    return counts.filter(F.col("n") >= least).select(
-        "word", fold_word(F.col("word").cast("binary"), rank_of).alias("ids"))
+    frequent = counts.filter(F.col("n") >= least).repartition("word")
+    return frequent.select("word", fold_word(F.col("word").cast("binary"), rank_of).alias("ids"))
 
 
-def encode(docs: DataFrame, text: str, ids: str, ranks: DataFrame, cache_words: int = CACHE_WORDS) -> DataFrame:
+def encode(docs: DataFrame, text: str, ids: str, ranks: DataFrame, cache_docs: int = CACHE_DOCS) -> DataFrame:
     """Add the array of token ids of every text."""
     with Constants(docs.sparkSession) as constants:
         rank_of = _rank_lookup(constants, ranks)
-        cache = materialize(word_ids(docs, text, rank_of, cache_words))
+        cache = materialize(word_ids(docs, text, rank_of, cache_docs))
         known = constants.add(_bucketed(cache, "word", "ids", WORD_BUCKETS))
 
         def of_word(word: Column) -> Column:

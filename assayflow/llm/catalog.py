@@ -7,13 +7,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayflow.llm import bpe, exact_dedup, licenses, near_dedup, pii, sharding
+from assayflow.llm import (
+    bpe,
+    decontaminate,
+    exact_dedup,
+    language,
+    licenses,
+    near_dedup,
+    pii,
+    quality,
+    sharding,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.query,
     "op2_exact_dedup": exact_dedup.query,
+    "op3_bm25_decontamination": decontaminate.query,
+    "op4_toxicity_chain": toxicity.query,
+    "op5_language_backoff": language.query,
     "op6_byte_bpe": bpe.query,
     "op7_hilbert_sharding": sharding.query,
+    "op8_quality_trees": quality.query,
     "op9_weak_pii": pii.query,
     "op10_order_minhash": near_dedup.query,
 }
