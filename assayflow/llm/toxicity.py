@@ -1,8 +1,8 @@
 """Toxicity by a classifier chain (operator 4).
 
 Categories are predicted one after the other by linear (logistic) models over
-word features; each model also gets the probabilities of the categories before
-it. While training, those probabilities are out of fold: a model fitted on the
+the words of a text and their beginnings; each model also gets the
+probabilities of the categories before it. While training, those probabilities are out of fold: a model fitted on the
 other folds predicts them, so a later model sees the errors it will meet.
 
 The last category is the label ``toxic``. The categories before it split the
@@ -11,7 +11,7 @@ are only targets of training and give the chain its intermediate steps.
 
 Fitting uses a bounded sample: about ``SAMPLE`` labelled documents, taken by
 the hash of their id, none of the held-out quarter. The ``VOCABULARY`` words
-most associated with the label in the sample are the features.
+and beginnings most associated with the label in the sample are the features.
 
 Defined results: NULL and empty texts have no words and get the chain's base
 rate; each input row gives one row, repeated rows and NULL ids included;
@@ -38,7 +38,9 @@ from assayflow.llm.common import held_out, table
 WORD = re.compile(r"[^\W\d_]+")
 JVM_WORD = r"\p{L}+"
 #: Labelled documents used for fitting (about), features, and folds.
-SAMPLE, VOCABULARY, FOLDS = 16_000, 400, 3
+SAMPLE, VOCABULARY, FOLDS = 10_000, 400, 3
+#: Lengths of the word beginnings among the features.
+BEGINNINGS = (3, 4, 5, 6)
 MIN_DOCS = 8
 CUT = 0.5
 
@@ -50,39 +52,56 @@ CATEGORY_WORDS = {
 CATEGORIES = (*CATEGORY_WORDS, "toxic")
 
 
-def words_of(text: str | None) -> set[str]:
-    return set(WORD.findall(text.lower())) if text else set()
+def features_of(text: str | None) -> set[str]:
+    """Whole words (marked =) and beginnings (marked ^) of a text."""
+    words = set(WORD.findall(text.lower())) if text else set()
+    out = {"=" + w for w in words}
+    for n in BEGINNINGS:
+        out.update(["^" + w[:n] for w in words])
+    return out
+
+
+def _features(text: Column) -> Column:
+    """The same in Spark."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(JVM_WORD), F.lit(0)))
+    return F.array_distinct(F.flatten(F.array(
+        F.transform(words, lambda w: F.concat(F.lit("="), w)),
+        *[_beginnings(words, n) for n in BEGINNINGS])))
+
+
+def _beginnings(words: Column, n: int) -> Column:
+    return F.transform(words, lambda w: F.concat(F.lit("^"), F.substring(w, 1, n)))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 2e-4, rounds: int = 200) -> np.ndarray:
-    """Weights (bias first) of a logistic regression with classes balanced, by
-    accelerated gradient steps; the constant rate where one class is absent."""
+def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, rounds: int = 120) -> np.ndarray:
+    """Weights (bias first) of a logistic regression by accelerated gradient
+    steps; the constant rate where one class is absent."""
     n, d = x.shape
     rate = float(np.clip(y.mean() if n else 0.0, 1e-3, 1 - 1e-3))
-    out = np.zeros(d + 1)
+    out = np.zeros(d + 1, dtype=np.float32)
+    out[0] = np.log(rate / (1 - rate))
     if n == 0 or y.min() == y.max():
-        out[0] = np.log(rate / (1 - rate))
         return out
-    weight = np.where(y == 1, 0.5 / rate, 0.5 / (1 - rate)) / n
-    design = np.hstack([np.ones((n, 1), dtype=np.float32), x.astype(np.float32)])
+    design = np.hstack([np.ones((n, 1)), x]).astype(np.float32)
+    flipped, y = np.ascontiguousarray(design.T), y.astype(np.float32)
     # the largest curvature, by power iteration
-    v = np.ones(d + 1) / np.sqrt(d + 1)
-    for _ in range(20):
-        u = design.T @ (weight * (design @ v))
-        top = float(np.linalg.norm(u))
-        v = u / top
-    step = 1.0 / (0.25 * top + ridge)
+    v = np.ones(d + 1, dtype=np.float32)
+    for _ in range(12):
+        u = flipped @ (design @ v) / n
+        top = float(np.linalg.norm(u) / np.linalg.norm(v))
+        v = u
+    step = np.float32(1.0 / (0.25 * top + ridge))
     look, momentum = out.copy(), 1.0
     for _ in range(rounds):
-        grad = design.T @ (weight * (_sigmoid(design @ look) - y)) + ridge * look
-        after = look - step * grad
+        error = (_sigmoid(design @ look) - y).astype(np.float32)
+        after = look - step * (flipped @ error / n + np.float32(ridge) * look)
         grown = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
-        look = after + (momentum - 1) / grown * (after - out)
-        out, momentum = after, grown
+        look = (after + np.float32((momentum - 1) / grown) * (after - out)).astype(np.float32)
+        out, momentum = after.astype(np.float32), grown
     return out
 
 
@@ -139,8 +158,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame) -> Chain:
     vocabulary and the sampled rows' features (both bounded)."""
     sample = F.broadcast(sample_labels(labels, "toxic"))
     rows = docs.select("doc_id", "text").join(sample, "doc_id").select(
-        "doc_id", "label", F.array_distinct(F.regexp_extract_all(
-            F.lower(F.coalesce("text", F.lit(""))), F.lit(JVM_WORD), F.lit(0))).alias("words"))
+        "doc_id", "label", _features(F.col("text")).alias("words"))
     rows = rows.persist()
     n, n_pos = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     counts = rows.select("label", F.explode("words").alias("word")).groupBy("word").agg(
@@ -150,7 +168,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame) -> Chain:
     z = F.abs(F.col("pos") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
     top = counts.filter(F.col("n") >= MIN_DOCS).orderBy(z.desc(), "word").limit(VOCABULARY).collect()
     chain = Chain(CATEGORIES, {r["word"]: i for i, r in enumerate(sorted(top, key=lambda r: r["word"]))})
-    wanted = F.array(*[F.lit(w) for w in {*chain.words, *sum(CATEGORY_WORDS.values(), ())}]) if top else F.array()
+    wanted = F.array(*[F.lit(w) for w in {*chain.words, *("=" + w for ws in CATEGORY_WORDS.values() for w in ws)}]) if top else F.array()
     got = rows.select("label", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).alias("fold"),
                       F.array_intersect("words", wanted).alias("words")).collect() if top else []
     rows.unpersist()
@@ -161,7 +179,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame) -> Chain:
         return chain
     sets = [set(r["words"]) for r in got]
     toxic = np.array([r["label"] for r in got], dtype=float)
-    y = np.stack([toxic * np.array([bool(s & set(ws)) for s in sets]) for ws in CATEGORY_WORDS.values()] + [toxic], axis=1)
+    y = np.stack([toxic * np.array([bool(s & {"=" + w for w in ws}) for s in sets]) for ws in CATEGORY_WORDS.values()] + [toxic], axis=1)
     return chain.fit(chain.rows(sets), y, np.array([r["fold"] for r in got]))
 
 
@@ -172,7 +190,7 @@ def probabilities(text: Column, chain: Chain, spark: SparkSession) -> Column:
     @F.pandas_udf(ArrayType(DoubleType()))
     def predict(texts: pd.Series) -> pd.Series:
         own = shared.value
-        return pd.Series(list(own.predict(own.rows([words_of(t) for t in texts])).astype(float)))
+        return pd.Series(list(own.predict(own.rows([features_of(t) for t in texts])).astype(float)))
 
     return predict(text)
 
