@@ -77,7 +77,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, rounds: int = 120) -> np.ndarray:
+def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 120) -> np.ndarray:
     """Weights (bias first) of a logistic regression by accelerated gradient
     steps; the constant rate where one class is absent."""
     n, d = x.shape
@@ -86,15 +86,17 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, rounds: int =
     out[0] = np.log(rate / (1 - rate))
     if n == 0 or y.min() == y.max():
         return out
-    design = np.hstack([np.ones((n, 1)), x]).astype(np.float32)
+    # columns of equal spread, so that rare and common features learn alike
+    spread = np.r_[1.0, 1.0 / np.maximum(x.std(axis=0), 0.02)].astype(np.float32)
+    design = np.hstack([np.ones((n, 1)), x]).astype(np.float32) * spread
     flipped, y = np.ascontiguousarray(design.T), y.astype(np.float32)
     # the largest curvature, by power iteration
     v = np.ones(d + 1, dtype=np.float32)
     for _ in range(12):
-        u = flipped @ (design @ v) / n
-        top = float(np.linalg.norm(u) / np.linalg.norm(v))
-        v = u
-    step = np.float32(1.0 / (0.25 * top + ridge))
+        v /= np.linalg.norm(v)
+        v = flipped @ (design @ v) / n
+    top = float(np.linalg.norm(v))
+    step = np.float32(1.0 / (0.3 * top + ridge))
     look, momentum = out.copy(), 1.0
     for _ in range(rounds):
         error = (_sigmoid(design @ look) - y).astype(np.float32)
@@ -102,7 +104,7 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, rounds: int =
         grown = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
         look = (after + np.float32((momentum - 1) / grown) * (after - out)).astype(np.float32)
         out, momentum = after.astype(np.float32), grown
-    return out
+    return out * spread
 
 
 @dataclass
