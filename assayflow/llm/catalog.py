@@ -40,6 +40,14 @@ ORACLE: dict[str, str] = {
 }
 
 
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = _pipeline
+
+
 def queries_map() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

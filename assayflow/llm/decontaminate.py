@@ -40,7 +40,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -288,18 +288,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.max("answer_overlap").alias("answer_overlap"))
 
 
+def _clean(text: Column, index: Index, spark: SparkSession) -> Column:
+    """Whether a text holds no verified item of one part of the index."""
+    shared = spark.sparkContext.broadcast(index)
+
+    @F.pandas_udf(BooleanType())
+    def clean(texts: pd.Series) -> pd.Series:
+        own = shared.value
+        return pd.Series([not own.matches(t) for t in texts], dtype=bool)
+
+    return clean(text)
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a verified test item, with all their columns;
     row by row, without a shuffle."""
     for index in index_parts(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.pandas_udf(BooleanType())
-        def clean(texts: pd.Series, shared=shared) -> pd.Series:
-            own = shared.value
-            return pd.Series([not own.matches(t) for t in texts], dtype=bool)
-
-        docs = docs.filter(clean("text"))
+        docs = docs.filter(_clean(F.col("text"), index, docs.sparkSession))
     return docs
 
 
