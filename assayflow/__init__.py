@@ -11,7 +11,6 @@ Sub-packages:
 * ``operators`` - reshape, cohort joins, preprocessing, OLS, t-tests,
                   multiple testing, fold change, outliers/LOD, volcano tables
 * ``plans``     - fixture views over the driver tables and end-to-end jobs
-* ``streaming`` - incremental ingest of assay files into the long model
 """
 
 __version__ = "0.1.0"

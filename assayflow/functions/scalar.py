@@ -11,8 +11,10 @@ def _c(x) -> Column:
 
 
 def clean_id(c) -> Column:
-    """Cast to string, trim, remove every space."""
-    return F.replace(F.trim(_c(c).cast("string")), F.lit(" "), F.lit(""))
+    """Cast to string, strip white space of any kind at both ends, remove
+    every space."""
+    stripped = F.regexp_replace(_c(c).cast("string"), r"(?U)^\s+|\s+$", "")
+    return F.replace(stripped, F.lit(" "), F.lit(""))
 
 
 def clean_visit(c) -> Column:

@@ -7,26 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-def join_group_stats(rows: DataFrame, stats: DataFrame, on: Sequence[str], how: str = "inner",
-                     max_rows: int | None = None) -> DataFrame:
+from assayflow.session import written
+
+
+def join_group_stats(rows: DataFrame, stats: DataFrame, on: Sequence[str],
+                     how: str = "inner") -> DataFrame:
     """Join a per-group statistics table (one row per key) back onto rows.
 
-    Default: a plain equi-join inside the same query. Adaptive execution
-    measures the statistics side at runtime and turns the join into a
-    broadcast join when it is below
-    ``spark.sql.adaptive.autoBroadcastJoinThreshold``; otherwise it stays a
+    The statistics are written first, so the planner knows their size before
+    it plans the row side: below ``spark.sql.autoBroadcastJoinThreshold`` they
+    are broadcast and the rows never shuffle; beyond it the join stays a
     sort-merge join whose skewed partitions (a hot group) are split.
-
-    With ``max_rows`` the size is proven up front instead: the statistics
-    table is cached and counted, and broadcast only when it has at most
-    ``max_rows`` rows - the row-level side is then never shuffled. This costs
-    one extra job per call and pays off only on large inputs.
     """
-    if max_rows is not None:
-        stats = stats.cache()
-        if stats.count() <= max_rows:
-            stats = F.broadcast(stats)
-    return rows.join(stats, list(on), how)
+    return rows.join(written(stats, "stats"), list(on), how)
 
 
 def join_contrast_table(rows: DataFrame, small: DataFrame, on: Sequence[str],

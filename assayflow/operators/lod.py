@@ -12,9 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayflow.functions.scalar import nan_to_null
 from assayflow.operators.joins import join_group_stats
 from assayflow.operators.quantile import group_median
-from assayflow.session import cut_lineage
+from assayflow.session import written
 
 # Fixed values of the original LOD procedure.
 MODIFIED_Z_CONSTANT = 0.6745
@@ -24,20 +25,17 @@ LOD_MULTIPLIER, LOD_MULTIPLIER_SINGLEPLEX = 3.0, 2.5
 EXEMPT_TARGETS = ("KNG1", "CRP")
 
 
-def modified_z(df: DataFrame, *, target: str = "target", value: str = "level",
-               materialize: bool = True) -> DataFrame:
+def modified_z(df: DataFrame, *, target: str = "target", value: str = "level") -> DataFrame:
     """M10 (+G10, G11, X6): |0.6745 (x - median) / (MAD + 1e-200)| per target.
 
-    As with numpy's median over a row, one missing level makes the target's
-    median - and every score of that target - missing."""
-    v = F.col(value)
+    As with numpy's median over a row, one missing level (NULL or NaN) makes
+    the target's median - and every score of that target - missing. Medians
+    and deviations are written tables of one row per target."""
+    v = nan_to_null(F.col(value))
     med = group_median(df, [target], value, out="_med")
     poisoned = df.groupBy(target).agg(F.bool_or(v.isNull()).alias("_poison"))
-    stats1 = med.join(poisoned, [target], "right")
-    j = join_group_stats(df, stats1, [target], "left")
-    j = j.withColumn("_dev", F.abs(v - F.col("_med")))
-    if materialize:  # j feeds the second median and the final join
-        j = cut_lineage(j)
+    stats = written(med.join(poisoned, [target], "right"), "median")
+    j = df.join(stats, [target], "left").withColumn("_dev", F.abs(v - F.col("_med")))
     mad = group_median(j, [target], "_dev", out="_mad")
     j2 = join_group_stats(j, mad, [target], "left")
     score = F.abs(MODIFIED_Z_CONSTANT * (v - F.col("_med")) / (F.col("_mad") + MAD_FLOOR))
@@ -46,13 +44,12 @@ def modified_z(df: DataFrame, *, target: str = "target", value: str = "level",
 
 
 def mask_outliers(df: DataFrame, *, target: str = "target", sample_pos: str = "sample_pos",
-                  value: str = "level", threshold: float = OUTLIER_THRESHOLD,
-                  materialize: bool = True) -> DataFrame:
+                  value: str = "level", threshold: float = OUTLIER_THRESHOLD) -> DataFrame:
     """For every target with a score above ``threshold``, set the level
     of the single highest-scoring sample (first by position on ties) to
     missing. The arg-max is a partial aggregation of
     ``max(struct(score, -position))``, not a per-target sort."""
-    scored = modified_z(df, target=target, value=value, materialize=materialize)
+    scored = modified_z(df, target=target, value=value)
     top = scored.filter(F.col("score").isNotNull()).groupBy(target).agg(
         F.max(F.struct(F.col("score").alias("s"), (-F.col(sample_pos)).alias("np"))).alias("_top"))
     top = top.select(target, F.col("_top.s").alias("_max_score"),
@@ -65,29 +62,25 @@ def mask_outliers(df: DataFrame, *, target: str = "target", sample_pos: str = "s
 
 
 def lod(df: DataFrame, *, target: str = "target", sample_pos: str = "sample_pos",
-        value: str = "level", singleplex: bool = False, materialize: bool = True) -> DataFrame:
+        value: str = "level", singleplex: bool = False) -> DataFrame:
     """M12 (+G12): LOD = mean + k * sd (population, missing skipped) of the
     outlier-masked levels; k = 3, or 2.5 for singleplex assays."""
     k = LOD_MULTIPLIER_SINGLEPLEX if singleplex else LOD_MULTIPLIER
-    masked = mask_outliers(df, target=target, sample_pos=sample_pos, value=value,
-                           materialize=materialize)
-    return masked.groupBy(target).agg(
-        (F.avg(value) + k * F.stddev_pop(value)).alias("LOD"))
+    masked = mask_outliers(df, target=target, sample_pos=sample_pos, value=value)
+    v = nan_to_null(F.col(value))
+    return masked.groupBy(target).agg((F.avg(v) + k * F.stddev_pop(v)).alias("LOD"))
 
 
 def lod_correct(df: DataFrame, lods: DataFrame, *, target: str = "target", value: str = "level",
                 strategy: str = "replace_with_LOD",
-                exempt: Sequence[str] = EXEMPT_TARGETS, materialize: bool = True) -> DataFrame:
+                exempt: Sequence[str] = EXEMPT_TARGETS) -> DataFrame:
     """M13 (+J5, F6, G13): values below the target's LOD become the LOD
     (``replace_with_LOD``) or missing (any other strategy); exempt targets
     keep raw values. Targets whose every value is below the LOD, or every
     value is zero, are dropped - exempt or not. A target without LOD is
     never below it."""
-    v = F.col(value)
-    lods = lods.select(target, "LOD")
-    if materialize:  # one row per target; keeps the LOD chain out of both branches below
-        lods = cut_lineage(lods)
-    j = join_group_stats(df, lods, [target], "left")
+    v = nan_to_null(F.col(value))
+    j = join_group_stats(df, lods.select(target, "LOD"), [target], "left")
     below = F.coalesce(v < F.col("LOD"), F.lit(False))
     zero = F.coalesce(v == 0, F.lit(False))
     other = F.col("LOD") if strategy == "replace_with_LOD" else F.lit(None).cast("double")

@@ -6,19 +6,11 @@ The adjusted value of p depends only on the multiset of p-values:
 
 so ties need no order. p-values are first reduced to distinct values with
 their multiplicity (a partial aggregation: a p shared by many features
-becomes one row). Then:
-
-* ``method="window"``: running count and suffix minimum are two windows over
-  each contrast's distinct p-values; one task per contrast holds them.
-  Three shuffles in total.
-* ``method="buckets"``: the distinct values are cut into ranges by an
-  approximate-quantile sketch; bucket offsets and bucket minima are tiny
-  per-(contrast, bucket) tables and every window runs over one bucket only.
-  More stages, no task ever holds a whole contrast.
-* ``method="auto"`` (default): the input (one row per feature and
-  contrast) is materialized and its largest contrast counted; the window
-  form is used only when that count is proven to be at most
-  ``WINDOW_MAX_ROWS``, the bucketed form otherwise.
+becomes one row). The distinct values are range-partitioned by (contrast, p),
+as many partitions as their size asks for, and sorted; running counts and
+suffix minima are windows inside one contrast and partition, joined with tiny
+per-(contrast, partition) offsets and minima. No task ever holds a whole
+contrast.
 
 NULL p-values are ignored (they do not count in m) and get a NULL result.
 """
@@ -31,106 +23,79 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayflow.operators.joins import join_contrast_table
-from assayflow.session import cut_lineage
+from assayflow.session import written
 
-DEFAULT_BUCKETS = 64
-# Largest contrast (rows of the result table) handled by one window task.
-WINDOW_MAX_ROWS = 2_000_000
 
-
-def bh_adjust(df: DataFrame, *, p: str = "p_value", by: Sequence[str] = (), out: str = "p_bh",
-              method: str = "auto", buckets: int = DEFAULT_BUCKETS,
-              materialize: bool = True, window_max_rows: int = WINDOW_MAX_ROWS) -> DataFrame:
+def bh_adjust(df: DataFrame, *, p: str = "p_value", by: Sequence[str] = (), out: str = "p_bh") -> DataFrame:
     """M6: Benjamini-Hochberg adjusted p per contrast ``by`` into ``out``.
 
     The input is a per-feature result table that is read twice (distinct
-    p-values, and the rows the adjustment is joined back to). With
-    ``materialize`` it is checkpointed first - one row per feature and
-    contrast - so the model fit upstream runs once, not once per branch
-    (its p-value projection is non-deterministic to the optimizer, which
-    therefore never shares it between branches)."""
+    p-values, and the rows the adjustment is joined back to). It is written
+    first - one row per feature and contrast - so the model fit upstream runs
+    once, not once per branch."""
     by = list(by)
-    if materialize or method == "auto":
-        df = cut_lineage(df)
-    if method == "auto":
-        largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-        method = "window" if largest <= window_max_rows else "buckets"
+    df = written(df, "tests")
     pv = F.col(p).cast("double")
     valid = df.select(*by, pv.alias("_p")).filter(F.col("_p").isNotNull() & ~F.isnan("_p"))
     distinct = valid.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_c"))
-    if method == "window":
-        adj = _bh_window(distinct, by, out)
-    elif method == "buckets":
-        adj = _bh_buckets(distinct, by, out, buckets)
-    else:
-        raise ValueError(f"unknown BH method {method!r}")
     keyed = df.withColumn("_pk", pv)
-    return keyed.join(adj, [*by, "_pk"], "left").drop("_pk")
-
-
-def _bh_window(distinct: DataFrame, by: list[str], out: str) -> DataFrame:
-    part = Window.partitionBy(*by)
-    asc = part.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    desc = part.orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    q = (distinct
-         .withColumn("_m", F.sum("_c").over(part))
-         .withColumn("_q", F.col("_p") * F.col("_m") / F.sum("_c").over(asc)))
-    return q.select(*by, F.col("_p").alias("_pk"),
-                    F.least(F.lit(1.0), F.min("_q").over(desc)).alias(out))
-
-
-def _bh_buckets(distinct: DataFrame, by: list[str], out: str, buckets: int) -> DataFrame:
-
-    fracs = [i / buckets for i in range(1, buckets)]
-    sketch = distinct.groupBy(*by).agg(
-        F.sum("_c").alias("_m"),
-        (F.percentile_approx("_p", fracs, 10_000) if fracs else F.array()).alias("_bounds"))
-    bucketed = join_contrast_table(distinct, sketch, by).withColumn(
-        "_b", F.size(F.filter("_bounds", lambda x: x < F.col("_p")))).drop("_bounds")
-
-    per_bucket = bucketed.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc"))
-    wb = Window.partitionBy(*by).orderBy("_b")
-    offsets = per_bucket.select(
-        *by, "_b",
-        F.coalesce(F.sum("_bc").over(wb.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"))
-    ranked = join_contrast_table(bucketed, offsets, [*by, "_b"])
-    w_in = Window.partitionBy(*by, "_b").orderBy("_p")
-    ranked = ranked.withColumn(
-        "_q", F.col("_p") * F.col("_m") /
-        (F.col("_off") + F.sum("_c").over(w_in.rowsBetween(Window.unboundedPreceding, 0))))
-    w_suffix = Window.partitionBy(*by, "_b").orderBy(F.col("_p").desc())
-    ranked = ranked.withColumn(
-        "_qmin", F.min("_q").over(w_suffix.rowsBetween(Window.unboundedPreceding, 0)))
-
-    bmin = ranked.groupBy(*by, "_b").agg(F.min("_q").alias("_bq"))
-    wl = Window.partitionBy(*by).orderBy(F.col("_b").desc())
-    later = bmin.select(*by, "_b", F.min("_bq").over(
-        wl.rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))
-    return (join_contrast_table(ranked, later, [*by, "_b"])
-            .select(*by, F.col("_p").alias("_pk"),
-                    F.least(F.lit(1.0), F.col("_qmin"),
-                            F.coalesce(F.col("_later"), F.lit(float("inf")))).alias(out)))
+    return keyed.join(_adjusted(distinct, by, out), [*by, "_pk"], "left").drop("_pk")
+
+
+def _adjusted(distinct: DataFrame, by: list[str], out: str) -> DataFrame:
+    """(by..., _pk, out) of every distinct p."""
+    order = [*by, "_p"]
+    ranked = written(distinct.repartitionByRange(*order).withColumn("_b", F.spark_partition_id()), "ranges")
+
+    # per contrast and range: rows before it, and all rows of the contrast
+    per_range = ranked.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc"))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_range.select(
+        *by, "_b", F.coalesce(F.sum("_bc").over(before), F.lit(0)).alias("_off"),
+        F.sum("_bc").over(Window.partitionBy(*by)).alias("_m"))
+    inside = Window.partitionBy(*by, "_b")
+    upto = F.col("_off") + F.sum("_c").over(inside.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = join_contrast_table(ranked, offsets, [*by, "_b"]).withColumn("_q", F.col("_p") * F.col("_m") / upto)
+
+    # suffix minima: inside the range, and over the later ranges
+    ranked = ranked.withColumn("_qmin", F.min("_q").over(
+        inside.orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)))
+    least = ranked.groupBy(*by, "_b").agg(F.min("_q").alias("_bq"))
+    after = Window.partitionBy(*by).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    later = least.select(*by, "_b", F.min("_bq").over(after).alias("_later"))
+    return join_contrast_table(ranked, later, [*by, "_b"]).select(
+        *by, F.col("_p").alias("_pk"),
+        F.least(F.lit(1.0), F.col("_qmin"), F.coalesce("_later", F.lit(float("inf")))).alias(out))
 
 
 def fdr_threshold(df: DataFrame, *, p: str = "p_value", adjusted: str = "p_bh",
                   by: Sequence[str] = (), fdr: float = 0.1, compat: bool = False,
-                  feature: str | None = None) -> DataFrame:
+                  feature: str | None = None, cutoff: float | None = None,
+                  highlight: Sequence[str] = ()) -> DataFrame:
     """M7: raw-p cut-off per contrast: the smallest p whose adjusted p
-    reaches ``fdr``; significant means p < threshold.
+    reaches ``fdr``; significant means p < threshold. ``cutoff`` names the
+    raw-p threshold instead.
 
     When no adjusted p reaches ``fdr`` every feature is significant and the
     threshold is +inf; ``compat=True`` instead returns the smallest p (the
     original notebook's behaviour, which then flags nothing).
-    With ``feature`` given, also counts distinct significant features (G14).
+    With ``feature`` given, also counts distinct significant features (G14)
+    and, of those, the ones in ``highlight``.
     """
     pv, adj = F.col(p), F.col(adjusted)
-    cut = F.min(F.when(adj >= fdr, pv))
     fallback = F.min(pv) if compat else F.lit(float("inf"))
-    agg = df.groupBy(*by).agg(F.coalesce(cut, fallback).alias("p_threshold"))
+    threshold = F.coalesce(F.min(F.when(adj >= fdr, pv)), fallback) if cutoff is None \
+        else F.first(F.lit(float(cutoff)))
+    agg = df.groupBy(*by).agg(threshold.alias("p_threshold"))
     if feature is None:
         return agg
-    counts = join_contrast_table(df, agg, list(by)).groupBy(*by).agg(
-        F.first("p_threshold").alias("p_threshold"),
-        F.count_distinct(F.when(pv < F.col("p_threshold"), F.col(feature))).alias("n_significant"))
-    return counts
+    # the cut-off table has one row per contrast; writing it keeps the tests'
+    # chain out of the second branch
+    counts = [F.count_distinct(F.when(pv < F.col("p_threshold"), F.col(feature))).alias("n_significant")]
+    if highlight:
+        counts.append(F.count_distinct(F.when((pv < F.col("p_threshold")) & F.col(feature).isin(list(highlight)),
+                                              F.col(feature))).alias("n_highlighted"))
+    df = written(df.select(*by, F.col(feature), pv.alias(p), adj.alias(adjusted)), "adjusted")
+    agg = df.groupBy(*by).agg(threshold.alias("p_threshold"))
+    return join_contrast_table(df, agg, list(by)).groupBy(*by).agg(
+        F.first("p_threshold").alias("p_threshold"), *counts)

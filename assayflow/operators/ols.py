@@ -16,17 +16,19 @@ centred cross-product sums:
   one task);
 * numeric covariates enter the cross-product matrix.
 
-With up to three slope terms the normal equations are solved in closed form
-(cofactors) as column expressions, JVM side. With four or more, the
-per-feature matrices (one row per feature) are solved by an Arrow-batched
-pandas UDF.
+The normal equations are solved by symmetric elimination, one slope per
+projection, for any number of slopes, JVM side. A design is singular when a
+variable's sum of squares, after the variables before it are eliminated, falls
+to ``SINGULAR_RTOL`` of what it was. Where a fit explains nearly all of the
+variance the residual sum of squares cancels, so for those features alone it
+is summed again from the rows' residuals.
 
 The sweep over independent variables is one job: variables are unpivoted
 into ``(independent_variable, x)`` rows and become a grouping key.
 
 Semantics kept from the original notebooks: rows with x == 0 are dropped
-before fitting (``exclude_zero``), rows with any missing model variable are
-dropped, degenerate fits (no variation in x, df <= 0, collinear design)
+before fitting (``exclude_zero``), rows with any missing (NULL or NaN) model variable
+are dropped, degenerate fits (no variation in x, df <= 0, collinear design)
 give NULL results rather than an error.
 """
 
@@ -34,19 +36,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StructField, StructType, DoubleType
+from pyspark.sql.types import DoubleType, FloatType, NumericType
 
 from assayflow.functions.tdist import t_critical, t_two_sided_p
+from assayflow.operators.joins import join_contrast_table
+from assayflow.session import written
 
 RESULT_COLUMNS = ["feature_label", "independent_variable", "LR_P_Value", "LR_Effect_Size",
                   "LR_CI_Lower", "LR_CI_Upper"]
 
 # Relative tolerance below which the design counts as singular.
 SINGULAR_RTOL = 1e-12
+# Share of the variance left below which residuals are summed from the rows.
+CANCELLED = 1e-9
 
 
 def _is_numeric(df: DataFrame, name: str) -> bool:
@@ -76,6 +80,8 @@ def regression_input(df: DataFrame, independent_variables: Sequence[str], *,
         keep = keep & (F.col("x") != 0)
     for c in covariates:
         keep = keep & F.col(c).isNotNull()
+        if isinstance(df.schema[c].dataType, (DoubleType, FloatType)):
+            keep = keep & ~F.isnan(c)
     return long.filter(keep)
 
 
@@ -124,57 +130,30 @@ def fit(long: DataFrame, *, categorical: str | None = None,
     def S(a, b):
         return F.col(index[(a, b)])
 
-    syy = S("level", "level")
-    if len(names) == 1:
-        sxx, sxy = S("x", "x"), S("x", "level")
-        ok = (sxx > 0) & (F.col("_df") > 0)
-        b = F.when(ok, sxy / sxx)
-        rss = F.greatest(syy - b * sxy, F.lit(0.0))
-        se = F.when(ok, F.sqrt(rss / F.col("_df") / sxx))
-        solved = sums.select(*keys, "_n", "_df", b.alias("_b"), se.alias("_se"))
-    elif len(names) == 2:
-        z = names[0]
-        szz, sxx, sxz = S(z, z), S("x", "x"), S(z, "x")
-        szy, sxy = S(z, "level"), S("x", "level")
-        det = szz * sxx - sxz * sxz
-        ok = (det > SINGULAR_RTOL * szz * sxx) & (sxx > 0) & (szz > 0) & (F.col("_df") > 0)
-        bx = F.when(ok, (sxy * szz - szy * sxz) / det)
-        bz = F.when(ok, (szy * sxx - sxy * sxz) / det)
-        rss = F.greatest(syy - bx * sxy - bz * szy, F.lit(0.0))
-        se = F.when(ok, F.sqrt(rss / F.col("_df") * szz / det))
-        solved = sums.select(*keys, "_n", "_df", bx.alias("_b"), se.alias("_se"))
-    elif len(names) == 3:
-        v1, v2, v3 = names
-        a11, a12, a13 = S(v1, v1), S(v1, v2), S(v1, v3)
-        a22, a23, a33 = S(v2, v2), S(v2, v3), S(v3, v3)
-        c1, c2, c3 = S(v1, "level"), S(v2, "level"), S(v3, "level")
-        # cofactors of the symmetric 3 x 3 centred cross-product matrix
-        C11, C12, C13 = a22 * a33 - a23 * a23, a13 * a23 - a12 * a33, a12 * a23 - a13 * a22
-        C22, C23, C33 = a11 * a33 - a13 * a13, a12 * a13 - a11 * a23, a11 * a22 - a12 * a12
-        det = a11 * C11 + a12 * C12 + a13 * C13
-        ok = ((det > SINGULAR_RTOL * a11 * a22 * a33) & (a11 > 0) & (a22 > 0) & (a33 > 0)
-              & (F.col("_df") > 0))
-        b1 = F.when(ok, (C11 * c1 + C12 * c2 + C13 * c3) / det)
-        b2 = F.when(ok, (C12 * c1 + C22 * c2 + C23 * c3) / det)
-        bx = F.when(ok, (C13 * c1 + C23 * c2 + C33 * c3) / det)
-        rss = F.greatest(syy - b1 * c1 - b2 * c2 - bx * c3, F.lit(0.0))
-        se = F.when(ok, F.sqrt(rss / F.col("_df") * C33 / det))
-        solved = sums.select(*keys, "_n", "_df", bx.alias("_b"), se.alias("_se"))
-    else:
-        m = len(names)
-        mat = F.array(*[S(a, b) for a in names for b in names])
-        vec = F.array(*[S(a, "level") for a in names])
-        sol = _solve_udf(m)(mat, vec, syy, F.col("_df"))
-        solved = sums.select(*keys, "_n", "_df", sol["b"].alias("_b"), sol["se"].alias("_se"))
+    solved = _eliminated(sums, names, index)
+    ok = (F.col("_df") > 0) & ~F.col("_singular")
+    solved = solved.select(
+        *keys, "_n", "_df", *[F.when(ok, F.col(f"_beta_{v}")).alias(f"_beta_{v}") for v in names],
+        F.when(ok, F.greatest("_rss", F.lit(0.0))).alias("_rss"), "_syy", "_left")
+    solved = written(solved, "fits")
+    near = solved.filter(F.col("_rss") <= CANCELLED * F.col("_syy"))
+    if near.limit(1).count():
+        again = _residual_sums(long, near, keys, names, categorical)
+        solved = solved.join(again, keys, "left").withColumn("_rss", F.coalesce("_again", "_rss"))
+    solved = solved.select(*keys, "_n", "_df", F.col("_beta_x").alias("_b"),
+                           F.sqrt(F.col("_rss") / F.col("_df") / F.col("_left")).alias("_se"))
 
     # t and the critical value are their own columns, so each row runs the
     # bisection once
-    solved = (solved.withColumn("_t", F.try_divide(F.col("_b"), F.col("_se")))
+    # a perfect fit has t = +-inf and p = 0
+    exact = (F.col("_se") == 0) & (F.col("_b") != 0)
+    solved = (solved.withColumn("_t", F.when(exact, F.signum("_b") * float("inf"))
+                                .otherwise(F.try_divide(F.col("_b"), F.col("_se"))))
               .withColumn("_crit", F.when(F.col("_se").isNotNull(), t_critical("_df", alpha))))
     t, crit = F.col("_t"), F.col("_crit")
     out = solved.select(
         *keys,
-        F.when(F.col("_se").isNotNull(), t_two_sided_p("_t", "_df")).alias("LR_P_Value"),
+        F.when(exact, F.lit(0.0)).when(F.col("_se").isNotNull(), t_two_sided_p("_t", "_df")).alias("LR_P_Value"),
         F.col("_b").alias("LR_Effect_Size"),
         (F.col("_b") - crit * F.col("_se")).alias("LR_CI_Lower"),
         (F.col("_b") + crit * F.col("_se")).alias("LR_CI_Upper"),
@@ -184,35 +163,40 @@ def fit(long: DataFrame, *, categorical: str | None = None,
     return out if details else out.select(*by, *RESULT_COLUMNS)
 
 
-def _solve_udf(m: int):
-    """Arrow-batched solver for the last coefficient of an m x m centred
-    normal-equation system; one input row per feature."""
-    schema = StructType([StructField("b", DoubleType()), StructField("se", DoubleType())])
-
-    @F.pandas_udf(schema)
-    def solve(mat: pd.Series, vec: pd.Series, syy: pd.Series, dof: pd.Series) -> pd.DataFrame:
-        bs, ses = [], []
-        for A, c, yy, d in zip(mat, vec, syy, dof):
-            b = se = None
-            try:
-                A = np.asarray(A, dtype=float).reshape(m, m)
-                c = np.asarray(c, dtype=float)
-                scale = np.sqrt(np.diag(A))
-                if d is not None and d > 0 and np.all(scale > 0):
-                    As = A / np.outer(scale, scale)
-                    if np.linalg.cond(As) < 1.0 / SINGULAR_RTOL:
-                        inv = np.linalg.inv(As) / np.outer(scale, scale)
-                        beta = inv @ c
-                        rss = max(float(yy - beta @ c), 0.0)
-                        b = float(beta[-1])
-                        se = float(np.sqrt(rss / d * inv[-1, -1]))
-            except (ValueError, np.linalg.LinAlgError):
-                b = se = None
-            bs.append(b)
-            ses.append(se)
-        return pd.DataFrame({"b": bs, "se": ses})
-
-    return solve
+def _eliminated(sums: DataFrame, names: Sequence[str], index) -> DataFrame:
+    """Slopes, residual sum of squares, and x's sum of squares left, by
+    eliminating one slope variable after the other (x is the last)."""
+    held = {(a, b): F.col(index[(a, b)]).alias(f"_s_{i}_{j}")
+            for i, a in enumerate([*names, "level"]) for j, b in enumerate([*names, "level"]) if i <= j}
+    m = len(names)
+    cur = sums.select("*", *held.values(), F.lit(False).alias("_singular"), F.col(index[("level", "level")]).alias("_syy"))
+    s = lambda i, j: F.col(f"_s_{min(i, j)}_{max(i, j)}")
+    for k in range(m):
+        # row k stays as it is now: it is what back substitution needs
+        whole = F.col(index[(names[k], names[k])])
+        cur = cur.withColumn("_singular", F.col("_singular") | (whole <= 0) | (s(k, k) <= SINGULAR_RTOL * whole))
+        pivot = F.when(~F.col("_singular"), s(k, k))
+        cur = cur.withColumns({f"_s_{i}_{j}": s(i, j) - s(k, i) * s(k, j) / pivot
+                               for i in range(k + 1, m + 1) for j in range(i, m + 1)})
+    for k in reversed(range(m)):
+        known = s(k, m)
+        for j in range(k + 1, m):
+            known = known - s(k, j) * F.col(f"_beta_{names[j]}")
+        cur = cur.withColumn(f"_beta_{names[k]}", F.when(~F.col("_singular"), known / s(k, k)))
+    return cur.withColumn("_rss", s(m, m)).withColumn("_left", s(m - 1, m - 1))
+
+
+def _residual_sums(long: DataFrame, fits: DataFrame, keys: list[str], names: Sequence[str],
+                   categorical: str | None) -> DataFrame:
+    """(keys, _again): residual sum of squares of the given fits from the
+    rows, centred within the categorical covariate as the fit is."""
+    rows = join_contrast_table(long, written(fits.select(*keys, *[f"_beta_{v}" for v in names]), "near"), keys)
+    left = F.col("level")
+    for v in names:
+        left = left - F.col(f"_beta_{v}") * F.col(v)
+    within = [*keys, categorical] if categorical is not None else keys
+    parts = rows.withColumn("_r", left).groupBy(*within).agg(F.regr_sxx("_r", "_r").alias("_ss"))
+    return parts.groupBy(*keys).agg(F.sum("_ss").alias("_again"))
 
 
 def regress_features(df: DataFrame, independent_variables: Sequence[str], *,

@@ -1,9 +1,9 @@
 """Per-feature preprocessing on the long model (Z1-Z9) and reshapes.
 
 Every statistic is per feature over all samples: computed by one partial
-aggregation and joined back (broadcast once adaptive execution has measured
-the per-feature table as small, see ``joins.join_group_stats``). A run of steps is a fold of
-``DataFrame.transform`` over named steps; each step scans the input once.
+aggregation and joined back as a written table (``joins.join_group_stats``),
+so the rows are broadcast-joined and never shuffle while the per-feature table
+is small. NaN is missing, like NULL, in every step.
 
 Input shape: ``(id columns..., feature, level)`` with one row per
 (sample, feature) cell - missing cells present with a NULL level, as
@@ -14,14 +14,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayflow.functions.scalar import hash_uniform, nan_to_null
 from assayflow.operators.joins import join_group_stats
-from assayflow.session import cut_lineage
 
 LOG_ZERO = 1e-200
 
@@ -69,14 +67,15 @@ def transpose_assay(df: DataFrame, *, target_col: str = "targetName", prefix: st
 # --- steps -----------------------------------------------------------------
 
 def replace_zero(df: DataFrame, *, value: str = "level", **_) -> DataFrame:
-    """Zero -> missing."""
-    return df.withColumn(value, F.when(F.col(value) != 0, F.col(value)))
+    """Zero (and NaN) -> missing."""
+    v = nan_to_null(F.col(value))
+    return df.withColumn(value, F.when(v != 0, v))
 
 
 def missing_rates(df: DataFrame, *, feature: str = "metabolite", value: str = "level") -> DataFrame:
     """Fraction of missing cells per feature."""
     return df.groupBy(feature).agg(
-        F.avg(F.col(value).isNull().cast("double")).alias("missing_rate"))
+        F.avg(nan_to_null(F.col(value)).isNull().cast("double")).alias("missing_rate"))
 
 
 def drop_missing(df: DataFrame, *, feature: str = "metabolite", value: str = "level",
@@ -89,7 +88,7 @@ def drop_missing(df: DataFrame, *, feature: str = "metabolite", value: str = "le
 
 def drop_empty(df: DataFrame, *, feature: str = "metabolite", value: str = "level", **_) -> DataFrame:
     """Z6 (+G13): drop features with no present value."""
-    present = df.groupBy(feature).agg(F.count(value).alias("_n"))
+    present = df.groupBy(feature).agg(F.count(nan_to_null(F.col(value))).alias("_n"))
     return join_group_stats(df, present, [feature], "left").filter(F.col("_n") > 0).drop("_n")
 
 
@@ -103,29 +102,32 @@ def impute(df: DataFrame, *, strategy: str = "uniform", feature: str = "metaboli
     does not depend on row order or partitioning. Present values never change.
     Features that stay empty are dropped unless ``drop_empty_features`` is off.
     """
-    v = F.col(value)
-    if strategy == "zero":
-        out = df.withColumn(value, F.coalesce(v, F.lit(0.0)))
-    elif strategy in ("min", "uniform"):
-        mins = df.groupBy(feature).agg(F.min(value).alias("_min"))
-        j = join_group_stats(df, mins, [feature], "left")
-        if strategy == "min":
-            fill = F.col("_min")
-        else:
-            u = hash_uniform(F.col(feature), F.col(sample), F.lit(str(seed)))
-            lo = F.col("_min") / 10
-            fill = lo + u * (F.col("_min") - lo)
-        out = j.withColumn(value, F.coalesce(v, fill)).drop("_min")
-    else:
+    if strategy not in ("zero", "min", "uniform"):
         raise ValueError(f"unknown imputation strategy {strategy!r}")
+    if strategy == "zero":   # no feature stays empty
+        return df.withColumn(value, F.coalesce(nan_to_null(F.col(value)), F.lit(0.0)))
+    mins = df.groupBy(feature).agg(F.min(nan_to_null(F.col(value))).alias("_min"))
+    return _filled(join_group_stats(df, mins, [feature], "left"), strategy, feature, value, sample, seed,
+                   drop_empty_features).drop("_min")
+
+
+def _filled(j: DataFrame, strategy: str, feature: str, value: str, sample: str, seed: int,
+            drop_empty_features: bool = True) -> DataFrame:
+    """Fill missing levels from the feature's ``_min`` (NULL: no value)."""
+    if strategy == "min":
+        fill = F.col("_min")
+    else:
+        u = hash_uniform(F.col(feature), F.col(sample), F.lit(str(seed)))
+        lo = F.col("_min") / 10
+        fill = lo + u * (F.col("_min") - lo)
     if drop_empty_features:
-        out = drop_empty(out, feature=feature, value=value)
-    return out
+        j = j.filter(F.col("_min").isNotNull())
+    return j.withColumn(value, F.coalesce(nan_to_null(F.col(value)), fill))
 
 
 def log_transform(df: DataFrame, *, value: str = "level", **_) -> DataFrame:
     """Natural log with 0 -> 1e-200 first; negative levels become NULL."""
-    v = F.col(value)
+    v = nan_to_null(F.col(value))
     return df.withColumn(value, F.when(v == 0, F.lit(math.log(LOG_ZERO))).when(v > 0, F.ln(v)))
 
 
@@ -133,52 +135,50 @@ def standardize(df: DataFrame, *, feature: str = "metabolite", value: str = "lev
                 **_) -> DataFrame:
     """Z8 (+G9, J6): z-score per feature with the population sd; missing
     values are ignored in the fit and stay missing; sd 0 divides by 1."""
-    st = df.groupBy(feature).agg(F.avg(value).alias("_mu"), F.stddev_pop(value).alias("_sd"))
+    v = nan_to_null(F.col(value))
+    st = df.groupBy(feature).agg(F.avg(v).alias("_mu"), F.stddev_pop(v).alias("_sd"))
     j = join_group_stats(df, st, [feature], "left")
     sd = F.when(F.col("_sd") == 0, F.lit(1.0)).otherwise(F.col("_sd"))
-    return j.withColumn(value, (F.col(value) - F.col("_mu")) / sd).drop("_mu", "_sd")
+    return j.withColumn(value, (v - F.col("_mu")) / sd).drop("_mu", "_sd")
 
 
+# The step names of the study configuration.
 STEP_NAMES = ("replace_zero", "drop_na", "fill_na", "log", "scale")
 
 
 def run_steps(df: DataFrame, steps: Sequence[str] = ("scale",), *,
               impute_strategy: str = "uniform", dropping_thres: float = 0.9,
               feature: str = "metabolite", value: str = "level", sample: str = "sample_id",
-              seed: int = 10, materialize: bool = True) -> DataFrame:
+              seed: int = 10) -> DataFrame:
     """Apply named steps in order (defaults as in the original:
     ``["scale"]``, uniform imputation, threshold 0.9). An unknown step name
     raises instead of being skipped.
 
-    Every statistics step (drop_na, fill_na, scale) reads its input twice -
-    once for the per-feature statistics, once for the rows - so chaining them
-    doubles the plan per step. With ``materialize`` the output of each such
-    step is checkpointed into the shared checkpoint folder, keeping the plan
-    linear and letting a lost executor resume from the last step."""
+    A step that needs statistics reads its input once and writes one row per
+    feature; the rows themselves are never written. A missing-rate filter
+    and the imputation right after it share one aggregation, so the usual run
+    of steps makes two passes before the result is read."""
     unknown = [s for s in steps if s not in STEP_NAMES]
     if unknown:
         raise ValueError(f"unknown preprocessing steps {unknown}")
     kw = {"feature": feature, "value": value}
-    fns = {
-        "replace_zero": lambda d: replace_zero(d, **kw),
-        "drop_na": lambda d: drop_missing(d, threshold=dropping_thres, **kw),
-        "fill_na": lambda d: impute(d, strategy=impute_strategy, sample=sample, seed=seed, **kw),
-        "log": lambda d: log_transform(d, **kw),
-        "scale": lambda d: standardize(d, **kw),
-    }
-    with_stats = {"drop_na", "fill_na", "scale"}
-    remaining = sum(1 for st in steps if st in with_stats)
-
-    def apply(acc, step):
-        nonlocal remaining
-        out = acc.transform(fns[step])
-        if step in with_stats:
-            remaining -= 1
-            if materialize and remaining > 0:
-                out = cut_lineage(out)
-        return out
-
-    return reduce(apply, steps, df)
+    todo = list(steps)
+    while todo:
+        step = todo.pop(0)
+        if step == "drop_na" and todo[:1] == ["fill_na"] and impute_strategy in ("min", "uniform"):
+            todo.pop(0)
+            v = nan_to_null(F.col(value))
+            stats = df.groupBy(feature).agg(F.avg(v.isNull().cast("double")).alias("missing_rate"),
+                                            F.min(v).alias("_min"))
+            kept = join_group_stats(df, stats, [feature], "left").filter(F.col("missing_rate") < dropping_thres)
+            df = _filled(kept, impute_strategy, feature, value, sample, seed).drop("missing_rate", "_min")
+        elif step == "drop_na":
+            df = drop_missing(df, threshold=dropping_thres, **kw)
+        elif step == "fill_na":
+            df = impute(df, strategy=impute_strategy, sample=sample, seed=seed, **kw)
+        else:
+            df = {"replace_zero": replace_zero, "log": log_transform, "scale": standardize}[step](df, **kw)
+    return df
 
 
 def missing_report(df: DataFrame, *, feature: str = "metabolite", value: str = "level",

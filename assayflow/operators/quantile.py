@@ -2,20 +2,24 @@
 
 ``median``/``percentile`` aggregates keep a map of every distinct value of a
 group in one buffer, so a group holding a large share of the data would sit
-whole in one task. Here the exact median is found in three bounded steps:
+whole in one task. Here the exact median is found in bounded steps:
 
-1. one partial aggregation per group: row count and a quantile sketch
-   (``percentile_approx``) bracketing the middle ranks. Its rank error is at
-   most n / accuracy, so quantiles 0.5 -/+ 3 / accuracy enclose the median;
-2. one pass counting the rows below the bracket and aggregating the values
-   inside it by (group, value) - a partial aggregation, so a value repeated
-   millions of times becomes one row with a count;
-3. a running count over the (few) distinct in-bracket values of each group
-   picks the values of ranks floor((n+1)/2) and ceil((n+1)/2).
+1. one partial aggregation per group: row count and a small quantile sketch
+   (``percentile_approx``, about a hundred kilobytes per group and task at
+   most) bracketing the middle ranks; its rank error is at most n / accuracy;
+2. while a bracket may hold more than ``LARGEST_BRACKET`` rows, it is cut into
+   ``CELLS`` cells of equal width and the rows per cell are counted - plain
+   partial sums - and the bracket becomes the cells of the middle ranks;
+3. one pass counts the rows below the bracket and aggregates the values
+   inside it by (group, value), so a value repeated millions of times becomes
+   one row; a running count over them picks ranks floor((n+1)/2) and
+   ceil((n+1)/2).
 
-The result equals numpy's / pandas' median (mean of the two middle values;
-NULLs are skipped). The bracket is verified; a violation (impossible under
-the sketch's guarantee) fails the job instead of returning a wrong value.
+The bracket tables have one row per group and are written before the rows
+meet them. The result equals numpy's / pandas' median (mean of the two middle
+values; NULL and NaN are skipped). The bracket is verified; a violation
+(impossible under the sketch's guarantee) fails the job instead of returning
+a wrong value.
 """
 
 from __future__ import annotations
@@ -25,26 +29,48 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayflow.operators.joins import join_group_stats
+from assayflow.session import written
 
-DEFAULT_ACCURACY = 100_000
+DEFAULT_ACCURACY = 1_000
+LARGEST_BRACKET = 1_000_000
+CELLS = 1_000
+
+
+def _narrowed(base: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
+    """Brackets cut down to the cells that hold the middle ranks."""
+    v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
+    cell = F.when(v < lo, -1).when(v > hi, CELLS).when(hi > lo, F.least(
+        F.lit(CELLS - 1), F.floor((v - lo) / (hi - lo) * CELLS).cast("int"))).otherwise(0)
+    counts = base.join(brackets, keys).groupBy(*keys, cell.alias("_cell")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.first("_n").alias("_n"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_cell"))
+    k1, k2 = F.floor((F.col("_n") + 1) / 2), F.ceil((F.col("_n") + 1) / 2)
+    holds = ((F.col("_upto") >= k1) & (F.col("_upto") - F.col("_c") < k1)) | \
+            ((F.col("_upto") >= k2) & (F.col("_upto") - F.col("_c") < k2))
+    return written(counts.withColumn("_upto", upto).filter(holds).groupBy(*keys).agg(
+        F.first("_n").alias("_n"), F.min("_min").alias("_lo"), F.max("_max").alias("_hi"),
+        F.sum("_c").alias("_inside")), "bracket")
 
 
 def group_median(df: DataFrame, keys: Sequence[str], value: str, *, out: str = "median",
-                 accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """One row per group: ``keys..., out`` (exact median, NULLs skipped;
-    groups whose values are all NULL are absent)."""
+                 accuracy: int = DEFAULT_ACCURACY, largest_bracket: int = LARGEST_BRACKET) -> DataFrame:
+    """One row per group: ``keys..., out`` (exact median, NULL and NaN
+    skipped; groups without a value are absent)."""
     keys = list(keys)
     base = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
     margin = 3.0 / accuracy
-    sketch = base.groupBy(*keys).agg(
+    brackets = written(base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_v", [max(0.0, 0.5 - margin), min(1.0, 0.5 + margin)],
                             accuracy).alias("_br"),
-    ).select(*keys, "_n", F.col("_br")[0].alias("_lo"), F.col("_br")[1].alias("_hi"))
+    ).select(*keys, "_n", F.col("_br")[0].alias("_lo"), F.col("_br")[1].alias("_hi"),
+             F.ceil(F.col("_n") * (2 * margin + 2.0 / accuracy)).alias("_inside")), "bracket")
+    wide = F.max(F.when(F.col("_hi") > F.col("_lo"), F.col("_inside")))
+    while (brackets.agg(wide).first()[0] or 0) > largest_bracket:
+        brackets = _narrowed(base, brackets, keys)
 
-    tagged = join_group_stats(base, sketch, keys)
+    tagged = base.join(brackets.drop("_inside"), keys)
     v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
     inside = (v >= lo) & (v <= hi)
     # One partial aggregation: a row per distinct in-bracket value, plus one

@@ -21,6 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayflow.functions.scalar import nan_to_null
 from assayflow.functions.tdist import t_critical, t_two_sided_p
 
 # Fixed values that must match the original result files.
@@ -95,12 +96,12 @@ def welch_by_group(df: DataFrame, *, feature: str = "metabolite", group: str = "
     """M3: Welch two-sample t-test of ``value ~ group`` per feature (and ``by``).
 
     ``groups`` are the two labels in sorted order; estimate = mean(groups[0])
-    - mean(groups[1]) as R reports it. Rows with a NULL value or group are
-    dropped first, like a model frame.
+    - mean(groups[1]) as R reports it. Rows with a missing (NULL or NaN) value
+    or a NULL group are dropped first, like a model frame.
     """
     g0, g1 = groups
     keys = [*by, feature]
-    val, grp = F.col(value), F.col(group)
+    val, grp = nan_to_null(F.col(value)), F.col(group)
     x = F.when(grp == F.lit(g0), val)
     y = F.when(grp == F.lit(g1), val)
     other = F.when(val.isNotNull() & grp.isNotNull() & ~grp.isin(g0, g1), 1)
@@ -123,12 +124,12 @@ def welch_by_group(df: DataFrame, *, feature: str = "metabolite", group: str = "
 def pivot_visits(df: DataFrame, *, id_cols: Sequence[str] = ("metabolite", "animal"),
                  names_from: str = "Visit", values_from: str = "level",
                  values: Sequence[str] = ("Day0", "Day10", "Day20"),
-                 fill: float | None = 0.0, on_duplicate: str = "avg") -> DataFrame:
+                 fill: float | None = 0.0, on_duplicate: str = "error") -> DataFrame:
     """Long -> wide by visit with ``fill`` for *absent* cells.
 
-    A cell whose row exists but whose level is NULL stays NULL; only cells
-    with no row at all get ``fill``. Duplicate rows in a cell are averaged,
-    or fail the job with ``on_duplicate="error"``. ``id_cols`` is explicit
+    A cell whose row exists but whose level is missing (NULL or NaN) is NULL;
+    only cells with no row at all get ``fill``. Duplicate rows in a cell fail
+    the job, or are averaged with ``on_duplicate="avg"``. ``id_cols`` is explicit
     (never "all other columns"). The pivot values are always given, so no
     extra job collects them.
     """
@@ -138,7 +139,7 @@ def pivot_visits(df: DataFrame, *, id_cols: Sequence[str] = ("metabolite", "anim
     aggs = []
     for v in values:
         aggs.append(F.count(F.when(name == v, F.lit(1))).alias(f"_p_{v}"))
-        aggs.append(F.avg(F.when(name == v, F.col(values_from))).alias(f"_v_{v}"))
+        aggs.append(F.avg(F.when(name == v, nan_to_null(F.col(values_from)))).alias(f"_v_{v}"))
     wide = df.groupBy(*id_cols).agg(*aggs)
     out = [F.col(c) for c in id_cols]
     for v in values:
@@ -156,8 +157,8 @@ def _stack_contrasts(wide: DataFrame, keys: Sequence[str], baseline: str,
                      timepoints: Sequence[str]) -> DataFrame:
     """(keys, baseline, tp1, tp2, ...) -> (keys, time_point, x, y) rows, one
     per requested time point; a narrow transformation (no shuffle)."""
-    arr = F.array(*[F.struct(F.lit(tp).alias("time_point"), F.col(baseline).alias("x"),
-                             F.col(tp).alias("y")) for tp in timepoints])
+    arr = F.array(*[F.struct(F.lit(tp).alias("time_point"), nan_to_null(F.col(baseline)).alias("x"),
+                             nan_to_null(F.col(tp)).alias("y")) for tp in timepoints])
     return wide.select(*keys, F.inline(arr))
 
 

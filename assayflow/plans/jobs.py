@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from assayflow.functions.scalar import clean_id, clean_visit
 from assayflow.operators import cohort, foldchange, lod, ols, preprocess, ttest, volcano
+from assayflow.session import written
 from assayflow.sources.readers import read_source, read_stage
 from assayflow.sources.sinks import write_csv, write_dataset
 
@@ -122,14 +123,17 @@ class TTestResults:
 
 def ttest_job(long: DataFrame, *, placebo: str = "T01", treated: str = "T03",
               visits: Sequence[str] = ("Day0", "Day168", "Day336"),
-              out: str | None = None) -> TTestResults:
+              out: str | None = None, on_duplicate: str = "error") -> TTestResults:
     """D8 (X2, F2, M3, R3, M4, M5, S4): Welch per visit in the placebo arm,
-    paired and unpaired baseline-vs-visit tests in the treated arm."""
+    paired and unpaired baseline-vs-visit tests in the treated arm, from one
+    written visit pivot; the result tables (one row per feature) are written
+    too, so each is computed once however often it is used."""
     v = long.withColumn("Visit", clean_visit("Visit"))
-    pl = ttest.welch_by_group(v.filter(F.col("Treatment") == placebo), by=["Visit"])
-    wide = ttest.pivot_visits(v.filter(F.col("Treatment") == treated), values=visits)
-    pa = ttest.paired_t(wide, baseline=visits[0], timepoints=visits[1:])
-    un = ttest.unpaired_t(wide, baseline=visits[0], timepoints=visits[1:])
+    pl = written(ttest.welch_by_group(v.filter(F.col("Treatment") == placebo), by=["Visit"]), "welch")
+    wide = written(ttest.pivot_visits(v.filter(F.col("Treatment") == treated), values=visits,
+                                      on_duplicate=on_duplicate), "visits")
+    pa = written(ttest.paired_t(wide, baseline=visits[0], timepoints=visits[1:]), "paired")
+    un = written(ttest.unpaired_t(wide, baseline=visits[0], timepoints=visits[1:]), "unpaired")
     if out:
         write_csv(pl, f"{out}/placebo_ttest", partition_by=["Visit"], tidy_names=True)
         write_csv(pa, f"{out}/treatment_paired_ttest", partition_by=["time_point"], tidy_names=True)
@@ -138,12 +142,13 @@ def ttest_job(long: DataFrame, *, placebo: str = "T01", treated: str = "T03",
     return TTestResults(pl, pa, un)
 
 
-def volcano_job(tests: TTestResults, long: DataFrame, *, placebo: str = "T01",
+def volcano_job(tests: TTestResults, raw_long: DataFrame, *, placebo: str = "T01",
                 treated: str = "T03", visits: Sequence[str] = ("Day0", "Day168", "Day336"),
                 p_threshold: float = 1e-4) -> dict[str, DataFrame]:
     """D9 (M16, M8, M9, J3, M14, F7): volcano tables of every contrast and
-    their significance counts."""
-    v = long.withColumn("Visit", clean_visit("Visit"))
+    their significance counts. The tests come from the preprocessed table,
+    the medians from ``raw_long``: a ratio of z-score medians means nothing."""
+    v = raw_long.withColumn("Visit", clean_visit("Visit"))
     fc_g = foldchange.fold_change_groups(v.filter(F.col("Treatment") == placebo), by=["Visit"])
     fc_v = foldchange.fold_change_visits(v.filter(F.col("Treatment") == treated),
                                          baseline=visits[0], timepoints=visits[1:])

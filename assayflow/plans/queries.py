@@ -99,7 +99,7 @@ def _sql_pivot(treatment):
     "visits_long", extra={"wide": _sql_pivot(TREATED)}))
 def pivot_visit_zero_fill(spark: SparkSession, d: str) -> DataFrame:
     """Treated arm, long -> wide by visit, absent visits filled with 0."""
-    return round_doubles(ttest.pivot_visits(_visits_clean(spark, d, TREATED), values=VISITS))
+    return round_doubles(ttest.pivot_visits(_visits_clean(spark, d, TREATED), values=VISITS, on_duplicate="avg"))
 
 
 def _sql_stack(tps):
@@ -128,7 +128,7 @@ _PAIRED_SQL = fx.with_views(
 @register("paired_t", _PAIRED_SQL)
 def paired_t(spark: SparkSession, d: str) -> DataFrame:
     """M4: treated arm, paired t Day0 vs each later visit, zero-filled cells."""
-    wide = ttest.pivot_visits(_visits_clean(spark, d, TREATED), values=VISITS)
+    wide = ttest.pivot_visits(_visits_clean(spark, d, TREATED), values=VISITS, on_duplicate="avg")
     return round_doubles(ttest.paired_t(wide, baseline=BASELINE, timepoints=FOLLOWUPS))
 
 
@@ -149,7 +149,7 @@ _UNPAIRED_SQL = fx.with_views(
 @register("unpaired_t", _UNPAIRED_SQL)
 def unpaired_t(spark: SparkSession, d: str) -> DataFrame:
     """M5: treated arm, Welch t of the Day0 column vs each later visit column."""
-    wide = ttest.pivot_visits(_visits_clean(spark, d, TREATED), values=VISITS)
+    wide = ttest.pivot_visits(_visits_clean(spark, d, TREATED), values=VISITS, on_duplicate="avg")
     return round_doubles(ttest.unpaired_t(wide, baseline=BASELINE, timepoints=FOLLOWUPS))
 
 
@@ -179,7 +179,7 @@ def paired_t_all_arms(spark: SparkSession, d: str) -> DataFrame:
     """M4 with the arm as a key: paired t per (arm, feature, later visit)
     over the whole long table."""
     v = fx.visits_long(spark, d).withColumn("Visit", clean_visit("Visit"))
-    wide = ttest.pivot_visits(v, id_cols=("Treatment", "metabolite", "animal"), values=VISITS)
+    wide = ttest.pivot_visits(v, id_cols=("Treatment", "metabolite", "animal"), values=VISITS, on_duplicate="avg")
     return round_doubles(ttest.paired_t(wide, baseline=BASELINE, timepoints=FOLLOWUPS,
                                         by=["Treatment"]))
 
@@ -196,7 +196,7 @@ def unpaired_t_all_arms(spark: SparkSession, d: str) -> DataFrame:
     """M5 with the arm as a key: Welch t of Day0 vs each later visit column
     per (arm, feature) over the whole long table."""
     v = fx.visits_long(spark, d).withColumn("Visit", clean_visit("Visit"))
-    wide = ttest.pivot_visits(v, id_cols=("Treatment", "metabolite", "animal"), values=VISITS)
+    wide = ttest.pivot_visits(v, id_cols=("Treatment", "metabolite", "animal"), values=VISITS, on_duplicate="avg")
     return round_doubles(ttest.unpaired_t(wide, baseline=BASELINE, timepoints=FOLLOWUPS,
                                           by=["Treatment"]))
 
@@ -481,7 +481,7 @@ _fv = _fcv_sql()
 def stats_fc_outer(spark: SparkSession, d: str) -> DataFrame:
     """Paired-test statistics full-outer-joined with visit fold changes."""
     v = _visits_clean(spark, d, TREATED)
-    stats = ttest.paired_t(ttest.pivot_visits(v, values=VISITS), baseline=BASELINE,
+    stats = ttest.paired_t(ttest.pivot_visits(v, values=VISITS, on_duplicate="avg"), baseline=BASELINE,
                            timepoints=FOLLOWUPS)
     fc = foldchange.fold_change_visits(v, baseline=BASELINE, timepoints=FOLLOWUPS)
     return round_doubles(volcano.stats_with_fold_change(stats, fc,

@@ -7,6 +7,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,3 +74,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def table_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables."""
     return os.path.join(checkpoint_dir(spark), *parts)
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table below the shared checkpoint folder and read it back.
+
+    Lineage ends there, and the planner knows the size of what it reads."""
+    spark = df.sparkSession
+    path = table_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -15,10 +15,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, FloatType, StringType, StructField, StructType
 
 from assayflow.functions.scalar import last_path_segment
 
+# Fixed value: the characters that make a path a glob.
 GLOB_CHARS = re.compile(r"[*?\[\]{}]")
 # Formats whose column types are inferred from text (keys must be read as strings).
 TEXT_FORMATS = ("csv", "json", "text")
@@ -38,13 +39,18 @@ def read_source(spark: SparkSession, path: str, fmt: str = "csv", *, delimiter:
     * ``fmt="table"`` reads a catalog table (``db.table``) - A5.
     * CSV: ``header`` / ``delimiter`` / ``inferSchema`` as given. Columns in
       ``string_columns`` are read as strings from the start (no infer-then-
-      cast, which would lose leading zeros): the file header is read once to
-      build a schema in which those columns are strings.
+      cast, which would lose leading zeros). Inferring the other columns'
+      types reads the text once more than the load itself; with a ``schema``,
+      or without inference, only the header is read before the load.
+    * NaN becomes NULL: the library's single notion of missing.
+    * A path below ``/dbfs/`` is the mount of ``dbfs:/``.
     * A path with glob characters gets ``lineage_column`` = base file name of
       each row's file (A3); a directory path reads every file in it (A4).
     """
     if fmt == "table":
         return spark.read.table(path)
+    if path.startswith("/dbfs/"):
+        path = "dbfs:/" + path[len("/dbfs/"):]
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", str(header).lower()).option("delimiter", delimiter)
@@ -63,6 +69,9 @@ def read_source(spark: SparkSession, path: str, fmt: str = "csv", *, delimiter:
         # typed formats store the key's type; a cast loses nothing there
         for c in string_columns:
             df = df.withColumn(c, F.col(c).cast("string"))
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))]
+    if floats:
+        df = df.withColumns({c: F.nanvl(F.col(f"`{c}`"), F.lit(None).cast(df.schema[c].dataType)) for c in floats})
     if has_glob(path):
         df = df.withColumn(lineage_column, last_path_segment(F.col("_metadata.file_path")))
     return df

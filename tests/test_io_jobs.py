@@ -129,26 +129,6 @@ def test_every_query_matches_oracle_sf0001(spark):
     assert not bad, bad
 
 
-def test_streaming_ingest_appends_each_file_once(spark):
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-
-    from assayflow.streaming import ingest_assay_files
-    src, out, ck = _scratch(), _scratch() + "/long", _scratch()
-    schema = StructType([StructField("sample_id", StringType()), StructField("serum_a", DoubleType()),
-                         StructField("serum_b", DoubleType())])
-    pd.DataFrame({"sample_id": ["s1", "s2"], "serum_a": [1.0, None], "serum_b": [2.0, 3.0]}).to_csv(
-        f"{src}/f1.csv", index=False)
-    q = ingest_assay_files(spark, src, schema, out, id_cols=["sample_id"], checkpoint=ck)
-    q.awaitTermination(120)
-    assert spark.read.parquet(out).count() == 4
-    pd.DataFrame({"sample_id": ["s3"], "serum_a": [5.0], "serum_b": [6.0]}).to_csv(
-        f"{src}/f2.csv", index=False)
-    q = ingest_assay_files(spark, src, schema, out, id_cols=["sample_id"], checkpoint=ck)
-    q.awaitTermination(120)
-    back = spark.read.parquet(out)
-    assert back.count() == 6 and back.filter("level IS NULL").count() == 1
-
-
 def test_table_read_and_republish(spark):
     from assayflow.sources import republish
     d = _scratch()

@@ -1,6 +1,6 @@
 """Physical-plan guards: what the optimizer must do for every registered query."""
 
-import __spark_entry__ as entry
+from assayflow.plans import catalog
 from tests.conftest import SF001
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin")
@@ -13,7 +13,7 @@ def _plan(df) -> str:
 
 def test_no_cross_joins_and_no_python_in_registered_queries(spark):
     offenders = {}
-    for name, fn in entry.queries().items():
+    for name, fn in catalog.queries_map().items():
         plan = _plan(fn(spark, SF001))
         bad = [op for op in FORBIDDEN + PYTHON if op in plan]
         if bad:
@@ -23,7 +23,7 @@ def test_no_cross_joins_and_no_python_in_registered_queries(spark):
 
 def test_scan_pruning_and_pushdown(spark):
     import re
-    qs = entry.queries()
+    qs = catalog.queries_map()
     plan = _plan(qs["ols_sweep"](spark, SF001))
     # lineitem is read with the five columns the regression needs, not all eleven
     cols = re.search(r"FileScan parquet \[([^\]]*)\][^\n]*lineitem\.parquet", plan).group(1)
@@ -36,7 +36,7 @@ def test_scan_pruning_and_pushdown(spark):
 
 
 def test_chained_steps_keep_plans_linear(spark):
-    qs = entry.queries()
+    qs = catalog.queries_map()
     for name in ("preprocess_steps", "lod_correct_replace"):
         plan = _plan(qs[name](spark, SF001))
         assert plan.count("Exchange") < 40, name
@@ -45,7 +45,7 @@ def test_chained_steps_keep_plans_linear(spark):
 def test_per_feature_statistics_aggregate_before_the_shuffle(spark):
     """A feature holding a third of all rows is reduced map-side: every
     statistics aggregation runs a partial step before its exchange."""
-    qs = entry.queries()
+    qs = catalog.queries_map()
     expect = {"welch_by_feature": ("partial_avg", "partial_var_samp"),
               "ols_sweep": ("partial_regr_sxy",),
               "standardize": ("partial_avg", "partial_stddev_pop"),

@@ -72,7 +72,7 @@ def test_paired_zero_fill_absent_not_null(spark):
             ("m", "a3", "Day0", 3.0), ("m", "a3", "Day10", None),       # present null stays null
             ("m", "a4", "Day0", 4.0), ("m", "a4", "Day10", 1.0), ("m", "a4", "Day10", 3.0)]
     df = spark.createDataFrame(rows, "metabolite string, animal string, Visit string, level double")
-    wide = ttest.pivot_visits(df, values=("Day0", "Day10"))
+    wide = ttest.pivot_visits(df, values=("Day0", "Day10"), on_duplicate="avg")
     cells = {r.animal: r for r in wide.collect()}
     assert cells["a2"].Day10 == 0.0 and cells["a3"].Day10 is None and cells["a4"].Day10 == 2.0
     res = ttest.paired_t(wide, timepoints=("Day10",)).first()
@@ -151,11 +151,11 @@ def test_fused_arm_key_equals_per_arm_runs(spark):
     """Loop fusion must not change results: the by-arm job equals one job per arm."""
     v = fx.visits_long(spark, SF001).withColumn("Visit", F.replace("Visit", F.lit(" "), F.lit("")))
     visits = ("Day0", "Day10", "Day20")
-    wide = ttest.pivot_visits(v, id_cols=("Treatment", "metabolite", "animal"), values=visits)
+    wide = ttest.pivot_visits(v, id_cols=("Treatment", "metabolite", "animal"), values=visits, on_duplicate="avg")
     fused = {(r.Treatment, r.metabolite, r.time_point): r.statistic
              for r in ttest.paired_t(wide, timepoints=visits[1:], by=["Treatment"]).collect()}
     for arm in ("T01", "T02", "T03"):
-        w = ttest.pivot_visits(v.filter(F.col("Treatment") == arm), values=visits)
+        w = ttest.pivot_visits(v.filter(F.col("Treatment") == arm), values=visits, on_duplicate="avg")
         for r in ttest.paired_t(w, timepoints=visits[1:]).collect():
             assert fused[(arm, r.metabolite, r.time_point)] == pytest.approx(r.statistic, nan_ok=True)
     welch = {(r.Treatment, r.Visit, r.metabolite): r.p_value
