@@ -24,7 +24,7 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from assayflow.llm.common import held_out, table
+from assayflow.llm.common import held_out, materialize, table
 
 WORD = re.compile(r"[^\W\d_]+")
 JVM_WORD = r"\p{L}+"
@@ -118,8 +118,9 @@ class Chain:
     words: dict[str, int]
     models: list[np.ndarray] = field(default_factory=list)
 
-    def rows(self, sets: Sequence[set[str]]) -> np.ndarray:
-        x = np.zeros((len(sets), len(self.words)), dtype=np.float32)
+    def rows(self, sets: Iterable[set[str]], n: int) -> np.ndarray:
+        """Feature rows of ``n`` texts; takes one text's features at a time."""
+        x = np.zeros((n, len(self.words)), dtype=np.float32)
         known = self.words.keys()
         for i, words in enumerate(sets):
             x[i, [self.words[w] for w in words & known]] = 1.0
@@ -165,7 +166,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame) -> Chain:
     sample = F.broadcast(sample_labels(labels, "toxic"))
     rows = docs.select("doc_id", "text").join(sample, "doc_id").select(
         "doc_id", "label", _features(F.col("text")).alias("words"))
-    rows = rows.persist()
+    rows = materialize(rows)
     n, n_pos = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     counts = rows.select("label", F.explode("words").alias("word")).groupBy("word").agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
@@ -177,7 +178,6 @@ def fit_chain(docs: DataFrame, labels: DataFrame) -> Chain:
     wanted = F.array(*[F.lit(w) for w in {*chain.words, *("=" + w for ws in CATEGORY_WORDS.values() for w in ws)}]) if top else F.array()
     got = rows.select("label", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).alias("fold"),
                       F.array_intersect("words", wanted).alias("words")).collect() if top else []
-    rows.unpersist()
     if not got:
         chain.models = [np.zeros(1 + len(chain.words) + c) + 0.0 for c in range(len(CATEGORIES))]
         for m in chain.models:
@@ -186,7 +186,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame) -> Chain:
     sets = [set(r["words"]) for r in got]
     toxic = np.array([r["label"] for r in got], dtype=float)
     y = np.stack([toxic * np.array([bool(s & {"=" + w for w in ws}) for s in sets]) for ws in CATEGORY_WORDS.values()] + [toxic], axis=1)
-    return chain.fit(chain.rows(sets), y, np.array([r["fold"] for r in got]))
+    return chain.fit(chain.rows(sets, len(sets)), y, np.array([r["fold"] for r in got]))
 
 
 def probabilities(text: Column, chain: Chain, spark: SparkSession) -> Column:
@@ -196,7 +196,7 @@ def probabilities(text: Column, chain: Chain, spark: SparkSession) -> Column:
     @F.pandas_udf(ArrayType(DoubleType()))
     def predict(texts: pd.Series) -> pd.Series:
         own = shared.value
-        return pd.Series(list(own.predict(own.rows([features_of(t) for t in texts])).astype(float)))
+        return pd.Series(list(own.predict(own.rows((features_of(t) for t in texts), len(texts))).astype(float)))
 
     return predict(text)
 
