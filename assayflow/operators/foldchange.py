@@ -37,18 +37,19 @@ def fold_change_groups(df: DataFrame, *, feature: str = "metabolite", group: str
 
 def fold_change_visits(df: DataFrame, *, feature: str = "metabolite", visit: str = "Visit",
                        value: str = "level", baseline: str = "Day0",
-                       timepoints: Sequence[str] = ("Day10", "Day20")) -> DataFrame:
+                       timepoints: Sequence[str] = ("Day10", "Day20"),
+                       by: Sequence[str] = ()) -> DataFrame:
     """M9 (+F3): median(time point) / median(baseline) per feature, for every
     time point in one pass: medians per (feature, visit) are computed once and
     the baseline is paired with each later visit."""
     wanted = [baseline, *timepoints]
-    med = group_median(df.filter(F.col(visit).isin(wanted)), [feature, visit], value, out="_med")
-    wide = med.groupBy(feature).agg(*[
+    med = group_median(df.filter(F.col(visit).isin(wanted)), [*by, feature, visit], value, out="_med")
+    wide = med.groupBy(*by, feature).agg(*[
         F.max(F.when(F.col(visit) == v, F.col("_med"))).alias(f"_m_{v}") for v in wanted])
     rows = F.array(*[F.struct(F.lit(tp).alias("time_point"),
                               F.col(f"_m_{baseline}").alias("baseline_median"),
                               F.col(f"_m_{tp}").alias("visit_median")) for tp in timepoints])
-    out = wide.select(feature, F.inline(rows))
+    out = wide.select(*by, feature, F.inline(rows))
     fc = ratio(F.col("visit_median"), F.col("baseline_median"))
     return out.withColumn("fold_change", fc).withColumn(
         "log2_fold_change", log2_safe(F.col("fold_change")))

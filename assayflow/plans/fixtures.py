@@ -61,6 +61,19 @@ def visits_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+PLANTED_SHIFT = 1.5
+
+
+def visits_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``visits_long`` with an effect planted in two of its features: higher
+    in the progressive group, and rising with the visit."""
+    v = visits_long(spark, sf_dir)
+    day = F.replace("Visit", F.lit("Day "), F.lit("")).cast("double")
+    shift = F.when(F.col("metabolite").isin("serum_click;cl", "serum_view;vi"),
+                   F.lit(PLANTED_SHIFT) * F.col("Progressive") + day / 10).otherwise(F.lit(0.0))
+    return v.withColumn("level", F.col("level") + shift)
+
+
 def grand_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Preprocessing input: wide, mostly-missing feature columns."""
     ev = table(spark, sf_dir, "events")
@@ -75,7 +88,8 @@ def grand_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum(F.when(et == "click", F.floor(v / 20).cast("double"))).alias("serum_click"),
             F.sum(F.when(et == "view", v)).alias("serum_view"),
             F.sum(F.when(et == "signup", v)).alias("serum_signup"),
-            F.sum(F.when((et == "error") & (v > 100), v)).alias("serum_error"),
+            F.sum(F.when(et == "purchase", v)).alias("serum_purchase"),
+            F.sum(F.when(et == "error", v)).alias("serum_error"),
         )
         .withColumn("serum_empty", F.lit(None).cast("double"))
     )
@@ -129,17 +143,17 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
-DAY_COLUMNS = [f"d{d:02d}" for d in range(1, 31)]
+DAY_COLUMNS = [f"d{d:02d}" for d in range(1, 32)]
 
 
 def targets_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cytokine-style assay file: targets in rows, one column per sample
-    (here: one column per day of month 1..30)."""
+    (here: one column per day of the month)."""
     ev = table(spark, sf_dir, "events")
     dom = F.dayofmonth("ts")
     return ev.groupBy(F.col("event_type").alias("targetName")).agg(
         *[F.avg(F.when(dom == d, F.col("value"))).alias(name)
-          for d, name in zip(range(1, 31), DAY_COLUMNS)]
+          for d, name in zip(range(1, 32), DAY_COLUMNS)]
     )
 
 
@@ -165,13 +179,20 @@ SELECT concat('serum_', event_type, ';', substr(event_type, 1, 2)) AS metabolite
        cast(user_id % 2 AS int) AS Progressive,
        avg(value) / 10 AS level
 FROM events GROUP BY 1, 2, 3, 4, 5""",
+    "visits_planted": f"""
+SELECT metabolite, animal, Visit, Treatment, Progressive,
+       level + CASE WHEN metabolite IN ('serum_click;cl', 'serum_view;vi')
+               THEN cast({PLANTED_SHIFT} AS double) * Progressive + cast(replace(Visit, 'Day ', '') AS double) / 10
+               ELSE cast(0 AS double) END AS level
+FROM visits_long""",
     "grand_wide": """
 SELECT concat(' ', cast(user_id AS string), ' -', cast(dayofmonth(ts) AS string)) AS sample_id,
        cast(user_id AS string) AS animal,
        sum(CASE WHEN event_type = 'click' THEN cast(floor(value / 20) AS double) END) AS serum_click,
        sum(CASE WHEN event_type = 'view' THEN value END) AS serum_view,
        sum(CASE WHEN event_type = 'signup' THEN value END) AS serum_signup,
-       sum(CASE WHEN event_type = 'error' AND value > 100 THEN value END) AS serum_error,
+       sum(CASE WHEN event_type = 'purchase' THEN value END) AS serum_purchase,
+       sum(CASE WHEN event_type = 'error' THEN value END) AS serum_error,
        cast(NULL AS double) AS serum_empty
 FROM events GROUP BY 1, 2""",
     "targets_long": """
@@ -195,7 +216,7 @@ SELECT DISTINCT nullif(cast(user_id AS string), '7') AS case_id,
 FROM events WHERE event_type = 'click'""",
     "targets_wide": "SELECT event_type AS targetName, " + ", ".join(
         f"avg(CASE WHEN dayofmonth(ts) = {d} THEN value END) AS {name}"
-        for d, name in zip(range(1, 31), DAY_COLUMNS)) + " FROM events GROUP BY 1",
+        for d, name in zip(range(1, 32), DAY_COLUMNS)) + " FROM events GROUP BY 1",
 }
 
 

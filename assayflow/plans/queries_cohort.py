@@ -54,7 +54,7 @@ def pheno_manifest_outer(spark: SparkSession, d: str) -> DataFrame:
 @register("grand_table_inner", _csql(
     "SELECT replace(trim(cast(g.sample_id AS VARCHAR)), ' ', '') AS sample_id, g.animal AS animal_x, "
     "round(g.serum_click, 6) AS serum_click, round(g.serum_view, 6) AS serum_view, "
-    "round(g.serum_signup, 6) AS serum_signup, round(g.serum_error, 6) AS serum_error, "
+    "round(g.serum_signup, 6) AS serum_signup, round(g.serum_purchase, 6) AS serum_purchase, round(g.serum_error, 6) AS serum_error, "
     "g.serum_empty, pc.animal AS animal_y, pc.visit_dcf, pc.Treatment, pc.Progressive, pc.case_id, "
     "pc.Visit, pc.treatment_id, pc.custom_id "
     "FROM grand_wide g JOIN pc ON replace(trim(cast(g.sample_id AS VARCHAR)), ' ', '') = pc.custom_id",

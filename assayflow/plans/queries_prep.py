@@ -13,7 +13,7 @@ from assayflow.operators.report import round_doubles
 from assayflow.plans import fixtures as fx
 from assayflow.plans.registry import register
 
-FEATURES = ("serum_click", "serum_view", "serum_signup", "serum_error", "serum_empty")
+FEATURES = ("serum_click", "serum_view", "serum_signup", "serum_purchase", "serum_error", "serum_empty")
 DROP_THRESHOLD = 0.9
 SEED = 10
 STEPS = ("replace_zero", "drop_na", "fill_na", "log", "scale")
