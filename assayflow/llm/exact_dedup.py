@@ -82,6 +82,8 @@ def dedup_table(docs: DataFrame) -> DataFrame:
               .agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("group_size"))
               .select("text_sha256", F.col("best.doc_id").alias("keep_id"),
                       F.col("best.row").alias("keep_row"), "group_size"))
+    # written, so that the join reads two plain sides and can split a hot group
+    groups = materialize(groups)
     decided = shared.join(groups, "text_sha256").select(
         "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
     return alone.unionByName(decided)
