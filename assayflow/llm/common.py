@@ -71,27 +71,52 @@ def bitmap_of_cells(cells: DataFrame, column: str) -> DataFrame:
     return cells.groupBy(block).agg(F.bit_or(bit).alias("bits"))
 
 
+def _rooted(parents: DataFrame) -> DataFrame:
+    """(node, parent) with every parent replaced by the end of its chain."""
+    while True:
+        up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("root"))
+        step = materialize(parents.join(up, "parent").select("node", "root", (F.col("root") != F.col("parent")).alias("moved")))
+        parents = step.select("node", F.col("root").alias("parent"))
+        if not step.filter("moved").limit(1).count():
+            return parents
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """``links`` (a, b) to (node, component): the smallest node reachable.
 
-    Minimum labels travel along links and then jump to the label of their
-    label, so that stars take two rounds and a chain of n nodes about log n.
-    Every round reads and writes a table in the shared folder. A hot node's
-    neighbours are reduced by partial minima before the shuffle, and its
-    label rows join under adaptive skew splitting.
+    Each round points every node at its smallest neighbour (or itself),
+    follows the pointers to their end and contracts the links to those ends;
+    links inside a component vanish, so rounds shrink quickly and a star takes
+    one. Minima over a hot node's neighbours are partial aggregates, its links
+    join under adaptive skew splitting, and every table is written.
     """
-    both = materialize(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = materialize(both.groupBy(F.col("a").alias("node"))
-                         .agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    while True:
-        seen = (both.join(labels.select(F.col("node").alias("b"), "label"), "b")
-                .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near")))
-        step = labels.join(seen, "node").select(
-            "node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        step = materialize(step.join(jump, "label", "left").select(
-            "node", "old", F.least("label", F.coalesce("far", "label")).alias("label")))
-        changed = step.filter("old <> label").limit(1).count()
-        labels = step.select("node", "label")
-        if not changed:
-            return labels.select("node", F.col("label").alias("component"))
+    edges = materialize(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = None
+    while found is None or edges.limit(1).count():
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).union(edges.select("b", "a"))
+        roots = _rooted(materialize(both.groupBy("node").agg(F.min("near").alias("near"))
+                                    .select("node", F.least("node", "near").alias("parent"))))
+        left = roots.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
+        right = roots.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
+        edges = materialize(edges.join(left, "a").join(right, "b").filter("pa <> pb").select(
+            F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        if found is None:
+            found = roots
+        else:
+            up = roots.select(F.col("node").alias("parent"), F.col("parent").alias("root"))
+            found = materialize(found.join(up, "parent", "left").select(
+                "node", F.coalesce("root", "parent").alias("parent")))
+    return found.select("node", F.col("parent").alias("component"))
+
+
+def joined_components(components: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` with more links between their nodes (a node without a
+    component is its own)."""
+    name = lambda n: components.select(F.col("node").alias(n), F.col("component").alias(f"c{n}"))
+    between = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(
+        F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merged = connected_components(between).select(F.col("node").alias("component"), F.col("component").alias("into"))
+    known = components.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    new = merged.select(F.col("component").alias("node"), F.col("into").alias("component")).join(
+        components.select("node"), "node", "left_anti")
+    return materialize(known.union(new))

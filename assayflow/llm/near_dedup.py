@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
-from assayflow.llm.common import cell_count, connected_components, materialize, table
+from assayflow.llm.common import cell_count, connected_components, joined_components, materialize, table
 from assayflow.llm.exact_dedup import repeated_cells, with_maybe
 
 SHINGLE = 5
@@ -301,7 +301,7 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]
     more = materialize(_verified(_apart(full, components), words))
     if more.limit(1).count():
         links = links.union(more)
-        components = connected_components(links)
+        components = joined_components(components, more)
     return links, components
 
 

@@ -12,7 +12,7 @@ import pytest
 
 import corpus_pipeline
 from assayflow.llm import bpe, catalog, decontaminate, language, near_dedup, pii, quality, sharding, toxicity
-from assayflow.llm.common import connected_components, table
+from assayflow.llm.common import connected_components, joined_components, table
 from tests.conftest import SF001, SF01
 
 
@@ -221,6 +221,22 @@ def test_components_of_chains_and_stars(spark):
         spark.createDataFrame(links, "a long, b long")).collect()}
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in range(100, 140)} == {100}
     assert got[300] == got[200] == 200
+    rng = random.Random(9)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]
+    more = [(rng.randrange(330), rng.randrange(330)) for _ in range(40)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links + more:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    got = joined_components(connected_components(frame(links)), frame(more)).collect()
+    assert all(r.component == find(r.node) for r in got)
+    assert {r.node for r in got} == {x for p in links + more for x in p if p[0] != p[1]}
 
 
 # ----------------------------------------------------------------- pipeline
