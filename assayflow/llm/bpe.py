@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from assayflow.llm.common import materialize, table, words_expr
 
 #: Documents whose distinct words are folded once, the most words kept of
-#: them, and the longest word kept (bytes): about 60 MB at most.
-CACHE_DOCS, CACHE_WORDS, CACHE_WORD_BYTES = 20_000, 1 << 20, 64
+#: them, and the longest word kept (bytes): about 100 MB at most.
+CACHE_DOCS, CACHE_WORDS, CACHE_WORD_BYTES = 16_000, 1 << 20, 64
 WORD_BUCKETS, RANK_BUCKETS = 1 << 18, 1 << 15
 #: Stands for "no merge" in the fold.
 NO_RANK = 1 << 30
@@ -183,7 +183,7 @@ def encode(docs: DataFrame, text: str, ids: str, ranks: DataFrame, cache_docs: i
 def decode(rows: DataFrame, ids: str, out: str, ranks: DataFrame) -> DataFrame:
     """Add the bytes of every id array: the pieces, concatenated. An id
     without a piece gives NULL."""
-    top = ranks.agg(F.max("rank")).first()[0]
+    top, n = ranks.agg(F.max("rank"), F.count_distinct("rank")).first()
     every = ranks.sparkSession.range(top + 1).select(F.col("id").cast("int").alias("rank"))
     listed = F.array_sort(F.collect_list(F.struct("rank", F.coalesce("piece", F.lit(b"")).alias("piece"))))
     with Constants(rows.sparkSession) as constants:
@@ -191,14 +191,16 @@ def decode(rows: DataFrame, ids: str, out: str, ranks: DataFrame) -> DataFrame:
         pieces = constants.add(every.join(ranks, "rank", "left").agg(
             F.transform(listed, lambda s: s["piece"].cast("string")).alias("pieces")))
         joined = F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "").cast("binary")
-        unknown = F.exists(ids, lambda i: F.coalesce(F.octet_length(F.get(pieces, i)), F.lit(0)) == 0)
-        return rows.withColumn(out, F.when(~unknown, joined))
+        known = F.coalesce((F.array_min(ids) >= 0) & (F.array_max(ids) <= top), F.lit(True))
+        if n <= top:   # some ids below the largest have no piece
+            known = known & ~F.exists(ids, lambda i: F.get(pieces, i) == "")
+        return rows.withColumn(out, F.when(known, joined))
 
 
 def digest(rows: DataFrame, ids: str, decoded: str, *columns: str) -> DataFrame:
     return rows.select(
         *columns, F.size(ids).cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.transform(ids, lambda i: i.cast("string")), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.array_join(F.col(ids).cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col(decoded), 256).alias("decoded_sha256"))
 
 
