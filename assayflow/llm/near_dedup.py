@@ -90,7 +90,8 @@ def shingles(hashes: np.ndarray) -> np.ndarray:
 
 
 def labelled(grams: np.ndarray) -> np.ndarray:
-    """Shingles with the number of their occurrence mixed in."""
+    """Shingles with the number of their occurrence mixed in; the first
+    occurrence keeps its hash, so it has one label in every text."""
     order = np.argsort(grams, kind="stable")
     ranked = grams[order]
     new = np.r_[True, ranked[1:] != ranked[:-1]]
@@ -99,7 +100,7 @@ def labelled(grams: np.ndarray) -> np.ndarray:
     at = np.arange(len(grams))
     occurrence = np.empty(len(grams), dtype=np.uint64)
     occurrence[order] = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
-    return _mixed(grams + occurrence * _MIX)
+    return np.where(occurrence > 0, _mixed(grams + occurrence * _MIX), grams)
 
 
 def sketches(hashes: np.ndarray) -> np.ndarray:

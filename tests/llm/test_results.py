@@ -215,6 +215,17 @@ def test_no_link_between_texts_is_lost(spark):
     assert len({of[i] for i in range(len(texts) - 120, len(texts))}) == 120
 
 
+def test_a_repeated_shingle_changes_no_other_label(spark):
+    rng = random.Random(10)
+    page = [f"w{rng.randint(0, 5000)}" for _ in range(1000)]
+    again = page + page[200:212]
+    a, b = (near_dedup.labelled(near_dedup.shingles(near_dedup._word_hashes(t, {}))) for t in (page, again))
+    assert set(a) < set(b) and len(b) == len(set(b)) == 1008
+    loses = page[:204] + ["edit"] + page[205:] + page[600:612]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate((page, again, loses))], "doc_id long, text string")
+    assert {r.class_id for r in near_dedup.class_table(docs).collect()} == {0}
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(300, 200)]
     got = {r.node: r.component for r in connected_components(
