@@ -18,12 +18,14 @@ Texts with equal words form one class first, and only one of them goes on. In
 a bucket every text is first compared with the bucket's smallest one: a star,
 never all pairs, so a group of near copies costs one comparison per member
 and bucket. Components of the links are the classes so far. What stars leave
-apart is taken up by a second pass: members of one bucket in different
-components are compared directly if they agree on ``AGREE`` sketches and on
-``CLOSE`` of 64 plain MinHash bytes (a pair with shingle similarity 0.8 agrees
-on 51, and on fewer than 38 about once in 100,000). Agreement is counted
-between blocks of about ``BLOCK`` members, so a large bucket is many small
-tasks, and a pair comes only from its first common sketch.
+apart is taken up by a second pass under the same rule: all members of one
+bucket in different components are compared, so a class depends on its texts
+alone. Only pairs with too few word pairs in common for the rule are not
+aligned (a lower bound: one edit destroys two word pairs at most), nor pairs
+whose components already met in the task. Blocks of about ``BLOCK`` members
+are compared with each other, so a large bucket is many small tasks; members
+of a bucket's largest component meet only those outside it, and a pair is
+compared only at its first common sketch.
 
 Defined results: a text without words (NULL and empty included) is a class of
 its own; a text of fewer than five words has one shingle, all its words; rows
@@ -43,7 +45,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType
 
 from assayflow.llm.common import cell_count, connected_components, joined_components, materialize, table
 from assayflow.llm.exact_dedup import repeated_cells, with_maybe
@@ -51,8 +53,8 @@ from assayflow.llm.exact_dedup import repeated_cells, with_maybe
 SHINGLE = 5
 SIMILAR = 0.8
 SKETCHES, TAKE = 16, 2
-#: Second pass: sketches and MinHash bytes in common, and members a block.
-AGREE, CLOSE, BYTES, BLOCK = 2, 38, 64, 64
+#: Second pass: members a block, and word pairs a step of their count.
+BLOCK, STEP = 128, 4096
 WORD = re.compile(r"[^\W_]+")
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -118,14 +120,6 @@ def sketches(hashes: np.ndarray) -> np.ndarray:
     return value.astype(np.int64)
 
 
-def minhash_bytes(hashes: np.ndarray) -> bytes:
-    """One byte of each of ``BYTES`` plain MinHash values of a text."""
-    grams = labelled(shingles(hashes))
-    salts = np.arange(1, BYTES + 1, dtype=np.uint64) * _STEP
-    least = np.array([_mixed(grams ^ salt).min() for salt in salts])
-    return _mixed(least).astype(np.uint8).tobytes()
-
-
 def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edit distance of two sequences, or ``most + 1`` if it is larger.
 
@@ -197,6 +191,40 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return banded_distance(a, b, most) <= most
 
 
+def word_pairs(hashes: np.ndarray) -> np.ndarray:
+    """Labelled pairs of neighbouring words, sorted."""
+    return np.sort(labelled(_mixed(hashes[:-1] * _MIX + hashes[1:]))) if len(hashes) > 1 else hashes[:0]
+
+
+def in_common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Number of common values of every left and every right set, by steps of
+    ``STEP`` values that occur on both sides."""
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    cut = lambda sets: [np.searchsorted(shared, np.intersect1d(s, shared, assume_unique=True)) for s in sets]
+    left, right = cut(left), cut(right)
+    for low in range(0, len(shared), STEP):
+        sides = []
+        for sets in (left, right):
+            held = np.zeros((len(sets), STEP), dtype=np.float32)
+            for row, s in zip(held, sets):
+                row[s[np.searchsorted(s, low):np.searchsorted(s, low + STEP)] - low] = 1
+            sides.append(held)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def may_be_alike(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Which pairs can be alike by their lengths and word pairs in common;
+    False only where neither alignment nor shingles can reach the threshold."""
+    nl, nr = (np.array([len(w) for w in side]) for side in (left, right))
+    longer, shorter = np.maximum(nl[:, None], nr[None, :]), np.minimum(nl[:, None], nr[None, :])
+    most = (longer * (1 - SIMILAR) + 1e-9).astype(np.int64)
+    need = np.minimum(longer - 1 - 2 * most, SIMILAR * (longer - SHINGLE + 1) - 1e-9)
+    common = in_common([word_pairs(w) for w in left], [word_pairs(w) for w in right])
+    return (longer - shorter <= most) & (common >= need)
+
+
 # ------------------------------------------------------------- signatures
 def _text_keys(text: Column) -> list[Column]:
     """Two 64-bit hashes that name a text."""
@@ -228,11 +256,10 @@ def signatures(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_signed, f"doc_id {kind}, k1 long, k2 long, node binary, n_words int, sketches array<long>")
 
 
-@F.pandas_udf(StructType([StructField("words", BinaryType()), StructField("bytes", BinaryType())]))
-def _packed(texts: pd.Series) -> pd.DataFrame:
+@F.pandas_udf(BinaryType())
+def _packed(texts: pd.Series) -> pd.Series:
     known: dict[str, int] = {}
-    hashes = [_word_hashes(WORD.findall(t.lower()), known) for t in texts]
-    return pd.DataFrame({"words": [h.tobytes() for h in hashes], "bytes": [minhash_bytes(h) for h in hashes]})
+    return pd.Series([_word_hashes(WORD.findall(t.lower()), known).tobytes() for t in texts])
 
 
 @F.pandas_udf(BooleanType())
@@ -249,41 +276,58 @@ def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return both.filter(_alike("words_a", "words_b")).select("a", "b")
 
 
-def _block_pairs(members: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one bucket and one pair of blocks that need a comparison."""
+def _block_links(members: pd.DataFrame) -> pd.DataFrame:
+    """Links of one bucket and one pair of blocks that join two components."""
     i, j, band = (members[c].iloc[0] for c in ("i", "j", "band"))
     left, right = members[members["block"] == i], members[members["block"] == j]
     if not len(left) or not len(right):
         return pd.DataFrame({"a": [], "b": []})
     same = np.stack(left["sketches"])[:, None, :] == np.stack(right["sketches"])[None, :, :]
-    nl, nr = left["n_words"].to_numpy()[:, None], right["n_words"].to_numpy()[None, :]
-    ml, mr = (np.stack([np.frombuffer(x, np.uint8) for x in m["bytes"]]) for m in (left, right))
-    close = (ml[:, None, :] == mr[None, :, :]).sum(axis=2) >= CLOSE
     apart = left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]
-    take = apart & close & (same.sum(axis=2) >= AGREE) & (same.argmax(axis=2) == band)
-    take &= np.minimum(nl, nr) >= np.maximum(nl, nr) * SIMILAR - 1
-    at, to = np.nonzero(take)
-    a, b = left["node"].to_numpy()[at], right["node"].to_numpy()[to]
-    keep = (a < b) if i == j else np.ones(len(a), dtype=bool)
-    return pd.DataFrame({"a": a[keep], "b": b[keep]})
-
-
-def _apart(members: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs for the second pass: bucket members in different components."""
-    named = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    buckets = named.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    split = named.join(materialize(buckets.filter("lo <> hi").select("bucket", "size")), "bucket")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = split.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
+    take = apart & same.any(axis=2) & (same.argmax(axis=2) == band)
+    if i == j:
+        take &= left["node"].to_numpy()[:, None] < right["node"].to_numpy()[None, :]
+    if not take.any():
+        return pd.DataFrame({"a": [], "b": []})
+    wl, wr = ([np.frombuffer(x, np.uint64) for x in m["words"]] for m in (left, right))
+    root: dict = {}
+
+    def find(x: bytes) -> bytes:
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    links = []
+    for at, to in zip(*np.nonzero(take & may_be_alike(wl, wr))):
+        a, b = find(left["component"].iat[at]), find(right["component"].iat[to])
+        if a != b and alike(wl[at], wr[to]):
+            root[a] = b
+            links.append((left["node"].iat[at], right["node"].iat[to]))
+    return pd.DataFrame(links, columns=["a", "b"])
+
+
+def _apart(members: DataFrame, components: DataFrame, words: DataFrame) -> DataFrame:
+    """Links of the second pass: bucket members in different components (the
+    pivot has met them all)."""
+    named = materialize(members.filter("node <> pivot").select("bucket", "band", "node").join(components, "node", "left")
+                        .withColumn("component", F.coalesce("component", "node")))
+    counts = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    buckets = counts.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("main"))
+    split = named.join(materialize(buckets.filter("main.n < size")), "bucket").join(words, "node")
+    main = F.col("component") == F.col("main.component")
+    outside = F.ceil((F.col("size") - F.col("main.n")) / BLOCK).cast("int")
+    inside = F.ceil(F.col("main.n") / BLOCK).cast("int")
+    spot = F.xxhash64("node")
+    dealt = split.withColumn("block", F.when(main, outside + F.pmod(spot, inside)).otherwise(F.pmod(spot, outside)).cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(
+        F.lit(0), F.when(main, outside).otherwise(outside + inside) - 1)).alias("with"))
     dealt = dealt.withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with"))
-    return dealt.select("bucket", "band", "i", "j", "block", "node", "component", "n_words", "sketches", "bytes") \
-        .groupBy("bucket", "i", "j").applyInPandas(_block_pairs, "a binary, b binary")
+    return dealt.select("bucket", "band", "i", "j", "block", "node", "component", "sketches", "words") \
+        .groupBy("bucket", "i", "j").applyInPandas(_block_links, "a binary, b binary")
 
 
 def near_links(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links, components) between the nodes (k1, k2, node, n_words,
+    """(links, components) between the nodes (k1, k2, node,
     sketches); components covers nodes with a link."""
     each = nodes.select("node", F.posexplode("sketches").alias("band", "value")).select(
         "node", "band", F.xxhash64("band", "value").alias("bucket"))
@@ -294,12 +338,10 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]
     wanted = members.select("node").distinct().join(nodes.select("node", "k1", "k2"), "node")
     texts = docs.select(*_text_keys(F.col("text")), "text").join(wanted, ["k1", "k2"])
     words = materialize(texts.groupBy("node").agg(F.first("text").alias("text"))
-                        .select("node", _packed("text").alias("p")).select("node", "p.words", "p.bytes"))
+                        .select("node", _packed("text").alias("words")))
     links = materialize(_verified(stars, words))
     components = connected_components(links)
-    known = nodes.select("node", "n_words", "sketches").join(words.select("node", "bytes"), "node")
-    full = members.select("bucket", "band", "node").join(known, "node")
-    more = materialize(_verified(_apart(full, components), words))
+    more = materialize(_apart(members, components, nodes.select("node", "sketches").join(words, "node")))
     if more.limit(1).count():
         links = links.union(more)
         components = joined_components(components, more)

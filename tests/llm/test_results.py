@@ -226,6 +226,39 @@ def test_a_repeated_shingle_changes_no_other_label(spark):
     assert {r.class_id for r in near_dedup.class_table(docs).collect()} == {0}
 
 
+def test_word_pairs_never_rule_out_an_alike_pair():
+    rng = random.Random(11)
+    texts = []
+    for _ in range(60):
+        a = [rng.randint(0, 30) for _ in range(rng.randint(1, 60))]
+        b = list(a)
+        for _ in range(rng.randint(0, max(1, len(b) // 4))):
+            at = rng.randint(0, len(b))
+            b[at:at + rng.randint(0, 1)] = [rng.randint(0, 30)] * rng.randint(0, 2)
+        texts += [np.array(t, np.uint64) for t in (a, b) if t]
+    may = near_dedup.may_be_alike(texts, texts)
+    like = np.array([[near_dedup.alike(a, b) for b in texts] for a in texts])
+    assert like.sum() > len(texts) and not (like & ~may).any() and may.sum() < may.size / 4
+
+
+def test_both_passes_link_what_aligns(spark):
+    rng = random.Random(12)
+    texts, pairs = [], []
+    for _ in range(40):
+        a = [f"p{i}" for i in range(30)] + [f"w{rng.randint(0, 10**6)}" for _ in range(70)]
+        b = [f"edit{rng.randint(0, 10**6)}" if i >= 30 and i % 5 == 0 else w for i, w in enumerate(a)]
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [a, b]
+    texts += [[f"p{i}" for i in range(30)] + [f"u{rng.randint(0, 10**6)}" for _ in range(70)] for _ in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    of = {r.doc_id: r.class_id for r in near_dedup.class_table(docs).collect()}
+    hashes = [near_dedup._word_hashes(t, {}) for t in texts]
+    sketch = [near_dedup.sketches(h) for h in hashes]
+    want = [(a, b) for a, b in pairs if (sketch[a] == sketch[b]).any()]
+    assert len(want) > 10 and all(near_dedup.alike(hashes[a], hashes[b]) and of[a] == of[b] for a, b in want)
+    assert len(set(of.values())) == len(texts) - len(want)
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(300, 200)]
     got = {r.node: r.component for r in connected_components(
