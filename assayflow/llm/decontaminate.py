@@ -16,8 +16,14 @@ given only the blocks where the maxima of all the window's terms together
 reach the threshold; for most windows there is none.
 
 A retrieved pair is verified: the item is its question (the leading words)
-and its answer (the last quarter), and the share of five-word shingles found
-in the document must reach ``OVERLAP`` for both.
+and its answer (the last quarter), and the document must hold a share of
+``OVERLAP`` of both. A part's share is the largest of three: its five-word
+shingles found anywhere in the text; its words met in order by the best
+alignment of the whole item with the retrieved windows, where an edit costs
+one word and not five shingles; and the part's own best alignment with the
+text if that reaches ``WHOLE``. A pair is also verified if the alignment of the
+whole item reaches ``WHOLE``, wherever the missing words are, so a quote may
+lack its last words. Aligning takes time in proportion to item times windows.
 
 The index is sent to the tasks in parts of at most ``PART_ITEMS`` items, each
 with a bounded number of words; more items make more parts and passes over
@@ -50,8 +56,10 @@ WORD = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
 #: An item is retrieved at this share of its own score.
 THRESHOLD = 0.5
-#: Share of the question's and of the answer's shingles a document must hold.
+#: Share of the question and of the answer that a document must hold.
 OVERLAP = 0.6
+#: Share of a whole item, or of a part alone, that an alignment must reach.
+WHOLE = 0.8
 SHINGLE, ANSWER_SHARE = 5, 0.25
 STRIDE, BLOCK = 64, 4
 #: Items in one part of the index (their words: bounded by ``PART_WORDS``).
@@ -72,6 +80,28 @@ def split_item(words: list[str]) -> tuple[list[str], list[str]]:
     return (words[:cut], words[cut:]) if cut else (words, words)
 
 
+def aligned(item: np.ndarray, text: np.ndarray, cut: int) -> tuple[float, float, float]:
+    """Best alignment of an item with a stretch of a text: 1 - edits / length,
+    and the shares of the first ``cut`` words and of the others met in order."""
+    at = np.arange(len(text) + 1)
+    cost, met, first = (np.zeros(len(text) + 1, dtype=np.int64) for _ in range(3))
+    for i, word in enumerate(item):
+        same = text == word
+        replaced, left_out = cost[:-1] + ~same, cost[1:] + 1
+        step = (replaced < left_out) | ((replaced == left_out) & (met[:-1] + same >= met[1:]))
+        cost = np.r_[cost[0] + 1, np.where(step, replaced, left_out)]
+        met = np.r_[met[0], np.where(step, met[:-1] + same, met[1:])]
+        first = np.r_[first[0], np.where(step, first[:-1] + (same if i < cut else 0), first[1:])]
+        # words of the text between two words of the item
+        gap = cost - at
+        low = np.minimum.accumulate(gap)
+        source = np.maximum.accumulate(np.where(gap == low, at, 0))
+        cost, met, first = low + at, met[source], first[source]
+    end = np.lexsort((-met, cost))[0]
+    whole = 1 - cost[end] / len(item)
+    return float(whole), float(first[end] / max(1, cut)), float((met[end] - first[end]) / max(1, len(item) - cut))
+
+
 @dataclass
 class Cursor:
     """A place in the postings of one query term."""
@@ -189,11 +219,15 @@ class Index:
         at = lo + int(np.searchsorted(self.block_ids[lo:hi], block))
         return float(self.block_max[at]) if at < hi and self.block_ids[at] == block else 0.0
 
-    def passages(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Distinct terms of each window that can reach the threshold in some
-        block, and those blocks: sums of block maxima over the terms."""
+    def term_numbers(self, words: list[str]) -> np.ndarray:
+        """Term numbers of a text's words (-1: in no item)."""
+        return np.fromiter((self.terms.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+
+    def passages(self, words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each window that can reach the threshold in some block, its distinct
+        terms and those blocks: sums of block maxima over the terms."""
         n_windows = max(1, (len(words) - 1) // self.stride)
-        terms = np.fromiter((self.terms.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        terms = self.term_numbers(words)
         place = np.nonzero(terms >= 0)[0]
         known, part = terms[place], place // self.stride
         # a word is in the window that starts with its stride and the one before
@@ -214,18 +248,51 @@ class Index:
         bound += np.bincount(cell, weights=self.block_max[posting], minlength=bound.size).reshape(bound.shape)
         # single precision sums: a margin keeps the bound on the safe side
         for i in np.nonzero((bound >= 1.0 - 1e-3).any(axis=1))[0]:
-            yield t[of == i], np.nonzero(bound[i] >= 1.0 - 1e-3)[0]
+            yield int(i), t[of == i], np.nonzero(bound[i] >= 1.0 - 1e-3)[0]
+
+    def _shares(self, item_words: list[str], text: np.ndarray, windows: list[int],
+                shares: list[float]) -> tuple[float, float, float]:
+        """Share of the whole item by its alignment with the windows, and the
+        shares of question and answer, which are ``shares`` by shingles."""
+        item = self.term_numbers(item_words)
+        question, answer = shares
+        whole, cut, margin = 0.0, len(split_item(item_words)[0]) % len(item), len(item) // 2
+        low = 0
+        for k, window in enumerate(windows):
+            if k + 1 < len(windows) and windows[k + 1] <= window + 2:
+                continue                                # one stretch with the next window
+            begin, end = windows[low] * self.stride - margin, (window + 2) * self.stride + margin
+            stretch, low = text[max(0, begin):end], k + 1
+            # words in common bound an alignment from above; one that reaches
+            # WHOLE holds OVERLAP of the question
+            asked = item[:cut or len(item)]
+            held = Counter(stretch[stretch >= 0].tolist())
+            common = sum((Counter(asked.tolist()) & held).values())
+            if max(question, answer) >= OVERLAP or common >= OVERLAP * len(asked):
+                w, q, a = aligned(item, stretch, cut)
+                whole, question, answer = max(whole, w), max(question, q if cut else a), max(answer, a)
+        if whole < WHOLE and min(question, answer) < OVERLAP <= max(question, answer) and cut:
+            if question < OVERLAP:
+                own = aligned(item[:cut], text, cut)[0]
+                question = own if own >= WHOLE else question
+            else:
+                own = aligned(item[cut:], text, len(item) - cut)[0]
+                answer = own if own >= WHOLE else answer
+        return whole, question, answer
 
     def matches(self, text: str | None) -> list[tuple[int, float, float, float]]:
         """(item_id, score, question overlap, answer overlap) of the verified
         items of one text."""
         words = words_of(text)
         best: dict[int, float] = {}
+        where: dict[int, list[int]] = {}
         if words:
-            for query, blocks in self.passages(words):
+            for window, query, blocks in self.passages(words):
                 for d, score in self.wand(query, blocks):
                     best[d] = max(best.get(d, 0.0), score)
+                    where.setdefault(d, []).append(window)
         out, held = [], {}
+        terms = self.term_numbers(words) if best else None
         for d, score in sorted(best.items()):
             item, item_words = self.items[d]
             share = []
@@ -235,7 +302,8 @@ class Index:
                     held[width] = set(grams(words, width))
                 own = grams(part, width)
                 share.append(sum(g in held[width] for g in own) / len(own))
-            if min(share) >= OVERLAP:
+            whole, *share = self._shares(item_words, terms, where[d], share)
+            if min(share) >= OVERLAP or whole >= WHOLE:
                 out.append((item, score, *share))
         return out
 
@@ -276,7 +344,7 @@ def _matches_of(index: Index, docs: DataFrame) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per (doc_id, item_id): score (in units of the threshold), the
-    shares of the question's and the answer's shingles that the text holds."""
+    shares of the question and of the answer that the text holds."""
     parts = [_matches_of(index, docs) for index in index_parts(benchmark)]
     if not parts:
         kind = docs.schema["doc_id"].dataType.simpleString()

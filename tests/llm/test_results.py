@@ -54,6 +54,34 @@ def test_quoted_items_are_found(spark):
     assert want and want <= got and len(got - want) <= 2
 
 
+def test_edited_and_truncated_quotes_are_found(spark):
+    items = [(r.item_id, decontaminate.words_of(r.text)) for r in table(spark, SF001, "benchmark").collect()]
+    index = decontaminate.Index(items)
+    rng = random.Random(13)
+    filler = [f"filler{i}" for i in range(2000)]
+    found = lambda quote, start: {m[0] for m in index.matches(" ".join(filler[:start] + quote + filler[start:]))}
+    for item, words in items:
+        n, start = len(words), rng.randint(0, 400)
+        quotes = [words[:i] + x + words[i + 1:] for i in range(n) for x in ([], ["edit"], [words[i], "edit"])]
+        quotes += [words[:n - k] for k in range(1, n // 5 + 1)] + [words[k:] for k in range(1, n // 5 + 1)]
+        quotes += [["edit" if i in (n // 6, n // 2, n - 3) else w for i, w in enumerate(words)]] * (n >= 20)
+        cut = len(decontaminate.split_item(words)[0])
+        quotes += [words[:cut] + filler[:300] + words[cut:]]
+        assert all(item in found(q, start) for q in quotes), words
+        assert item not in found(words[:cut], start) and item not in found(words[cut:], start)
+        shuffled = rng.sample(words, n)
+        assert item not in found(shuffled, start)
+
+
+def test_alignment_of_an_item_equals_the_full_one():
+    rng = random.Random(14)
+    for _ in range(300):
+        item, text = ([rng.randint(0, 4) for _ in range(rng.randint(1, n))] for n in (9, 14))
+        want = min(_distance(item, text[i:j]) for i in range(len(text) + 1) for j in range(i, len(text) + 1))
+        whole, first, rest = decontaminate.aligned(np.array(item), np.array(text), len(item) // 2)
+        assert abs(whole - (1 - want / len(item))) < 1e-9 and 0 <= first <= 1 and 0 <= rest <= 1
+
+
 # -------------------------------------------------- learned: held-out accuracy
 def test_held_out_accuracy(spark):
     labels = {r.doc_id: r for r in table(spark, SF01, "labels").collect()}
