@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayflow.plans import queries, queries_cohort, queries_prep, queries_volcano  # noqa: F401
+from assayflow.plans import queries, queries_cohort, queries_prep, queries_volcano, queries_whole  # noqa: F401
 from assayflow.plans.registry import ORACLE, QUERIES, QueryFn
 
 
