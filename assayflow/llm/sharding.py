@@ -75,14 +75,14 @@ def _name_bin(value: Column) -> Column:
     return F.coalesce(F.least(digits + 1, F.lit(BINS - 1)), F.lit(0))
 
 
-def _base(docs: DataFrame) -> DataFrame:
+def _base(docs: DataFrame, row: Column) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     size = F.octet_length(text).cast("bigint") + 8
     return docs.select(
         "doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"),
         _name_bin(F.col("lang")).alias("bin_lang"), _name_bin(F.col("source")).alias("bin_source"),
         F.least(F.shiftright(size, 4), F.lit(BINS - 1)).cast("int").alias("bin_size"),
-        F.monotonically_increasing_id().alias("row"))
+        row.alias("row"))
 
 
 def _cells(base: DataFrame, total: int) -> DataFrame:
@@ -96,9 +96,9 @@ def _cells(base: DataFrame, total: int) -> DataFrame:
         "dim", "bin", F.floor(F.col("before") * CELLS / F.lit(total)).cast("int").alias("cell"))
 
 
-def shard_table(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
-    """Shard and slot of every row, with the coordinates of its cell."""
-    base = materialize(_base(docs))
+def _sharded(rows: DataFrame, n_shards: int) -> DataFrame:
+    """The table of shards with the row numbers of ``_base``."""
+    base = materialize(rows)
     total = base.count()
     cells = materialize(_cells(base, max(1, total)))
     placed = base
@@ -115,7 +115,7 @@ def shard_table(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
         placed.repartitionByRange(*order).sortWithinPartitions(*order)
         .withColumn("part", F.shiftright(at, 33).cast("int"))
         .withColumn("place", at.bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("row", *[f"bin_{d}" for d in DIMENSIONS]))
+        .drop(*[f"bin_{d}" for d in DIMENSIONS]))
     # one row per partition of the sort: as few as the shuffle has partitions
     parts = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     first = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
@@ -128,19 +128,30 @@ def shard_table(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
         .otherwise(F.expr(f"{more} + (rank - {edge}) div {max(1, small)}"))
     slot = F.when(inside, F.expr(f"rank % {small + 1}")).otherwise(F.expr(f"(rank - {edge}) % {max(1, small)}"))
     return ranked.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.cast("int").alias("shard"),
+        "row", "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.cast("int").alias("shard"),
         slot.cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
         *[f"cell_{d}" for d in DIMENSIONS], "curve")
 
 
-def write_shards(shards: DataFrame, docs: DataFrame, path: str) -> None:
-    """Write documents as one folder per shard, each sorted along the curve.
-
-    Documents meet their place by doc_id, which must be unique here; every
-    file then holds one run of the curve."""
-    place = shards.select("doc_id", "shard", "slot", *[f"cell_{d}" for d in DIMENSIONS])
-    (docs.join(place, "doc_id").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
-     .write.partitionBy("shard").parquet(path))
+def shard_table(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
+    """Shard and slot of every row, with the coordinates of its cell."""
+    return _sharded(_base(docs, F.monotonically_increasing_id()), n_shards).drop("row")
+
+
+def write_shards(docs: DataFrame, path: str, n_shards: int = N_SHARDS) -> None:
+    """Write documents as one folder per shard, each sorted along the curve,
+    with their columns, slot and cell coordinates.
+
+    Documents are written once with a row number and meet their place by it,
+    so NULL and repeated ids are written like all others; every file then
+    holds one run of the curve."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    kept = materialize(docs.select(whole, F.monotonically_increasing_id().alias("row")))
+    named = kept.select("whole.doc_id", "whole.text", "whole.lang", "whole.source", "row")
+    spot = ["shard", "slot", *[f"cell_{d}" for d in DIMENSIONS]]
+    place = _sharded(_base(named, F.col("row")), n_shards).select("row", *spot)
+    (kept.join(place, "row").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+     .select("whole.*", *spot).write.partitionBy("shard").parquet(path))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

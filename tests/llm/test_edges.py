@@ -81,6 +81,16 @@ def test_sharding(edge, empty):
     assert sharding.shard_table(empty).count() == 0
 
 
+def test_written_shards_keep_null_and_repeated_ids(spark, edge, tmp_path):
+    sharding.write_shards(edge, f"{tmp_path}/shards", 4)
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    key = lambda r: str(r)
+    assert sorted(back.select(*edge.columns).collect(), key=key) == sorted(edge.collect(), key=key)
+    place = ["doc_id", "shard", "slot", *[f"cell_{d}" for d in sharding.DIMENSIONS]]
+    table = sharding.shard_table(edge, 4).select(*place)
+    assert sorted(back.select(*place).collect(), key=key) == sorted(table.collect(), key=key)
+
+
 def test_quality(edge, empty, labels):
     rows = quality.quality_table(edge, labels).collect()
     assert len(rows) == N and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
