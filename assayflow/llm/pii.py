@@ -244,9 +244,11 @@ def find(docs: DataFrame) -> DataFrame:
     """doc_id, base (spans) and added (spans the classifier accepts)."""
     spans = materialize(candidates(docs))
     weights = fit(vote_counts(spans))
-    # a looser pattern needs a valid form before the classifier is asked
-    accepted = F.filter("rest", lambda s: (F.get(s["votes"], F.lit(1)) == 1) & (F.get(s["votes"], F.lit(0)) == 0)
-                        & (F.get(s["votes"], F.lit(3)) == 1) & (probability(s, weights) >= ACCEPT))
+    # numbers need a valid form before the classifier is asked (spelled-out
+    # addresses are unambiguous); context is a vote like the others
+    formed = lambda s: (s["kind"] == KINDS.index("email")) | (F.get(s["votes"], F.lit(1)) == 1)
+    accepted = F.filter("rest", lambda s: formed(s) & (F.get(s["votes"], F.lit(0)) == 0)
+                        & (probability(s, weights) >= ACCEPT))
     return spans.select("doc_id", "base", accepted.alias("added"))
 
 

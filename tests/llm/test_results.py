@@ -188,6 +188,14 @@ def test_base_spans_equal_plain_expressions(spark):
         assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
 
 
+def test_classifier_adds_spans_without_a_context_word(spark):
+    texts = [f"x user{i}@example.com y +1 (212) 555-01{i:02d} z" for i in range(40)]
+    texts += ["jane [at] example [dot] com", "(212) 555-0199", "1234 5678 9012 3456 and 300.1.1.1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.span_table(docs).collect()}
+    assert (spans[40], spans[41], spans[42]) == ("email:0:27", "phone:0:14", "")
+
+
 def test_reliable_labelers_outweigh_a_noisy_one():
     patterns = [((1, 1, 1, -1, 1), 500), ((0, 0, 0, -1, 1), 400), ((0, 0, 0, -1, 0), 100), ((1, 1, 1, -1, 0), 90)]
     post = pii.reliabilities(patterns)
