@@ -13,6 +13,7 @@ from assayflow.llm import (
     exact_dedup,
     language,
     licenses,
+    merkle,
     near_dedup,
     pii,
     quality,
@@ -31,12 +32,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_trees": quality.query,
     "op9_weak_pii": pii.query,
     "op10_order_minhash": near_dedup.query,
+    "op11_merkle_manifest": merkle.query,
 }
 
 ORACLE: dict[str, str] = {
     "op1_license_scan": licenses.SQL,
     "op2_exact_dedup": exact_dedup.SQL,
     "op7_hilbert_sharding": sharding.SQL,
+    "op11_merkle_manifest": merkle.SQL,
 }
 
 

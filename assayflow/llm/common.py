@@ -6,7 +6,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayflow.session import table_path
@@ -120,3 +120,41 @@ def joined_components(components: DataFrame, links: DataFrame) -> DataFrame:
     new = merged.select(F.col("component").alias("node"), F.col("into").alias("component")).join(
         components.select("node"), "node", "left_anti")
     return materialize(known.union(new))
+
+
+# ------------------------------------------------------------------ positions
+def positions(rows: DataFrame, group: str, order: Sequence[str], out: str = "pos") -> DataFrame:
+    """Written rows with their gapless place, from 0, in the order (group,
+    ``order``) of their group.
+
+    The sort is dealt by ranges of the whole key, so a hot group spreads over
+    many tasks if ``order`` tells its rows apart; places come from one count
+    per partition and group, a table of partitions plus groups rows.
+    """
+    at = F.monotonically_increasing_id()
+    ordered = materialize(
+        rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+        .withColumn("_part", F.shiftright(at, 33).cast("int"))
+        .withColumn("_place", at.bitwiseAND(F.lit((1 << 33) - 1))))
+    runs = ordered.groupBy("_part", group).agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_part")) - F.col("_n")
+    offsets = materialize(runs.select("_part", group, (before - F.col("_first")).alias("_shift")))
+    return ordered.join(offsets, ["_part", group]).withColumn(out, F.col("_place") + F.col("_shift")).drop(
+        "_part", "_place", "_shift")
+
+
+def crc32_sql(octets: str) -> str:
+    """DuckDB SQL of the unsigned crc32 of a list of byte values; the table
+    ``tab`` of ``CRC_TABLE_SQL`` must be in scope."""
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), "
+            "lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)")
+
+
+def _crc_table_sql() -> str:
+    entry = "SELECT i, i::BIGINT AS v FROM range(256) r(i)"
+    for _ in range(8):
+        entry = f"SELECT i, if((v & 1) = 1, xor(v >> 1, 3988292384), v >> 1) AS v FROM ({entry})"
+    return f"SELECT list(v ORDER BY i) AS tab FROM ({entry})"
+
+
+CRC_TABLE_SQL = _crc_table_sql()
