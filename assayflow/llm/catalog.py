@@ -19,6 +19,7 @@ from assayflow.llm import (
     quality,
     sharding,
     toxicity,
+    whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_weak_pii": pii.query,
     "op10_order_minhash": near_dedup.query,
     "op11_merkle_manifest": merkle.query,
+    "op12_qdwh_whitening": whitening.query,
 }
 
 ORACLE: dict[str, str] = {
