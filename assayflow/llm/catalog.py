@@ -18,6 +18,7 @@ from assayflow.llm import (
     pii,
     quality,
     sharding,
+    token_shards,
     toxicity,
     whitening,
 )
@@ -35,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_order_minhash": near_dedup.query,
     "op11_merkle_manifest": merkle.query,
     "op12_qdwh_whitening": whitening.query,
+    "op13_repair_token_shards": token_shards.query,
 }
 
 ORACLE: dict[str, str] = {
