@@ -2,15 +2,20 @@
 
 The merges of a word are a fold over its array of byte pieces: each step joins
 the leftmost adjacent pair of the lowest rank, found in a rank map that is a
-constant of the plan. Distinct words are folded once: the words of a bounded
-sample of documents, at most ``CACHE_WORDS`` of them, become a second constant
-map word -> ids, which answers for nearly all words of any text. A word outside
-it is folded where it stands, so ids never depend on the sample. Decoding looks
-up the bytes of every id and concatenates the pieces.
-
-Both constants are session variables, set from a one-row query and inlined as
-literals when the plan is built; they are arrays of small maps addressed by
-hash, so a lookup scans one bucket.
+constant of the plan. Texts are taken in runs of about ``RUN_WORDS`` words; only
+the distinct words of a run are folded, and the ids are put in the places of
+the words by index. Words of a bounded sample of documents, at most
+``CACHE_WORDS`` of them, are folded beforehand into a table; a run's word is
+looked up there first, so ids never depend on the sample. Words of more than
+``LONG_BYTES`` bytes are folded over the ranked merges instead of over their
+steps, each merge replaced in the whole word at once, which costs time in
+proportion to their length. Decoding looks up the bytes of every id and
+concatenates the pieces.
+
+A run is worked on inside one task without a shuffle: its distinct words
+travel ahead of its documents. The rank map and the pieces, constants of the
+tokenizer, are literals of the plan; no map of the corpus' words is. The word
+table is broadcast, at most 2^19 words of 32 bytes.
 
 Defined results: NULL text counts as empty (no ids, empty bytes); each input
 row gives one row, repeated rows and NULL ids included; texts and words of
@@ -22,16 +27,25 @@ from __future__ import annotations
 
 import importlib
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from assayflow.llm.common import materialize, table, words_expr
 
-#: Documents whose distinct words are folded once, the most words kept of
-#: them, and the longest word kept (bytes): about 100 MB at most.
-CACHE_DOCS, CACHE_WORDS, CACHE_WORD_BYTES = 16_000, 1 << 20, 64
-WORD_BUCKETS, RANK_BUCKETS = 1 << 18, 1 << 15
+#: Documents whose distinct words are folded beforehand, the most words kept
+#: of them, and the longest word kept (bytes): 100 MB at the very most.
+CACHE_DOCS, CACHE_WORDS, CACHE_WORD_BYTES = 16_000, 1 << 19, 32
+#: Words of the texts that share one fold per distinct word.
+RUN_WORDS = 1 << 20
+#: Words beyond this length are folded over the ranked merges.
+LONG_BYTES = 2048
+RANK_BUCKETS = 1 << 15
 #: Stands for "no merge" in the fold.
 NO_RANK = 1 << 30
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -142,42 +156,170 @@ def fold_word(word: Column, rank_of) -> Column:
         _let(F.octet_length(word), whole)))
 
 
+def _code(rank: Column) -> Column:
+    """An id as one character (UTF-16, below the surrogates)."""
+    return F.decode(F.unhex(F.lpad(F.hex(rank + 1), 4, "0")), "UTF-16BE")
+
+
+def fold_long_word(word: Column, rank_of, pieces: Column) -> Column:
+    """Ids of one long word (binary): the word is a string with a character
+    per piece, and the merges are applied in the order of their ranks, each at
+    all places at once, left to right. Where ranks grow with every merge (see
+    ``ascending``) this is what joining the lowest pair step by step gives. A
+    piece that is not in the word cannot be merged in it."""
+    def merge(acc: Column, rank: Column) -> Column:
+        piece = F.get(pieces, rank)
+        cuts = F.sequence(F.lit(1), F.octet_length(piece) - 1)
+        halves = F.transform(cuts, lambda i: F.concat(
+            _code(rank_of(F.substring(piece, F.lit(1), i))),
+            _code(rank_of(F.substring(piece, i + 1, F.octet_length(piece))))))
+        # two ways to make a piece are tried at each place, so the leftmost goes first
+        quoted = F.transform(F.array_compact(halves), lambda h: F.concat(
+            F.lit("\\x{"), F.hex(F.encode(F.substring(h, 1, 1), "UTF-16BE")), F.lit("}\\x{"),
+            F.hex(F.encode(F.substring(h, 2, 1), "UTF-16BE")), F.lit("}")))
+        return F.when(F.size(quoted) > 0, F.regexp_replace(acc, F.array_join(quoted, "|"), _code(rank))).otherwise(acc)
+
+    n = F.octet_length(word)
+    single = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: _code(rank_of(F.substring(word, i, F.lit(1))))), "")
+    merges = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda r: (
+        F.octet_length(F.get(pieces, r)) > 1) & F.contains(word, F.get(pieces, r)))
+    coded = F.encode(F.aggregate(merges, single, merge), "UTF-16BE")
+    return _let(coded, lambda c: F.transform(F.sequence(F.lit(0), F.shiftright(F.octet_length(c), 1) - 1), lambda i: (
+        F.conv(F.hex(F.substring(c, i * 2 + 1, F.lit(2))), 16, 10).cast("int") - 1)))
+
+
+def ascending(ranks: dict[bytes, int]) -> bool:
+    """Whether merging the pieces of every piece in rank order ends in that
+    piece. Then no merge makes a pair of a lower rank possible, in any word:
+    such a pair would show in the piece that it makes."""
+    for piece, own in ranks.items():
+        n = len(piece)
+        spans = sorted((r, i, j) for i in range(n) for j in range(i + 2, n + 1) if (r := ranks.get(piece[i:j])) is not None)
+        edges = (1 << (n + 1)) - 1
+        for rank, i, j in spans:
+            inner = edges & ((1 << j) - (1 << (i + 1)))
+            if rank <= own and edges >> i & 1 and edges >> j & 1 and inner and not inner & (inner - 1):
+                edges ^= inner
+        if n > 1 and edges != 1 | 1 << n:
+            return False
+    return True
+
+
 def _rank_lookup(constants: Constants, ranks: DataFrame):
     maps = constants.add(_bucketed(ranks, "piece", "rank", RANK_BUCKETS))
     return lambda piece: _lookup(maps, piece, RANK_BUCKETS)
 
 
-def word_ids(texts: DataFrame, text: str, rank_of, cache_docs: int = CACHE_DOCS,
+def word_ids(texts: DataFrame, text: str, of_word, cache_docs: int = CACHE_DOCS,
              cache_words: int = CACHE_WORDS) -> DataFrame:
     """(word, ids) of the distinct words of about ``cache_docs`` texts, taken
-    by their hash. Beyond ``cache_words`` words the most frequent stay: the
-    least count kept is read off a histogram of the counts."""
+    by their hash. Beyond about ``cache_words`` words the most frequent stay:
+    the least count kept is read off a histogram of the counts, and of its
+    words a share by hash."""
     share = min(1.0, cache_docs / max(1, texts.count()))
     sample = texts.filter(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < int(share * (1 << 20)))
     words = sample.select(F.explode(words_expr(F.col(text), split_pattern())).alias("word"))
     counts = materialize(words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
                          .filter(F.octet_length("word") <= CACHE_WORD_BYTES))
     levels = counts.groupBy(F.least("n", F.lit(1000)).alias("level")).agg(F.count(F.lit(1)).alias("words")).collect()
-    least, kept = 1001, 0
+    least, part, kept = 1001, 0.0, 0
     for level, words_at in sorted(levels, reverse=True):
-        if kept + words_at > cache_words:
+        least, part = level, min(1.0, (cache_words - kept) / words_at)
+        kept += words_at
+        if kept >= cache_words:
             break
-        least, kept = level, kept + words_at
-    frequent = counts.filter(F.col("n") >= least).repartition("word")
-    return frequent.select("word", fold_word(F.col("word").cast("binary"), rank_of).alias("ids"))
+    drawn = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(part * (1 << 20))
+    level = F.least("n", F.lit(1000))
+    frequent = counts.filter((level > least) | ((level == least) & drawn)).repartition("word")
+    return frequent.select("word", of_word(F.col("word")).alias("ids"))
+
+
+def _runs(lists: pa.ListArray) -> Iterator[tuple[int, int]]:
+    """Stretches of word lists of ``RUN_WORDS`` words, one list at least."""
+    size = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    at, done = 0, 0
+    while at < len(lists):
+        end = max(at + 1, int(np.searchsorted(size, done + RUN_WORDS, side="right")))
+        yield at, end
+        at, done = end, int(size[end - 1])
+
+
+def _index_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each run first its distinct words, a row each, then its documents
+    with the index of every word."""
+    for batch in batches:
+        for at, end in _runs(batch.column(1)):
+            lists = batch.column(1).slice(at, end - at)
+            coded = lists.flatten().dictionary_encode()
+            n = len(coded.dictionary)
+            if n:
+                yield pa.RecordBatch.from_arrays(
+                    [coded.dictionary, pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, batch.column(0).type)], ["word", "at", "whole"])
+            offsets = np.cumsum(np.r_[0, pc.list_value_length(lists).to_numpy(zero_copy_only=False)], dtype=np.int32)
+            places = pa.ListArray.from_arrays(offsets, coded.indices.cast(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.nulls(end - at, pa.string()), places, batch.column(0).slice(at, end - at)],
+                                             ["word", "at", "whole"])
+
+
+def _place_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with the ids of their words, from the rows of
+    ``_index_words`` once these have the ids of the words."""
+    held: list[pa.Array] = []
+    known: pa.Array | None = None
+    for batch in batches:
+        is_word = pc.is_null(batch.column(1)).to_numpy(zero_copy_only=False)
+        edges = np.r_[0, np.flatnonzero(is_word[1:] != is_word[:-1]) + 1, len(is_word)]
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if is_word[i]:
+                if known is not None:
+                    held, known = [], None
+                held.append(batch.column(0).slice(i, j - i))
+                continue
+            if known is None:
+                known = pa.concat_arrays(held) if held else pa.array([], pa.list_(pa.int32()))
+            places = batch.column(1).slice(i, j - i)
+            found = known.take(places.flatten())
+            size = np.r_[0, np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False))]
+            ends = np.cumsum(np.r_[0, pc.list_value_length(places).to_numpy(zero_copy_only=False)])
+            ids = pa.ListArray.from_arrays(size[ends].astype(np.int32), found.flatten())
+            yield pa.RecordBatch.from_arrays([batch.column(2).slice(i, j - i), ids], ["whole", "ids"])
 
 
 def encode(docs: DataFrame, text: str, ids: str, ranks: DataFrame, cache_docs: int = CACHE_DOCS) -> DataFrame:
     """Add the array of token ids of every text."""
-    with Constants(docs.sparkSession) as constants:
+    spark = docs.sparkSession
+    by_piece = {bytes(r["piece"]): r["rank"] for r in ranks.collect()}   # the tokenizer's, a fixed number
+    with Constants(spark) as constants:
         rank_of = _rank_lookup(constants, ranks)
-        cache = materialize(word_ids(docs, text, rank_of, cache_docs))
-        known = constants.add(_bucketed(cache, "word", "ids", WORD_BUCKETS))
+        in_order = constants.add(_by_rank(ranks)) if ascending(by_piece) else None
 
         def of_word(word: Column) -> Column:
-            return F.coalesce(_lookup(known, word, WORD_BUCKETS), fold_word(word.cast("binary"), rank_of))
-
-        return docs.withColumn(ids, F.flatten(F.transform(words_expr(F.col(text), split_pattern()), of_word)))
+            binary = word.cast("binary")
+            steps = fold_word(binary, rank_of)
+            if in_order is None:
+                return steps
+            return F.when(F.octet_length(binary) > LONG_BYTES, fold_long_word(binary, rank_of, in_order)).otherwise(steps)
+
+        cache = materialize(word_ids(docs, text, of_word, cache_docs)).withColumnRenamed("ids", "known")
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+        rows = docs.select(whole, words_expr(F.col(f"`{text}`"), split_pattern()).alias("words"))
+        kind = rows.schema["whole"]
+        ints = ArrayType(IntegerType())
+        indexed = rows.mapInArrow(_index_words, StructType([
+            StructField("word", StringType()), StructField("at", ints), StructField("whole", kind.dataType)]))
+        # rows keep their order: a broadcast join streams this side
+        met = indexed.join(F.broadcast(cache), "word", "left").select(
+            F.when(F.col("word").isNotNull(), F.coalesce("known", of_word(F.col("word")))).alias("ids"), "at", "whole")
+        placed = met.mapInArrow(_place_ids, StructType([StructField("whole", kind.dataType), StructField("ids", ints)]))
+        return placed.select("whole.*", F.col("ids").alias(ids))
+
+
+def _by_rank(ranks: DataFrame) -> DataFrame:
+    """One row: the pieces by rank, empty where a rank has none."""
+    top = ranks.agg(F.max("rank")).first()[0]
+    every = ranks.sparkSession.range(top + 1).select(F.col("id").cast("int").alias("rank"))
+    listed = F.array_sort(F.collect_list(F.struct("rank", F.coalesce("piece", F.lit(b"")).alias("piece"))))
+    return every.join(ranks, "rank", "left").agg(F.transform(listed, lambda s: s["piece"]).alias("pieces"))
 
 
 def decode(rows: DataFrame, ids: str, out: str, ranks: DataFrame) -> DataFrame:

@@ -26,7 +26,10 @@ from __future__ import annotations
 
 import importlib
 import itertools
+import json
 import os
+import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -48,14 +51,15 @@ END_ID = 2
 SHARD_IDS, LEAST_USES = 1 << 17, 16
 #: Multiplier and bits of the hash that counts pairs roughly.
 HASH, HASH_BITS = -7046029254386353131, 17
-#: Characters of text that are split at a time, words a task remembers, and
-#: the longest word remembered.
-STEP_CHARS, KNOWN_WORDS, KNOWN_LENGTH = 1 << 21, 1 << 20, 64
-#: Words of letters that are handed to the tokenizer as one text.
-TOGETHER = 64
-# White space and, after a letter, marks at which the
-# tokenizer's words end whatever surrounds them.
-WHITE, MARKS = "\t\n\r", ".,;:!?"
+#: Bytes of text whose distinct words are encoded together, and the words of
+#: letters that are handed to the tokenizer as one text.
+STEP_BYTES, TOGETHER = 1 << 23, 64
+# White space and, after one of these letters, marks at which the
+# tokenizer's words end whatever surrounds them (Latin and Cyrillic letters that
+# stay letters in lower case and normal form).
+WHITE, MARKS = "\t\n\r", ".,;:!?#$%&*)"
+LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0148\u014A-\u017F\u0400-\u045F"
+SIMPLE = re.compile(f"[{LETTERS}]+")
 MAGIC = 0x52505231
 
 
@@ -76,7 +80,7 @@ def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.nd
         near = np.bincount(bucket, minlength=1 << HASH_BITS)[bucket]
         least = max(LEAST_USES, int(near.max()) // reach)
         at = np.flatnonzero(near >= least)
-        order = np.argsort(codes[at], kind="stable")
+        order = np.argsort(codes[at])
         ordered = codes[at][order]
         new = np.r_[True, ordered[1:] != ordered[:-1]] if len(at) else np.empty(0, dtype=bool)
         starts = np.flatnonzero(new)
@@ -163,47 +167,47 @@ class Shard:
 
 # ------------------------------------------------------------------- encoding
 class Encoder:
-    """A tokenizer with the ids of the words seen."""
+    """A tokenizer, and one without the steps that leave lower-case words in
+    normal form as they are."""
 
     def __init__(self, config: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = importlib.import_module("tokenizers").Tokenizer.from_str(config)
-        self.known: dict[str, list[int]] = {}
-
-    def plain(self, words: list[str]) -> list[list[int]]:
-        """Ids of words of letters, several to a text: a word is then one word
-        of the tokenizer, unless lower case takes letters apart."""
-        out: list[list[int]] = []
-        groups = [words[i:i + TOGETHER] for i in range(0, len(words), TOGETHER)]
-        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False),
-                            strict=True):
-            ids, of = e.ids, np.array(e.word_ids)
-            ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)).tolist()
-            if len(ends) == len(group):
-                out += [ids[i:j] for i, j in zip([0, *ends], ends, strict=False)]
-            else:
-                out += [x.ids for x in self.tokenizer.encode_batch(group, add_special_tokens=False)]
-        return out
+        load = importlib.import_module("tokenizers").Tokenizer.from_str
+        self.tokenizer = load(config)
+        plain = json.loads(config)
+        steps = plain["pre_tokenizer"]["pretokenizers"]
+        if [n["type"] for n in plain["normalizer"]["normalizers"]] != ["NFC", "Replace", "Lowercase"] or \
+                [t["type"] for t in steps] != ["Split", "ByteLevel"]:
+            raise ValueError("not the tokenizer that the split into words is made for")
+        plain["normalizer"] = None
+        plain["pre_tokenizer"]["pretokenizers"] = [{"type": "WhitespaceSplit"}, steps[1]]
+        self.plain = load(json.dumps(plain))
 
     def words(self, words: list[str]) -> list[list[int]]:
-        """Ids of distinct words."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known.clear()
-            new = words
-        letters = [w for w in new if w.isalpha()]
-        others = [w for w in new if not w.isalpha()]
-        found = dict(zip(letters, self.plain(letters), strict=True))
-        found |= zip(others, (e.ids for e in self.tokenizer.encode_batch(others, add_special_tokens=False)), strict=True)
-        out = [found[w] if w in found else self.known[w] for w in words]
-        self.known.update((w, ids) for w, ids in found.items() if len(w) <= KNOWN_LENGTH)
-        return out
+        """Ids of distinct words. A word of simple letters in normal form is
+        one word of the tokenizer, so many make one text; all others are texts
+        of their own."""
+        simple = np.array([SIMPLE.fullmatch(w) is not None and (w.isascii() or unicodedata.is_normalized("NFC", w))
+                           for w in words], dtype=bool)
+        out = np.empty(len(words), dtype=object)
+        rest = np.flatnonzero(~simple)
+        for at, e in zip(rest, self.tokenizer.encode_batch([words[i] for i in rest], add_special_tokens=False), strict=True):
+            out[at] = e.ids
+        places = np.flatnonzero(simple)
+        groups = [places[i:i + TOGETHER] for i in range(0, len(places), TOGETHER)]
+        joined = [" ".join([words[i] for i in g]).lower() for g in groups]
+        for group, e in zip(groups, self.plain.encode_batch(joined, add_special_tokens=False), strict=True):
+            ids, of = e.ids, np.array(e.word_ids)
+            ends = (np.flatnonzero(of[1:] != of[:-1]) + 1).tolist()
+            for at, i, j in zip(group, [0, *ends], [*ends, len(ids)], strict=True):
+                out[at] = ids[i:j]
+        return out.tolist()
 
     def texts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts, end ids included, and the end of each text."""
         for white in WHITE:
             texts = pc.replace_substring(texts, white, " ")
-        parts = pc.split_pattern(pc.replace_substring_regex(texts, rf"(\pL)([{MARKS}])", r"\1 \2"), " ")
+        parts = pc.split_pattern(pc.replace_substring_regex(texts, f"([{LETTERS}])([{MARKS}])", r"\1 \2"), " ")
         coded = parts.flatten().dictionary_encode()
         ids = self.words(coded.dictionary.to_pylist())
         sizes = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
@@ -217,11 +221,11 @@ class Encoder:
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``STEP_CHARS`` characters, one at least."""
+    """Runs of texts of about ``STEP_BYTES`` bytes, one at least."""
     size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     at, done = 0, 0
     while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(size, done + STEP_CHARS, side="right")))
+        end = max(at + 1, int(np.searchsorted(size, done + STEP_BYTES, side="right")))
         yield at, end
         at, done = end, int(size[end - 1])
 
