@@ -12,6 +12,9 @@ steps, each merge replaced in the whole word at once, which costs time in
 proportion to their length. Decoding looks up the bytes of every id and
 concatenates the pieces.
 
+Of a short word all substrings that are pieces are looked up; the fold takes
+them in the order of their ranks and merges where the boundaries allow it.
+
 A run is worked on inside one task without a shuffle: its distinct words
 travel ahead of its documents. The rank map and the pieces, constants of the
 tokenizer, are literals of the plan; no map of the corpus' words is. The word
@@ -34,17 +37,21 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
-from assayflow.llm.common import materialize, table, words_expr
+from assayflow.llm.common import long_array, materialize, table, words_expr
 
 #: Documents whose distinct words are folded beforehand, the most words kept
 #: of them, and the longest word kept (bytes): 100 MB at the very most.
 CACHE_DOCS, CACHE_WORDS, CACHE_WORD_BYTES = 16_000, 1 << 19, 32
 #: Words of the texts that share one fold per distinct word.
 RUN_WORDS = 1 << 20
-#: Words beyond this length are folded over the ranked merges.
-LONG_BYTES = 2048
+#: Words up to the first length are folded over their ranked merges, with the
+#: piece boundaries as bits of a number; words beyond the second are folded
+#: over the merges as strings.
+SHORT_BYTES, LONG_BYTES = 22, 2048
+#: Between the words of a text on the way to Python.
+BREAK = "\x1e"
 RANK_BUCKETS = 1 << 15
 #: Stands for "no merge" in the fold.
 NO_RANK = 1 << 30
@@ -156,6 +163,40 @@ def fold_word(word: Column, rank_of) -> Column:
         _let(F.octet_length(word), whole)))
 
 
+def _spans() -> list[int]:
+    """Start, length, the bits of both ends and the bits between of every
+    substring of two bytes or more, by its end: 5, 5, 23 and 23 bits."""
+    return [i << 51 | (j - i) << 46 | (1 << i | 1 << j) << 23 | (1 << j) - (2 << i)
+            for j in range(2, SHORT_BYTES + 1) for i in range(j - 1)]
+
+
+def fold_short_word(word: Column, rank_of) -> Column:
+    """Ids of a word of at most ``SHORT_BYTES`` bytes (binary) where ranks grow
+    with every merge: a fold over the word's ranked merges, lowest rank first,
+    then leftmost. A merge happens if its ends are boundaries and exactly one
+    boundary lies between; that one goes."""
+    n = F.octet_length(word)
+    spans = F.slice(long_array(_spans()), F.lit(1), F.shiftright(n * (n - 1), 1))
+
+    def ranked(p: Column) -> Column:
+        rank = rank_of(F.substring(word, F.shiftright(p, 51).cast("int") + 1, F.shiftright(p, 46).bitwiseAND(31).cast("int")))
+        return F.coalesce(F.shiftleft(rank.cast("bigint"), 46) + p.bitwiseAND((1 << 46) - 1), F.lit(-1).cast("bigint"))
+
+    def merge(edges: Column, m: Column) -> Column:
+        ends = F.shiftright(m, 23)
+        fits = (F.bit_count(edges.bitwiseAND(m)) == 1) & (edges.bitwiseAND(ends) == ends.bitwiseAND((1 << 23) - 1))
+        return F.when(fits, edges - edges.bitwiseAND(m)).otherwise(edges)
+
+    def pieces(edges: Column) -> Column:
+        return _let(F.filter(F.sequence(F.lit(0), n), lambda i: F.getbit(edges, i) == 1), lambda at: F.transform(
+            F.sequence(F.lit(1), F.size(at) - 1), lambda k: rank_of(F.substring(
+                word, F.get(at, k - 1) + 1, F.get(at, k) - F.get(at, k - 1)))))
+
+    merges = F.sort_array(F.array_remove(F.transform(spans, ranked), F.lit(-1).cast("bigint")))
+    all_edges = F.call_function("shiftleft", F.lit(1).cast("bigint"), n + 1) - 1
+    return _let(F.aggregate(merges, all_edges, merge), pieces)
+
+
 def _code(rank: Column) -> Column:
     """An id as one character (UTF-16, below the surrogates)."""
     return F.decode(F.unhex(F.lpad(F.hex(rank + 1), 4, "0")), "UTF-16BE")
@@ -234,6 +275,16 @@ def word_ids(texts: DataFrame, text: str, of_word, cache_docs: int = CACHE_DOCS,
     return frequent.select("word", of_word(F.col("word")).alias("ids"))
 
 
+def _words(joined: pa.Array, apart: pa.Array) -> pa.ListArray:
+    """The words of each text, from one string or, where that has the break
+    in a word, from a list."""
+    lists = pc.split_pattern(pc.fill_null(joined, ""), BREAK)
+    if apart.null_count < len(apart):
+        lists = pa.array([own if own is not None else whole for own, whole in
+                          zip(apart.to_pylist(), lists.to_pylist(), strict=True)], lists.type)
+    return lists
+
+
 def _runs(lists: pa.ListArray) -> Iterator[tuple[int, int]]:
     """Stretches of word lists of ``RUN_WORDS`` words, one list at least."""
     size = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
@@ -246,19 +297,31 @@ def _runs(lists: pa.ListArray) -> Iterator[tuple[int, int]]:
 
 def _index_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each run first its distinct words, a row each, then its documents
-    with the index of every word."""
+    with the index of every word (32-bit numbers)."""
+    names = ["word", "at", "whole"]
     for batch in batches:
-        for at, end in _runs(batch.column(1)):
-            lists = batch.column(1).slice(at, end - at)
+        words = _words(batch.column(1), batch.column(2))
+        for at, end in _runs(words):
+            lists = words.slice(at, end - at)
             coded = lists.flatten().dictionary_encode()
             n = len(coded.dictionary)
-            if n:
-                yield pa.RecordBatch.from_arrays(
-                    [coded.dictionary, pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, batch.column(0).type)], ["word", "at", "whole"])
-            offsets = np.cumsum(np.r_[0, pc.list_value_length(lists).to_numpy(zero_copy_only=False)], dtype=np.int32)
-            places = pa.ListArray.from_arrays(offsets, coded.indices.cast(pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [coded.dictionary, pa.nulls(n, pa.binary()), pa.nulls(n, batch.column(0).type)], names)
+            offsets = 4 * np.cumsum(np.r_[0, pc.list_value_length(lists).to_numpy(zero_copy_only=False)])
+            places = pa.Array.from_buffers(pa.binary(), end - at, [
+                None, pa.py_buffer(offsets.astype("<i4").tobytes()),
+                pa.py_buffer(coded.indices.to_numpy().astype("<i4").tobytes())])
             yield pa.RecordBatch.from_arrays([pa.nulls(end - at, pa.string()), places, batch.column(0).slice(at, end - at)],
-                                             ["word", "at", "whole"])
+                                             names)
+
+
+def _numbers(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All 32-bit numbers of some binary cells, and the end of each cell."""
+    _, ends, data = cells.buffers()
+    at = np.frombuffer(ends, "<i4", len(cells) + 1, 4 * cells.offset)
+    if at[0] == at[-1]:
+        return np.empty(0, "<i4"), np.zeros(len(cells), np.int64)
+    return np.frombuffer(data, "<i4", (at[-1] - at[0]) // 4, at[0]), (at[1:].astype(np.int64) - at[0]) // 4
 
 
 def _place_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,12 +339,11 @@ def _place_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held.append(batch.column(0).slice(i, j - i))
                 continue
             if known is None:
-                known = pa.concat_arrays(held) if held else pa.array([], pa.list_(pa.int32()))
-            places = batch.column(1).slice(i, j - i)
-            found = known.take(places.flatten())
+                known = pa.concat_arrays(held)
+            places, ends = _numbers(batch.column(1).slice(i, j - i))
+            found = known.take(pa.array(places))
             size = np.r_[0, np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False))]
-            ends = np.cumsum(np.r_[0, pc.list_value_length(places).to_numpy(zero_copy_only=False)])
-            ids = pa.ListArray.from_arrays(size[ends].astype(np.int32), found.flatten())
+            ids = pa.ListArray.from_arrays(size[np.r_[0, ends]].astype(np.int32), found.flatten())
             yield pa.RecordBatch.from_arrays([batch.column(2).slice(i, j - i), ids], ["whole", "ids"])
 
 
@@ -295,18 +357,23 @@ def encode(docs: DataFrame, text: str, ids: str, ranks: DataFrame, cache_docs: i
 
         def of_word(word: Column) -> Column:
             binary = word.cast("binary")
-            steps = fold_word(binary, rank_of)
-            if in_order is None:
-                return steps
-            return F.when(F.octet_length(binary) > LONG_BYTES, fold_long_word(binary, rank_of, in_order)).otherwise(steps)
+            size = F.octet_length(binary)
+            ids = F.when(size == 0, F.array().cast("array<int>"))   # the one word of an empty text
+            if in_order is not None:
+                ids = ids.when(size <= SHORT_BYTES, fold_short_word(binary, rank_of)) \
+                    .when(size > LONG_BYTES, fold_long_word(binary, rank_of, in_order))
+            return ids.otherwise(fold_word(binary, rank_of))
 
         cache = materialize(word_ids(docs, text, of_word, cache_docs)).withColumnRenamed("ids", "known")
         whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
-        rows = docs.select(whole, words_expr(F.col(f"`{text}`"), split_pattern()).alias("words"))
+        words = words_expr(F.col(f"`{text}`"), split_pattern())
+        clean = ~F.coalesce(F.contains(F.col(f"`{text}`"), F.lit(BREAK)), F.lit(False))
+        rows = docs.select(whole, F.when(clean, F.array_join(words, BREAK)).alias("joined"),
+                           F.when(~clean, words).alias("apart"))
         kind = rows.schema["whole"]
         ints = ArrayType(IntegerType())
         indexed = rows.mapInArrow(_index_words, StructType([
-            StructField("word", StringType()), StructField("at", ints), StructField("whole", kind.dataType)]))
+            StructField("word", StringType()), StructField("at", BinaryType()), StructField("whole", kind.dataType)]))
         # rows keep their order: a broadcast join streams this side
         met = indexed.join(F.broadcast(cache), "word", "left").select(
             F.when(F.col("word").isNotNull(), F.coalesce("known", of_word(F.col("word")))).alias("ids"), "at", "whole")
