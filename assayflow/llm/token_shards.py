@@ -28,8 +28,6 @@ import importlib
 import itertools
 import json
 import os
-import re
-import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -59,7 +57,6 @@ STEP_BYTES, TOGETHER = 1 << 23, 64
 # stay letters in lower case and normal form).
 WHITE, MARKS = "\t\n\r", ".,;:!?#$%&*)"
 LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0148\u014A-\u017F\u0400-\u045F"
-SIMPLE = re.compile(f"[{LETTERS}]+")
 MAGIC = 0x52505231
 
 
@@ -183,25 +180,25 @@ class Encoder:
         plain["pre_tokenizer"]["pretokenizers"] = [{"type": "WhitespaceSplit"}, steps[1]]
         self.plain = load(json.dumps(plain))
 
-    def words(self, words: list[str]) -> list[list[int]]:
-        """Ids of distinct words. A word of simple letters in normal form is
-        one word of the tokenizer, so many make one text; all others are texts
-        of their own."""
-        simple = np.array([SIMPLE.fullmatch(w) is not None and (w.isascii() or unicodedata.is_normalized("NFC", w))
-                           for w in words], dtype=bool)
-        out = np.empty(len(words), dtype=object)
-        rest = np.flatnonzero(~simple)
-        for at, e in zip(rest, self.tokenizer.encode_batch([words[i] for i in rest], add_special_tokens=False), strict=True):
-            out[at] = e.ids
-        places = np.flatnonzero(simple)
-        groups = [places[i:i + TOGETHER] for i in range(0, len(places), TOGETHER)]
-        joined = [" ".join([words[i] for i in g]).lower() for g in groups]
-        for group, e in zip(groups, self.plain.encode_batch(joined, add_special_tokens=False), strict=True):
-            ids, of = e.ids, np.array(e.word_ids)
-            ends = (np.flatnonzero(of[1:] != of[:-1]) + 1).tolist()
-            for at, i, j in zip(group, [0, *ends], [*ends, len(ids)], strict=True):
-                out[at] = ids[i:j]
-        return out.tolist()
+    def words(self, words: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+        """Ids of distinct words, and the place of each word among them. A
+        word of simple letters in lower case is one word of the tokenizer, so
+        many make one text; all others are texts of their own."""
+        simple = pc.match_substring_regex(words, f"^[{LETTERS}]+$").to_numpy(zero_copy_only=False)
+        letters = pc.utf8_lower(words.filter(pa.array(simple))).to_pylist()
+        joined = [" ".join(letters[i:i + TOGETHER]) for i in range(0, len(letters), TOGETHER)]
+        sizes, flat = [], []
+        for e in self.plain.encode_batch(joined, add_special_tokens=False):
+            sizes.append(np.bincount(e.word_ids))
+            flat.append(np.array(e.ids, dtype=np.uint32))
+        others = words.filter(pa.array(~simple)).to_pylist()
+        own = [e.ids for e in self.tokenizer.encode_batch(others, add_special_tokens=False)]
+        sizes.append(np.fromiter(map(len, own), dtype=np.int64, count=len(own)))
+        flat.append(np.fromiter(itertools.chain.from_iterable(own), dtype=np.uint32))
+        place = np.empty(len(words), dtype=np.int64)
+        place[np.r_[np.flatnonzero(simple), np.flatnonzero(~simple)]] = np.arange(len(words))
+        ends = np.cumsum(np.concatenate([np.zeros(1, dtype=np.int64), *sizes]), dtype=np.int32)
+        return pa.ListArray.from_arrays(ends, np.concatenate(flat)), place
 
     def texts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts, end ids included, and the end of each text."""
@@ -209,15 +206,14 @@ class Encoder:
             texts = pc.replace_substring(texts, white, " ")
         parts = pc.split_pattern(pc.replace_substring_regex(texts, f"([{LETTERS}])([{MARKS}])", r"\1 \2"), " ")
         coded = parts.flatten().dictionary_encode()
-        ids = self.words(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum()))
+        lists, place = self.words(coded.dictionary)
         # the end id is one more word, put after the last word of each text
-        lists = pa.ListArray.from_arrays(np.cumsum(np.r_[0, sizes, 1], dtype=np.int32), np.append(flat, np.uint32(end_id)))
+        lists = pa.concat_arrays([lists, pa.array([[end_id]], lists.type)])
         last = np.cumsum(pc.list_value_length(parts).to_numpy())
-        index = np.insert(coded.indices.to_numpy(), last, len(ids))
-        ends = np.cumsum(np.append(sizes, 1)[index], dtype=np.int64)[last + np.arange(len(last))]
-        return lists.take(pa.array(index)).flatten().to_numpy(), ends
+        index = np.insert(place[coded.indices.to_numpy()], last, len(place))
+        found = lists.take(pa.array(index))
+        ends = np.cumsum(pc.list_value_length(found).to_numpy(), dtype=np.int64)[last + np.arange(len(last))]
+        return found.flatten().to_numpy(), ends
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -236,27 +232,6 @@ def read_tokenizer(path: str | None = None) -> str:
         return f.read()
 
 
-def encoded(docs: DataFrame, config: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, tie, row and the ids (little-endian 32-bit) of every text."""
-    shared = docs.sparkSession.sparkContext.broadcast(config)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
-        for batch in batches:
-            texts = batch.column(3)
-            for at, end in _slices(texts):
-                ids, ends = encoder.texts(texts.slice(at, end - at), end_id)
-                offsets = pa.py_buffer(np.r_[0, 4 * ends].astype(np.int32).tobytes())
-                cells = pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets, pa.py_buffer(ids.astype("<u4").tobytes())])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(k).slice(at, end - at) for k in range(3)] + [cells], ["doc_id", "tie", "row", "ids"])
-
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("tie"),
-                       F.monotonically_increasing_id().alias("row"), text.alias("text")).mapInArrow(
-        encode, "doc_id long, tie long, row long, ids binary")
-
-
 # ------------------------------------------------------------------ the files
 DOCS = pa.list_(pa.struct([("doc_id", pa.int64()), ("at", pa.int64()), ("n", pa.int64())]))
 SHARDS = ("part int, shard int, at long, n long, blob binary, "
@@ -273,12 +248,14 @@ def write_shards(docs: DataFrame, path: str, config: str, end_id: int = END_ID,
     from the shard before, else NULL."""
     first = _vocabulary(config)
 
+    shared = docs.sparkSession.sparkContext.broadcast(config)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part, shard, begin, place = TaskContext.get().partitionId(), 0, 0, 0
         held: list[np.ndarray] = []
         started: list[dict] = []
-        open_at = None
+        open_at, encoder = None, Encoder(shared.value)
 
         def full() -> pa.RecordBatch:
             ids = np.concatenate(held)
@@ -289,24 +266,28 @@ def write_shards(docs: DataFrame, path: str, config: str, end_id: int = END_ID,
                 ["part", "shard", "at", "n", "blob", "docs", "open_at"])
 
         for batch in batches:
-            for doc_id, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(cell.as_buffer(), dtype="<u4")
-                start = place
-                started.append({"doc_id": doc_id, "at": start, "n": len(ids)})
-                while len(ids):
-                    piece, ids = ids[:shard_ids - (place - begin)], ids[shard_ids - (place - begin):]
-                    held.append(piece)
-                    place += len(piece)
-                    if place - begin == shard_ids:
-                        yield full()
-                        shard, begin, held, started = shard + 1, place, [], []
-                        open_at = start if len(ids) else None
+            for low, high in _slices(batch.column(1)):
+                flat, ends = encoder.texts(batch.column(1).slice(low, high - low), end_id)
+                names = batch.column(0).slice(low, high - low).to_pylist()
+                for doc_id, i, j in zip(names, np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+                    start = place
+                    started.append({"doc_id": doc_id, "at": start, "n": j - i})
+                    while i < j:
+                        k = min(j, i + shard_ids - (place - begin))
+                        held.append(flat[i:k])
+                        place, i = place + k - i, k
+                        if place - begin == shard_ids:
+                            yield full()
+                            shard, begin, held, started = shard + 1, place, [], []
+                            open_at = start if i < j else None
         if held:
             yield full()
 
-    rows = materialize(encoded(docs, config, end_id))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("tie"),
+                       F.monotonically_increasing_id().alias("row"))
     order = ["doc_id", "tie", "row"]
-    (rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
+    (rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
      .mapInArrow(cut, SHARDS).write.parquet(path))
 
 
