@@ -2,7 +2,7 @@
 
 The merges of a word are a fold over its array of byte pieces: each step joins
 the leftmost adjacent pair of the lowest rank, found in a rank map that is a
-constant of the plan. Texts are taken in runs of about ``RUN_WORDS`` words; only
+constant of the plan. Texts are taken in runs of about ``RUN_BYTES`` bytes; only
 the distinct words of a run are folded, and the ids are put in the places of
 the words by index. Words of a bounded sample of documents, at most
 ``CACHE_WORDS`` of them, are folded beforehand into a table; a run's word is
@@ -44,13 +44,13 @@ from assayflow.llm.common import long_array, materialize, table, words_expr
 #: Documents whose distinct words are folded beforehand, the most words kept
 #: of them, and the longest word kept (bytes): 100 MB at the very most.
 CACHE_DOCS, CACHE_WORDS, CACHE_WORD_BYTES = 16_000, 1 << 19, 32
-#: Words of the texts that share one fold per distinct word.
-RUN_WORDS = 1 << 20
+#: Bytes of the texts that share one fold per distinct word.
+RUN_BYTES = 1 << 23
 #: Words up to the first length are folded over their ranked merges, with the
 #: piece boundaries as bits of a number; words beyond the second are folded
 #: over the merges as strings.
 SHORT_BYTES, LONG_BYTES = 22, 2048
-#: Between the words of a text on the way to Python.
+#: Follows every word of a text on the way to Python.
 BREAK = "\x1e"
 RANK_BUCKETS = 1 << 15
 #: Stands for "no merge" in the fold.
@@ -277,7 +277,7 @@ def word_ids(texts: DataFrame, text: str, of_word, cache_docs: int = CACHE_DOCS,
 
 def _words(joined: pa.Array, apart: pa.Array) -> pa.ListArray:
     """The words of each text, from one string or, where that has the break
-    in a word, from a list."""
+    in a word, from a list. What follows the last break is an empty word."""
     lists = pc.split_pattern(pc.fill_null(joined, ""), BREAK)
     if apart.null_count < len(apart):
         lists = pa.array([own if own is not None else whole for own, whole in
@@ -285,12 +285,12 @@ def _words(joined: pa.Array, apart: pa.Array) -> pa.ListArray:
     return lists
 
 
-def _runs(lists: pa.ListArray) -> Iterator[tuple[int, int]]:
-    """Stretches of word lists of ``RUN_WORDS`` words, one list at least."""
-    size = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+def _runs(joined: pa.Array) -> Iterator[tuple[int, int]]:
+    """Stretches of texts of ``RUN_BYTES`` bytes, one text at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(joined), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at, done = 0, 0
-    while at < len(lists):
-        end = max(at + 1, int(np.searchsorted(size, done + RUN_WORDS, side="right")))
+    while at < len(joined):
+        end = max(at + 1, int(np.searchsorted(size, done + RUN_BYTES, side="right")))
         yield at, end
         at, done = end, int(size[end - 1])
 
@@ -300,19 +300,17 @@ def _index_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with the index of every word (32-bit numbers)."""
     names = ["word", "at", "whole"]
     for batch in batches:
-        words = _words(batch.column(1), batch.column(2))
-        for at, end in _runs(words):
-            lists = words.slice(at, end - at)
+        whole, joined, apart = batch.columns
+        for at, end in _runs(joined):
+            lists = _words(joined.slice(at, end - at), apart.slice(at, end - at))
             coded = lists.flatten().dictionary_encode()
             n = len(coded.dictionary)
-            yield pa.RecordBatch.from_arrays(
-                [coded.dictionary, pa.nulls(n, pa.binary()), pa.nulls(n, batch.column(0).type)], names)
+            yield pa.RecordBatch.from_arrays([coded.dictionary, pa.nulls(n, pa.binary()), pa.nulls(n, whole.type)], names)
             offsets = 4 * np.cumsum(np.r_[0, pc.list_value_length(lists).to_numpy(zero_copy_only=False)])
             places = pa.Array.from_buffers(pa.binary(), end - at, [
                 None, pa.py_buffer(offsets.astype("<i4").tobytes()),
                 pa.py_buffer(coded.indices.to_numpy().astype("<i4").tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.nulls(end - at, pa.string()), places, batch.column(0).slice(at, end - at)],
-                                             names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(end - at, pa.string()), places, whole.slice(at, end - at)], names)
 
 
 def _numbers(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -366,10 +364,11 @@ def encode(docs: DataFrame, text: str, ids: str, ranks: DataFrame, cache_docs: i
 
         cache = materialize(word_ids(docs, text, of_word, cache_docs)).withColumnRenamed("ids", "known")
         whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
-        words = words_expr(F.col(f"`{text}`"), split_pattern())
-        clean = ~F.coalesce(F.contains(F.col(f"`{text}`"), F.lit(BREAK)), F.lit(False))
-        rows = docs.select(whole, F.when(clean, F.array_join(words, BREAK)).alias("joined"),
-                           F.when(~clean, words).alias("apart"))
+        string = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+        clean = ~F.contains(string, F.lit(BREAK))
+        # every character is in some match, so a break after each match is enough
+        rows = docs.select(whole, F.when(clean, F.regexp_replace(string, split_pattern(), f"$0{BREAK}")).alias("joined"),
+                           F.when(~clean, words_expr(string, split_pattern())).alias("apart"))
         kind = rows.schema["whole"]
         ints = ArrayType(IntegerType())
         indexed = rows.mapInArrow(_index_words, StructType([
