@@ -91,7 +91,9 @@ def regression_job(df: DataFrame, independent_variables: Sequence[str], *, covar
                    time_point: str, out: str | None = None,
                    numeric_covariates: Sequence[str] = ()) -> DataFrame:
     """D7 (P1, F1, M1, M2, S4): all variables in one job; results written
-    partitioned by variable (one folder where the original wrote one CSV)."""
+    partitioned by time point and variable (one folder where the original
+    wrote one CSV); a later time point is written beside earlier ones, the
+    same one again replaces itself."""
     res = ols.regress_features(df, independent_variables, covariate=covariate,
                                numeric_covariates=numeric_covariates, time_point=time_point)
     res = res.withColumn("time_point", F.lit(time_point))

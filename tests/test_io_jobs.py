@@ -201,3 +201,29 @@ def test_study_config_runners(spark):
     assert run_regression(spark, cfg).count() > 0
     assert run_preprocessing(spark, cfg).count() > 0
     spark.sql("DROP TABLE assayflow_test_db.cfg_tbl")
+
+
+def test_time_points_are_written_side_by_side(spark, tmp_path):
+    rows = [(f"m{i % 3}", str(1995 + i % 2), "a" if i % 5 else "b", float(i % 11 + 1), float(i * i % 17)) for i in range(120)]
+    df = spark.createDataFrame(rows, "feature_label string, time_point string, site string, x double, level double")
+    out = f"{tmp_path}/lr"
+    read = lambda: spark.read.option("header", "true").csv(out)
+    for year in ("1995", "1996"):
+        jobs.regression_job(df, ["x"], covariate="site", time_point=year, out=out)
+    both = sorted(map(tuple, read().collect()))
+    assert {r.time_point for r in read().select("time_point").distinct().collect()} == {1995, 1996} or \
+        {str(r.time_point) for r in read().select("time_point").distinct().collect()} == {"1995", "1996"}
+    doubled = df.withColumn("level", F.col("level") * 2)
+    jobs.regression_job(doubled, ["x"], covariate="site", time_point="1996", out=out)
+    again = sorted(map(tuple, read().collect()))
+    of = lambda rows, year: [r for r in rows if year in map(str, r)]
+    assert of(again, "1995") == of(both, "1995") and of(again, "1996") != of(both, "1996") and len(again) == len(both)
+
+
+def test_small_probabilities_are_reported(spark):
+    from assayflow.operators.report import round_doubles, sql_reported
+    row = round_doubles(spark.createDataFrame([(1.23456789e-9, 8.0891875, 0.0)], "p_value double, estimate double, p_bh double")).first()
+    assert (row.p_value, row.estimate, row.p_bh) == (1.234568e-09, 8.089188, 0.0)
+    import duckdb
+    sql = sql_reported("SELECT round(1.23456789e-9, 6) AS p_value, round((8.0 + 0.0891875), 6) AS estimate, round(1, 2) AS x")
+    assert duckdb.connect().execute(sql).fetchall() == [(1.234568e-09, 8.089188, 1)]

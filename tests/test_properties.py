@@ -89,3 +89,16 @@ def test_median_brackets_narrow_to_the_exact_value(spark, bracket):
     df = spark.createDataFrame(rows, "k string, v double").repartition(4)
     got = {r.k: r.median for r in group_median(df, ["k"], "v", accuracy=20, largest_bracket=bracket).collect()}
     assert got == {k: float(np.median(v)) for k, v in values.items()}
+
+
+@pytest.mark.parametrize("bracket", [2, 20])
+def test_median_of_ties_infinities_and_constants_ends(spark, bracket):
+    inf = float("inf")
+    values = {"two": [1.0, 2.0] * 700, "ends": [1.0, 2.0, 3.0, inf] * 30, "inf": [-inf] * 50 + [inf] * 50,
+              "same": [4.0] * 900, "counts": [0.0] * 400 + [1.0] * 401 + [2.0] * 99,
+              "spread": [10.0 ** i for i in range(-150, 150)] * 3}
+    rows = [(k, x) for k, v in values.items() for x in v]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    got = {r.k: r.median for r in group_median(df, ["k"], "v", accuracy=20, largest_bracket=bracket).collect()}
+    want = {k: float(np.median(v)) for k, v in values.items() if k != "inf"}
+    assert {k: got[k] for k in want} == want and np.isnan(got["inf"])
