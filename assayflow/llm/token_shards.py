@@ -51,7 +51,7 @@ SHARD_IDS, LEAST_USES = 1 << 17, 16
 HASH, HASH_BITS = -7046029254386353131, 17
 #: Bytes of text whose distinct words are encoded together, and the words of
 #: letters that are handed to the tokenizer as one text.
-STEP_BYTES, TOGETHER = 1 << 23, 64
+STEP_BYTES, TOGETHER = 1 << 24, 64
 # White space and, after one of these letters, marks at which the
 # tokenizer's words end whatever surrounds them (Latin and Cyrillic letters that
 # stay letters in lower case and normal form).
@@ -188,9 +188,10 @@ class Encoder:
         letters = pc.utf8_lower(words.filter(pa.array(simple))).to_pylist()
         joined = [" ".join(letters[i:i + TOGETHER]) for i in range(0, len(letters), TOGETHER)]
         sizes, flat = [], []
-        for e in self.plain.encode_batch(joined, add_special_tokens=False):
-            sizes.append(np.bincount(e.word_ids))
-            flat.append(np.array(e.ids, dtype=np.uint32))
+        for at in range(0, len(joined), TOGETHER):      # few encodings are held at a time
+            for e in self.plain.encode_batch(joined[at:at + TOGETHER], add_special_tokens=False):
+                sizes.append(np.bincount(e.word_ids))
+                flat.append(np.array(e.ids, dtype=np.uint32))
         others = words.filter(pa.array(~simple)).to_pylist()
         own = [e.ids for e in self.tokenizer.encode_batch(others, add_special_tokens=False)]
         sizes.append(np.fromiter(map(len, own), dtype=np.int64, count=len(own)))
