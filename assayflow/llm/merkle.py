@@ -129,9 +129,9 @@ def manifest(rows: DataFrame, group: Column, order: Column, node: Column, **carr
     ``folded(node, path)`` equals ``root`` for untouched rows."""
     leaves = materialize(rows.select(
         F.coalesce(F.concat(F.lit("1"), group), F.lit("0")).alias("grp"),   # NULL first
-        order.alias("key"), node.alias("node"), *[c.alias(k) for k, c in carried.items()],
+        order.alias("key"), node.alias("node"), F.struct(F.lit(0).alias("_"), *[c.alias(k) for k, c in carried.items()]).alias("carried"),
         F.monotonically_increasing_id().alias("row")))
-    blocks = _blocks(positions(leaves, "grp", ["key", "node", "row"]), *carried)
+    blocks = _blocks(positions(leaves, "grp", ["key", "node", "row"]), "carried")
     above = _above(blocks)
     subroots = above.filter("block = 0").select(
         F.lit("").alias("all"), F.col("grp").alias("key"), F.col("root").alias("node"))
@@ -140,8 +140,8 @@ def manifest(rows: DataFrame, group: Column, order: Column, node: Column, **carr
         F.col("key").alias("grp"), F.col("path").alias("over"), F.col("root").alias("whole")))
     joined = above.join(over, "grp").select("grp", "block", F.concat("path", "over").alias("path"),
                                             F.struct(F.col("root").alias("sub"), "whole").alias("root"))
-    return _proved(blocks, materialize(joined), *carried).select(
-        "node", *carried, "path", F.col("root.sub").alias("subroot"), F.col("root.whole").alias("root"))
+    return _proved(blocks, materialize(joined), "carried").select(
+        "node", *[F.col("carried").getField(k).alias(k) for k in carried], "path", F.col("root.sub").alias("subroot"), F.col("root.whole").alias("root"))
 
 
 def manifest_table(docs: DataFrame) -> DataFrame:
