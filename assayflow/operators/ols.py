@@ -14,12 +14,17 @@ centred cross-product sums:
   coding - and then added up over sites (two small aggregations; the first
   one is partial/map-side, so a hot feature or site never lands whole in
   one task);
+* several categorical covariates are reduced to cell sums, one of them is
+  absorbed and the levels of the others are eliminated (``factors``);
 * numeric covariates enter the cross-product matrix.
 
 The normal equations are solved by symmetric elimination, one slope per
-projection, for any number of slopes, JVM side. A design is singular when a
-variable's sum of squares, after the variables before it are eliminated, falls
-to ``SINGULAR_RTOL`` of what it was. Where a fit explains nearly all of the
+projection, for any number of slopes, JVM side. Elimination reveals the rank:
+a covariate whose sum of squares, after the variables before it are
+eliminated, falls to ``SINGULAR_RTOL`` of what it was is a combination of them;
+it takes no part and no degree of freedom. x comes last, so its slope, error
+and degrees of freedom are those of a pseudo-inverse fit, and only an x that is
+such a combination itself has none. Where a fit explains nearly all of the
 variance the residual sum of squares cancels, so for those features alone it
 is summed again from the rows' residuals.
 
@@ -28,7 +33,7 @@ into ``(independent_variable, x)`` rows and become a grouping key.
 
 Semantics kept from the original notebooks: rows with x == 0 are dropped
 before fitting (``exclude_zero``), rows with any missing (NULL or NaN) model variable
-are dropped, degenerate fits (no variation in x, df <= 0, collinear design)
+are dropped, degenerate fits (x not estimable beside the covariates, df <= 0)
 give NULL results rather than an error.
 """
 
@@ -41,14 +46,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType
 
 from assayflow.functions.tdist import t_critical, t_two_sided_p
+from assayflow.operators.factors import SINGULAR_RTOL, eliminate_factors
 from assayflow.operators.joins import join_contrast_table
 from assayflow.session import written
 
 RESULT_COLUMNS = ["feature_label", "independent_variable", "LR_P_Value", "LR_Effect_Size",
                   "LR_CI_Lower", "LR_CI_Upper"]
 
-# Relative tolerance below which the design counts as singular.
-SINGULAR_RTOL = 1e-12
 # Share of the variance left below which residuals are summed from the rows.
 CANCELLED = 1e-9
 
@@ -100,38 +104,45 @@ def _centered(a: str, b: str) -> Column:
     return F.regr_sxy(F.col(b), F.col(a))
 
 
-def fit(long: DataFrame, *, categorical: str | None = None,
+def fit(long: DataFrame, *, categorical: str | Sequence[str] | None = None,
         numeric_covariates: Sequence[str] = (), alpha: float = 0.05,
         details: bool = False, by: Sequence[str] = ()) -> DataFrame:
     """Fit per (by..., feature_label, independent_variable) on the output of
     ``regression_input``."""
     keys = [*by, "feature_label", "independent_variable"]
     names = [*numeric_covariates, "x"]
+    factors = [categorical] if isinstance(categorical, str) else list(categorical or ())
+    if len(factors) > 1:
+        solved = written(eliminate_factors(long, keys, factors, names), "fits")
+    else:
+        solved = _fit_slopes(long, keys, names, factors[0] if factors else None)
+    solved = solved.select(*keys, "_n", "_df", F.col("_beta_x").alias("_b"),
+                           F.sqrt(F.col("_rss") / F.col("_df") / F.col("_left")).alias("_se"))
+    return _report(solved, keys, alpha, details, by)
+
+
+def _fit_slopes(long: DataFrame, keys: list[str], names: Sequence[str], categorical: str | None) -> DataFrame:
+    """(keys, _n, _df, _beta_x, _rss, _left) with at most one factor."""
     pairs = _pair_sums(names)
     if categorical is not None:
         per_site = long.groupBy(*keys, categorical).agg(
             F.count(F.lit(1)).alias("_n"),
             *[_centered(a, b).alias(al) for al, a, b in pairs])
         sums = per_site.groupBy(*keys).agg(
-            F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_k"),
+            F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_k"),  # intercept and dummies
             *[F.sum(al).alias(al) for al, _, _ in pairs])
-        n_params = F.col("_k") + F.lit(len(names))  # intercept+dummies = k, slopes
     else:
         sums = long.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("_n"),
+            F.count(F.lit(1)).alias("_n"), F.lit(1).alias("_k"),
             *[_centered(a, b).alias(al) for al, a, b in pairs])
-        n_params = F.lit(1 + len(names))
-    sums = sums.withColumn("_df", (F.col("_n") - n_params).cast("double"))
 
     index = {}
     for al, p, q in pairs:
         index[(p, q)] = index[(q, p)] = al
 
-    def S(a, b):
-        return F.col(index[(a, b)])
-
     solved = _eliminated(sums, names, index)
-    ok = (F.col("_df") > 0) & ~F.col("_singular")
+    solved = solved.withColumn("_df", (F.col("_n") - F.col("_k") - F.col("_rank")).cast("double"))
+    ok = (F.col("_df") > 0) & F.col("_estimable")
     solved = solved.select(
         *keys, "_n", "_df", *[F.when(ok, F.col(f"_beta_{v}")).alias(f"_beta_{v}") for v in names],
         F.when(ok, F.greatest("_rss", F.lit(0.0))).alias("_rss"), "_syy", "_left")
@@ -140,9 +151,11 @@ def fit(long: DataFrame, *, categorical: str | None = None,
     if near.limit(1).count():
         again = _residual_sums(long, near, keys, names, categorical)
         solved = solved.join(again, keys, "left").withColumn("_rss", F.coalesce("_again", "_rss"))
-    solved = solved.select(*keys, "_n", "_df", F.col("_beta_x").alias("_b"),
-                           F.sqrt(F.col("_rss") / F.col("_df") / F.col("_left")).alias("_se"))
+    return solved
+
 
+def _report(solved: DataFrame, keys: list[str], alpha: float, details: bool, by: Sequence[str]) -> DataFrame:
+    """Tests and intervals of (keys, _n, _df, _b, _se)."""
     # t and the critical value are their own columns, so each row runs the
     # bisection once
     # a perfect fit has t = +-inf and p = 0
@@ -169,21 +182,21 @@ def _eliminated(sums: DataFrame, names: Sequence[str], index) -> DataFrame:
     held = {(a, b): F.col(index[(a, b)]).alias(f"_s_{i}_{j}")
             for i, a in enumerate([*names, "level"]) for j, b in enumerate([*names, "level"]) if i <= j}
     m = len(names)
-    cur = sums.select("*", *held.values(), F.lit(False).alias("_singular"), F.col(index[("level", "level")]).alias("_syy"))
+    cur = sums.select("*", *held.values(), F.lit(0).alias("_rank"), F.col(index[("level", "level")]).alias("_syy"))
     s = lambda i, j: F.col(f"_s_{min(i, j)}_{max(i, j)}")
     for k in range(m):
         # row k stays as it is now: it is what back substitution needs
         whole = F.col(index[(names[k], names[k])])
-        cur = cur.withColumn("_singular", F.col("_singular") | (whole <= 0) | (s(k, k) <= SINGULAR_RTOL * whole))
-        pivot = F.when(~F.col("_singular"), s(k, k))
-        cur = cur.withColumns({f"_s_{i}_{j}": s(i, j) - s(k, i) * s(k, j) / pivot
-                               for i in range(k + 1, m + 1) for j in range(i, m + 1)})
+        cur = cur.withColumn(f"_own_{k}", (whole > 0) & (s(k, k) > SINGULAR_RTOL * whole))
+        cur = cur.withColumns({f"_s_{i}_{j}": F.when(F.col(f"_own_{k}"), s(i, j) - s(k, i) * s(k, j) / s(k, k))
+                               .otherwise(s(i, j)) for i in range(k + 1, m + 1) for j in range(i, m + 1)}
+                              | {"_rank": F.col("_rank") + F.col(f"_own_{k}").cast("int")})
     for k in reversed(range(m)):
         known = s(k, m)
         for j in range(k + 1, m):
             known = known - s(k, j) * F.col(f"_beta_{names[j]}")
-        cur = cur.withColumn(f"_beta_{names[k]}", F.when(~F.col("_singular"), known / s(k, k)))
-    return cur.withColumn("_rss", s(m, m)).withColumn("_left", s(m - 1, m - 1))
+        cur = cur.withColumn(f"_beta_{names[k]}", F.when(F.col(f"_own_{k}"), known / s(k, k)).otherwise(F.lit(0.0)))
+    return cur.withColumns({"_estimable": F.col(f"_own_{m - 1}"), "_rss": s(m, m), "_left": s(m - 1, m - 1)})
 
 
 def _residual_sums(long: DataFrame, fits: DataFrame, keys: list[str], names: Sequence[str],
@@ -200,7 +213,7 @@ def _residual_sums(long: DataFrame, fits: DataFrame, keys: list[str], names: Seq
 
 
 def regress_features(df: DataFrame, independent_variables: Sequence[str], *,
-                     covariate: str | None = None, numeric_covariates: Sequence[str] = (),
+                     covariate: str | Sequence[str] | None = None, numeric_covariates: Sequence[str] = (),
                      feature: str = "feature_label", level: str = "level",
                      time_point: str | None = None, time_col: str = "time_point",
                      exclude_zero: bool = True, alpha: float = 0.05,
@@ -209,17 +222,14 @@ def regress_features(df: DataFrame, independent_variables: Sequence[str], *,
     feature and every independent variable in one job. ``by`` adds grouping
     keys (e.g. every time point at once instead of one ``time_point``).
 
-    ``covariate`` is dummy-coded when it is a string column and enters
-    linearly when numeric (the formula interface's behaviour).
+    ``covariate`` is one column or a list; each is dummy-coded when it is a
+    string column and enters linearly when numeric (the formula interface's
+    behaviour).
     """
-    numeric = list(numeric_covariates)
-    categorical = None
-    if covariate is not None:
-        if _is_numeric(df, covariate):
-            numeric = [covariate, *numeric]
-        else:
-            categorical = covariate
-    covs = ([categorical] if categorical else []) + numeric
+    covariates = [covariate] if isinstance(covariate, str) else list(covariate or ())
+    categorical = [c for c in covariates if not _is_numeric(df, c)]
+    numeric = [*(c for c in covariates if c not in categorical), *numeric_covariates]
+    covs = categorical + numeric
     long = regression_input(df, independent_variables, feature=feature, level=level,
                             covariates=covs, time_point=time_point, time_col=time_col,
                             exclude_zero=exclude_zero, by=by)

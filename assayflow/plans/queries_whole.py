@@ -56,6 +56,36 @@ def ols_multi_covariate_all_time_points(spark: SparkSession, d: str) -> DataFram
     return round_doubles(_fits(spark, d, numeric_covariates=["site_num", "x_acctbal"], details=True))
 
 
+@register("ols_collinear_covariates", _ols_oracle_all(
+    ["x_quantity"], categorical="site", numeric=["site_num", "x_acctbal"]))
+def ols_collinear_covariates(spark: SparkSession, d: str) -> DataFrame:
+    """M1/U1 of deficient rank: one covariate is a combination of another and
+    the intercept; the fits are those without it."""
+    assay = _assay_tp(spark, d).withColumn("site_again", 2 * F.col("site_num") + 1)
+    return round_doubles(ols.regress_features(
+        assay, ["x_quantity"], covariate="site", numeric_covariates=["site_num", "site_again", "x_acctbal"],
+        by=_TP, details=True))
+
+
+_SITES = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+def _two_factors_sql():
+    dummies = ", ".join(f"CASE WHEN site = '{v}' THEN 1 ELSE 0 END AS in_{v.lower()}" for v in _SITES)
+    body, ctes = sk.ols_sql("src", ["x_quantity"], categorical="time_point",
+                            numeric=[f"in_{v.lower()}" for v in _SITES])
+    return fx.with_views(body, "assay_long", extra={
+        "src": f"SELECT metabolite AS feature_label, level, time_point, x_quantity, {dummies} FROM assay_long", **ctes})
+
+
+@register("ols_two_factors", _two_factors_sql())
+def ols_two_factors(spark: SparkSession, d: str) -> DataFrame:
+    """M1/U1 with a list of string covariates: level ~ C(time_point) + C(site)
+    + x_quantity per feature (the twin spells out the dummies)."""
+    return round_doubles(ols.regress_features(
+        _assay_tp(spark, d), ["x_quantity"], covariate=["time_point", "site"], details=True))
+
+
 def _ci_sql():
     body, ctes = sk.ols_sql("src", ["x_quantity"], categorical="site", rounded=False, by=_TP)
     tail = lambda a, b: sk.r(sql_t_two_sided_p(f"(({a} - {b}) / std_err)", "df"))

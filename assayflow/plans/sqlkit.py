@@ -65,8 +65,8 @@ def ttest_finish(src: str, keys: Sequence[str], *, est: str, se: str, dof: str,
 def ols_sql(src: str, ivs: Sequence[str], *, categorical: str | None = None,
             numeric: Sequence[str] = (), alpha: float = 0.05, rounded: bool = True,
             by: Sequence[str] = ()):
-    """Oracle OLS: centred sums (within ``categorical`` when given), solved in
-    closed form for 1-3 slope terms. ``src`` has feature_label, level, the
+    """Oracle OLS: centred sums (within ``categorical`` when given), solved by
+    elimination for any number of slope terms. ``src`` has feature_label, level, the
     covariates and the independent variables (time point already applied)."""
     r = sql_round if rounded else (lambda e: f"({e})")
     bk = "".join(f"{b}, " for b in by)
@@ -89,53 +89,32 @@ def ols_sql(src: str, ivs: Sequence[str], *, categorical: str | None = None,
         s2 = (f"SELECT {bk}feature_label, independent_variable, cast(sum(n) AS BIGINT) AS n, count(*) AS k, "
               + ", ".join(f"sum({al[p]}) AS {al[p]}" for p in pairs)
               + f" FROM s1 GROUP BY {bk}feature_label, independent_variable")
-        nparams = f"k + {len(names)}"
+        intercepts = "k"
     else:
         s1 = (f"SELECT {bk}feature_label, independent_variable, count(*) AS n, {sums} "
               f"FROM unp WHERE {notnull} GROUP BY {bk}feature_label, independent_variable")
         s2 = "SELECT * FROM s1"
-        nparams = f"{1 + len(names)}"
-    S = lambda a, b: al[(a, b)]
-    syy = S("level", "level")
-    if len(names) == 1:
-        sxx, sxy = S("x", "x"), S("x", "level")
-        ok = f"({sxx} > 0 AND dfree > 0)"
-        b = f"{sxy} / {sxx}"
-        rss = f"greatest({syy} - ({b}) * {sxy}, 0.0)"
-        se = f"sqrt({rss} / dfree / {sxx})"
-    elif len(names) == 2:
-        z = names[0]
-        szz, sxx, sxz, szy, sxy = S(z, z), S("x", "x"), S(z, "x"), S(z, "level"), S("x", "level")
-        det = f"({szz} * {sxx} - {sxz} * {sxz})"
-        ok = f"({det} > 1e-12 * {szz} * {sxx} AND {sxx} > 0 AND {szz} > 0 AND dfree > 0)"
-        b = f"({sxy} * {szz} - {szy} * {sxz}) / {det}"
-        bz = f"({szy} * {sxx} - {sxy} * {sxz}) / {det}"
-        rss = f"greatest({syy} - ({b}) * {sxy} - ({bz}) * {szy}, 0.0)"
-        se = f"sqrt({rss} / dfree * {szz} / {det})"
-    elif len(names) == 3:
-        v1, v2, v3 = names
-        a11, a12, a13 = S(v1, v1), S(v1, v2), S(v1, v3)
-        a22, a23, a33 = S(v2, v2), S(v2, v3), S(v3, v3)
-        c1, c2, c3 = S(v1, "level"), S(v2, "level"), S(v3, "level")
-        C11 = f"({a22} * {a33} - {a23} * {a23})"
-        C12 = f"({a13} * {a23} - {a12} * {a33})"
-        C13 = f"({a12} * {a23} - {a13} * {a22})"
-        C22 = f"({a11} * {a33} - {a13} * {a13})"
-        C23 = f"({a12} * {a13} - {a11} * {a23})"
-        C33 = f"({a11} * {a22} - {a12} * {a12})"
-        det = f"({a11} * {C11} + {a12} * {C12} + {a13} * {C13})"
-        ok = (f"({det} > 1e-12 * {a11} * {a22} * {a33} AND {a11} > 0 AND {a22} > 0 "
-              f"AND {a33} > 0 AND dfree > 0)")
-        b1 = f"({C11} * {c1} + {C12} * {c2} + {C13} * {c3}) / {det}"
-        b2 = f"({C12} * {c1} + {C22} * {c2} + {C23} * {c3}) / {det}"
-        b = f"({C13} * {c1} + {C23} * {c2} + {C33} * {c3}) / {det}"
-        rss = f"greatest({syy} - ({b1}) * {c1} - ({b2}) * {c2} - ({b}) * {c3}, 0.0)"
-        se = f"sqrt({rss} / dfree * {C33} / {det})"
-    else:
-        raise ValueError("oracle supports up to three slope terms")
+        intercepts = "1"
+    # one variable after the other is eliminated; one that is a combination of
+    # those before it is passed over and takes no degree of freedom
+    m = len(names)
+    steps = {"e0": "SELECT *, 0 AS rank0, " + ", ".join(
+        f"{al[(allv[i], allv[j])]} AS c0_{i}_{j}" for i in range(m + 1) for j in range(i, m + 1)) + " FROM s2"}
+    for k in range(m):
+        whole = al[(names[k], names[k])]
+        own = f"({whole} > 0 AND c{k}_{k}_{k} > 1e-12 * {whole})"
+        steps[f"e{k + 1}"] = (
+            f"SELECT *, rank{k} + CASE WHEN {own} THEN 1 ELSE 0 END AS rank{k + 1}, " + ", ".join(
+                f"CASE WHEN {own} THEN c{k}_{i}_{j} - c{k}_{k}_{i} * c{k}_{k}_{j} / c{k}_{k}_{k} "
+                f"ELSE c{k}_{i}_{j} END AS c{k + 1}_{i}_{j}"
+                for i in range(k + 1, m + 1) for j in range(i, m + 1)) + f" FROM e{k}")
+    left = f"c{m - 1}_{m - 1}_{m - 1}"
+    ok = f"(rank{m} > rank{m - 1} AND dfree > 0)"
+    b = f"c{m - 1}_{m - 1}_{m} / {left}"
+    se = f"sqrt(greatest(c{m}_{m}_{m}, 0.0) / dfree / {left})"
     fitq = (f"SELECT {bk}feature_label, independent_variable, n, dfree, "
             f"CASE WHEN {ok} THEN {b} END AS b, CASE WHEN {ok} THEN {se} END AS se "
-            f"FROM (SELECT *, cast(n - ({nparams}) AS double) AS dfree FROM s2) q")
+            f"FROM (SELECT *, cast(n - {intercepts} - rank{m} AS double) AS dfree FROM e{m}) q")
     fin = (f"SELECT *, b / se AS t, CASE WHEN se IS NOT NULL THEN {sql_t_critical('dfree', alpha)} END AS crit "
            f"FROM fit")
     body = (f"SELECT {bk}feature_label, independent_variable, "
@@ -143,7 +122,7 @@ def ols_sql(src: str, ivs: Sequence[str], *, categorical: str | None = None,
             f"{r('b')} AS LR_Effect_Size, {r('b - crit * se')} AS LR_CI_Lower, "
             f"{r('b + crit * se')} AS LR_CI_Upper, n, {r('dfree')} AS df, {r('se')} AS std_err, "
             f"{r('t')} AS t_stat FROM fin")
-    return body, {"unp": unp, "s1": s1, "s2": s2, "fit": fitq, "fin": fin}
+    return body, {"unp": unp, "s1": s1, "s2": s2, **steps, "fit": fitq, "fin": fin}
 
 
 def bh_sql(src: str, *, p: str, by: Sequence[str], order_key: str) -> str:

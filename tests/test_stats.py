@@ -133,6 +133,75 @@ def test_ols_matches_lstsq(spark, kind):
     assert checked > 5
 
 
+def _pinv_fit(X, y):
+    """Slope, error and degrees of freedom of the last column; None where it
+    is a combination of the others."""
+    rank = np.linalg.matrix_rank(X, tol=1e-8)
+    if rank == np.linalg.matrix_rank(X[:, :-1], tol=1e-8) or len(y) <= rank:
+        return None
+    inverse = np.linalg.pinv(X, rcond=1e-10)
+    beta = inverse @ y
+    resid = y - X @ beta
+    dof = len(y) - rank
+    return beta[-1], math.sqrt(resid @ resid / dof * (inverse @ inverse.T)[-1, -1]), dof
+
+
+def _same_fit(row, want):
+    if want is None:
+        assert row.LR_Effect_Size is None and row.LR_P_Value is None
+        return
+    assert row.LR_Effect_Size == pytest.approx(want[0], rel=1e-7, abs=1e-10)
+    assert row.std_err == pytest.approx(want[1], rel=1e-7)
+    assert row.df == want[2]
+
+
+def test_ols_collinear_covariates_equal_pseudo_inverse(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for f in ("twice", "constant", "x_is_covariate", "full", "few"):
+        for _ in range(6 if f == "few" else 40):
+            z1, z3, x = rng.normal(size=3) + 2
+            z2 = rng.normal() if f == "full" else 7.0 if f == "constant" else 2 * z1 - 3
+            x = z1 + z3 if f == "x_is_covariate" else x
+            rows.append((f, float(1 + 2 * x + z1 + rng.normal()), float(z1), float(z2), float(z3), float(x)))
+    df = spark.createDataFrame(rows, "feature_label string, level double, z1 double, z2 double, z3 double, x double")
+    got = {r.feature_label: r for r in ols.regress_features(
+        df, ["x"], numeric_covariates=["z1", "z2", "z3"], details=True).collect()}
+    for f in got:
+        a = np.array([r[1:] for r in rows if r[0] == f])
+        _same_fit(got[f], _pinv_fit(np.column_stack([np.ones(len(a)), a[:, 1:]]), a[:, 0]))
+    assert got["twice"].LR_Effect_Size is not None and got["x_is_covariate"].LR_Effect_Size is None
+
+
+@pytest.mark.parametrize("factors", [["a", "b"], ["b", "a", "c"]])
+def test_ols_several_factors_equal_dummies(spark, factors):
+    rng = np.random.default_rng(len(factors))
+    rows = []
+    for f, n in (("many", 300), ("sparse", 24), ("blocks", 120), ("x_in_levels", 60)):
+        for _ in range(n):
+            a, b, c = (int(rng.integers(k)) for k in (9, 4, 3))
+            if f == "blocks":  # levels fall into two unconnected halves
+                b = b // 2 + (2 if a > 4 else 0)
+            x = float(a + 2 * b + 1) if f == "x_in_levels" else float(rng.normal() + 3)
+            z = float(rng.normal() + b)
+            rows.append((f, float(1000 + 3 * a - b + c + 0.5 * x + z + rng.normal()), f"a{a}", f"b{b}", f"c{c}", z, x))
+    rows.append(("many", 1001.0, "once", "b1", "c0", 0.3, 2.5))
+    rows += [("many", 1.0, None, "b1", "c0", 0.3, 2.5), ("many", 1.0, "a1", "b1", "c0", 0.3, 0.0)]
+    df = spark.createDataFrame(
+        rows, "feature_label string, level double, a string, b string, c string, z double, x double")
+    got = {r.feature_label: r for r in ols.regress_features(
+        df, ["x"], covariate=factors, numeric_covariates=["z"], details=True).collect()}
+    assert len(got) == 4
+    at = {"a": 2, "b": 3, "c": 4}
+    for f in got:
+        own = [r for r in rows if r[0] == f and r[2] is not None and r[6] != 0]
+        dummies = [[float(r[at[k]] == v) for r in own] for k in factors for v in sorted({r[at[k]] for r in own})]
+        X = np.column_stack([np.ones(len(own)), *dummies, [r[5] for r in own], [r[6] for r in own]])
+        _same_fit(got[f], _pinv_fit(X, np.array([r[1] for r in own])))
+    assert got["many"].LR_Effect_Size is not None and got["x_in_levels"].LR_Effect_Size is None
+    assert ols.regress_features(df.limit(0), ["x"], covariate=factors).count() == 0
+
+
 def test_ols_degenerate_gives_null(spark):
     rows = [("few", "s1", 1.0, 1.0), ("few", "s1", 2.0, 2.0),            # n <= params
             ("flat", "s1", 1.0, 3.0), ("flat", "s1", 2.0, 3.0), ("flat", "s2", 3.0, 3.0),
