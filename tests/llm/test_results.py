@@ -3,12 +3,15 @@ programmes, every-pair searches, DuckDB, and held-out labels."""
 
 import base64
 import hashlib
+import math
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
 import pytest
+import regex
 
 import corpus_pipeline
 from assayflow.llm import bpe, catalog, decontaminate, language, near_dedup, pii, quality, sharding, toxicity
@@ -96,6 +99,64 @@ def test_held_out_accuracy(spark):
     assert np.mean([a == b for a, b in toxic]) > 0.85
 
 
+def test_words_seen_once_and_rare_languages_are_learned(spark):
+    """Every word is new, one language is rare, and no level of frequency fits."""
+    rng = random.Random(5)
+    letters = {"aa": "abcdefgh", "bb": "qrstuvwx", "rare": "\u0915\u0916\u0917\u0918"}
+    rows = []
+    for i in range(400):
+        lang = "rare" if i % 50 == 0 else "aa" if i % 2 else "bb"
+        words = ["".join(rng.choice(letters[lang]) for _ in range(14)) for _ in range(60)]
+        if lang == "rare":  # a combining mark belongs to its word
+            words = [w[:3] + "\u093f" + w[3:] for w in words]
+        rows.append((i, " ".join(words), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language.language_table(docs).collect()}
+    assert len(got) == 400 and all(got[i].lang_pred == lang for i, _, lang in rows)
+
+
+def test_language_scores_equal_plain_ones(spark):
+    """Word-first backoff computed word by word from counts, one language at a
+    time; without a letter a text is und."""
+    docs = table(spark, SF01, "documents").limit(300)
+    model = language.learn(docs)
+    counts = {}
+    for r in docs.collect():
+        if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            for w in regex.findall(r"\p{L}[\p{L}\p{M}]*", r.text.lower()):
+                for size in (0, 4, 3, 2, 1):
+                    marked = f"_{w}_"
+                    for key in [w] if not size else [marked[i:i + size] for i in range(len(marked) - size + 1)]:
+                        own = counts.setdefault(size, {}).setdefault(r.lang, {})
+                        own[key] = own.get(key, 0) + 1
+    assert sorted(counts[0]) == list(model.languages)
+    keys = {size: set().union(*by.values()) for size, by in counts.items()}
+    total = {(size, lang): sum(own.values()) + 0.1 * len(keys[size])
+             for size, by in counts.items() for lang, own in by.items()}
+
+    def plain(text, lang):
+        score = 0.0
+        for w in regex.findall(r"\p{L}[\p{L}\p{M}]*", text.lower()):
+            marked, found, size = f"_{w}_", [w] if w in keys[0] else [], 0
+            for size in () if found else (4, 3, 2, 1):
+                found = [g for i in range(len(marked) - size + 1) if (g := marked[i:i + size]) in keys[size]]
+                if found:
+                    break
+            score += sum(math.log((counts[size][lang].get(k, 0) + 0.1) / total[size, lang]) for k in found) / max(1, len(found))
+        return score
+
+    texts = [r.text for r in docs.limit(40).collect() if r.text] + ["Xylophonique zzyzx unheard", "q\u0301 \u00fc\u00df \u4e2d\u6587"]
+    for text in texts:
+        scores = {lang: plain(text, lang) for lang in model.languages}
+        if not regex.search(r"\p{L}", text):
+            continue
+        lang, p = model.score(text)
+        assert scores[lang] >= max(scores.values()) - 1e-6
+        assert p == pytest.approx(1 / sum(math.exp(s - scores[lang]) for s in scores.values()), rel=1e-6)
+    for none in (None, "", "\u00bd \u2167 \u00b2 42 _", "\u0301"):
+        assert model.score(none) == ("und", 0.0)
+
+
 def test_chain_feeds_out_of_fold_probabilities():
     rng = np.random.default_rng(0)
     x = (rng.random((600, 12)) < 0.3).astype(np.float32)
