@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import importlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -345,8 +345,10 @@ def _place_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(2).slice(i, j - i), ids], ["whole", "ids"])
 
 
-def encode(docs: DataFrame, text: str, ids: str, ranks: DataFrame, cache_docs: int = CACHE_DOCS) -> DataFrame:
-    """Add the array of token ids of every text."""
+def encode(docs: DataFrame, text: str, ids: str, ranks: DataFrame, cache_docs: int = CACHE_DOCS,
+           carry: Sequence[str] | None = None) -> DataFrame:
+    """Add the array of token ids of every text. Only the columns ``carry``
+    (default: all) travel with the words and stay."""
     spark = docs.sparkSession
     by_piece = {bytes(r["piece"]): r["rank"] for r in ranks.collect()}   # the tokenizer's, a fixed number
     with Constants(spark) as constants:
@@ -363,7 +365,7 @@ def encode(docs: DataFrame, text: str, ids: str, ranks: DataFrame, cache_docs: i
             return ids.otherwise(fold_word(binary, rank_of))
 
         cache = materialize(word_ids(docs, text, of_word, cache_docs)).withColumnRenamed("ids", "known")
-        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+        whole = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]).alias("whole")
         string = F.coalesce(F.col(f"`{text}`"), F.lit(""))
         clean = ~F.contains(string, F.lit(BREAK))
         # every character is in some match, so a break after each match is enough
@@ -414,7 +416,7 @@ def digest(rows: DataFrame, ids: str, decoded: str, *columns: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, ranks: DataFrame) -> DataFrame:
     """doc_id, ids and the decoded bytes of every text."""
-    encoded = encode(docs.select("doc_id", "text"), "text", "ids", ranks).select("doc_id", "ids")
+    encoded = encode(docs, "text", "ids", ranks, carry=["doc_id"])
     return decode(encoded, "ids", "decoded", ranks)
 
 
