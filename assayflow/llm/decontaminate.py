@@ -27,7 +27,12 @@ lack its last words. Aligning takes time in proportion to item times windows.
 
 The index is sent to the tasks in parts of at most ``PART_ITEMS`` items, each
 with a bounded number of words; more items make more parts and passes over
-the text, so what a task holds never grows with the benchmark.
+the text, so what a task holds never grows with the benchmark. The number of
+items, their mean length and every term's document frequency are counted over
+all items beforehand, and the windows of an item follow from its own length (the
+next power of two words, ``STRIDE`` at least; a part holds items of one such
+length), so an item's retrieval does not depend on the items beside it. A text
+of any length is walked ``WINDOWS`` windows at a time.
 
 Defined results: NULL and empty texts match nothing; items without words, or
 NULL, are no items; equal items are reported each; rows that repeat a doc_id
@@ -48,9 +53,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import ArrayType, BooleanType, StringType
 
-from assayflow.llm.common import table
+from assayflow.llm.common import materialize, table
 
 WORD = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
@@ -62,6 +67,8 @@ OVERLAP = 0.6
 WHOLE = 0.8
 SHINGLE, ANSWER_SHARE = 5, 0.25
 STRIDE, BLOCK = 64, 4
+#: Windows of one text whose bounds are held at a time.
+WINDOWS = 1024
 #: Items in one part of the index (their words: bounded by ``PART_WORDS``).
 PART_ITEMS, PART_WORDS = 4096, 1 << 20
 
@@ -119,27 +126,44 @@ def _advanced(cursors: list[Cursor], upto: int, target: int) -> list[Cursor]:
     return [c for c in cursors if c.at < len(c.docs)]
 
 
+@dataclass
+class Corpus:
+    """Counts over all items: how many, their mean length, and the document
+    frequency of each term of the part at hand."""
+    items: int
+    mean_length: float
+    seen: dict[str, int]
+
+
+def stride_of(n_words: int) -> int:
+    """Stride of the windows in which an item of this length is searched."""
+    return max(STRIDE, 1 << (n_words - 1).bit_length())
+
+
 @dataclass
 class Index:
     """Inverted index of one part of the items.
 
     Postings of term t are ``docs[start[t]:start[t + 1]]``, positions in
     ``items``, with their weights; ``block_max`` has the maxima per (term,
-    block of items), ``term_max`` per term.
+    block of items), ``term_max`` per term. Without ``corpus`` the items are
+    all there are.
     """
     items: list[tuple[int, list[str]]]
+    corpus: Corpus | None = None
     terms: dict[str, int] = field(default_factory=dict)
     stride: int = STRIDE
 
     def __post_init__(self) -> None:
         n = len(self.items)
         lengths = np.array([len(w) for _, w in self.items], dtype=float)
-        self.stride = max(self.stride, int(lengths.max()))
+        self.stride = max(stride_of(len(w)) for _, w in self.items)
         bags = [Counter(w) for _, w in self.items]
-        seen = Counter(t for bag in bags for t in bag)
+        corpus = self.corpus or Corpus(n, lengths.mean(), Counter(t for bag in bags for t in bag))
+        seen = {t: corpus.seen[t] for bag in bags for t in bag}
         self.terms = {t: i for i, t in enumerate(sorted(seen))}
-        idf = {t: np.log(1 + (n - c + 0.5) / (c + 0.5)) for t, c in seen.items()}
-        norm = K1 * (1 - B + B * lengths / lengths.mean())
+        idf = {t: np.log(1 + (corpus.items - c + 0.5) / (c + 0.5)) for t, c in seen.items()}
+        norm = K1 * (1 - B + B * lengths / corpus.mean_length)
         weights = [{t: idf[t] * c * (K1 + 1) / (c + norm[d]) for t, c in bag.items()} for d, bag in enumerate(bags)]
         own = [THRESHOLD * sum(w.values()) for w in weights]
         lists: list[list[tuple[int, float]]] = [[] for _ in self.terms]
@@ -228,6 +252,13 @@ class Index:
         terms and those blocks: sums of block maxima over the terms."""
         n_windows = max(1, (len(words) - 1) // self.stride)
         terms = self.term_numbers(words)
+        for begin in range(0, n_windows, WINDOWS):
+            some = min(WINDOWS, n_windows - begin)
+            stretch = terms[begin * self.stride:(begin + some + 1) * self.stride]
+            for i, query, blocks in self._stretch_passages(stretch, some):
+                yield begin + i, query, blocks
+
+    def _stretch_passages(self, terms: np.ndarray, n_windows: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         place = np.nonzero(terms >= 0)[0]
         known, part = terms[place], place // self.stride
         # a word is in the window that starts with its stride and the one before
@@ -308,23 +339,44 @@ class Index:
         return out
 
 
-def index_parts(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes over the items, part by part in the order of item_id; the
-    driver holds one part at a time."""
+@F.pandas_udf(ArrayType(StringType()))
+def _words_column(texts: pd.Series) -> pd.Series:
+    return texts.map(words_of)
+
+
+def counted_items(benchmark: DataFrame) -> DataFrame:
+    """item_id, words, stride and, for each distinct word, its document
+    frequency over all items: a table of a row per item that has words."""
+    items = materialize(
+        benchmark.filter("text is not null").select("item_id", "text", _words_column("text").alias("words"))
+        .filter(F.size("words") > 0).withColumn("row", F.monotonically_increasing_id()))
+    each = items.select("row", F.explode(F.array_distinct("words")).alias("word"))
+    seen = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    terms = each.join(seen, "word").groupBy("row").agg(F.collect_list(F.struct("word", "n")).alias("seen"))
+    size = F.size("words")
+    power = F.call_function("shiftleft", F.lit(1), F.length(F.bin((size - 1).cast("bigint"))))
+    stride = F.when(size <= STRIDE, F.lit(STRIDE)).otherwise(power)
+    return materialize(items.join(terms, "row").select("item_id", "text", "words", stride.alias("stride"), "seen"))
+
+
+def index_parts(benchmark: DataFrame, part_items: int = PART_ITEMS) -> Iterator[Index]:
+    """Indexes over the items, part by part in the order of stride and
+    item_id; the driver holds one part at a time."""
+    table_of_items = counted_items(benchmark)
+    n_items, mean_length = table_of_items.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
     items: list[tuple[int, list[str]]] = []
-    size = 0
-    rows = benchmark.select("item_id", "text").filter("text is not null").orderBy("item_id", "text")
-    for r in rows.toLocalIterator():
-        words = words_of(r["text"])
-        if not words:
-            continue
-        if items and (len(items) == PART_ITEMS or size + len(words) > PART_WORDS):
-            yield Index(items)
-            items, size = [], 0
+    seen: dict[str, int] = {}
+    size, stride = 0, None
+    for r in table_of_items.orderBy("stride", "item_id", "text").toLocalIterator():
+        words = r["words"]
+        if items and (len(items) == part_items or size + len(words) > PART_WORDS or r["stride"] != stride):
+            yield Index(items, Corpus(n_items, mean_length, seen))
+            items, seen, size = [], {}, 0
         items.append((r["item_id"], words))
-        size += len(words)
+        seen.update((t["word"], t["n"]) for t in r["seen"])
+        size, stride = size + len(words), r["stride"]
     if items:
-        yield Index(items)
+        yield Index(items, Corpus(n_items, mean_length, seen))
 
 
 def _matches_of(index: Index, docs: DataFrame) -> DataFrame:
@@ -342,10 +394,10 @@ def _matches_of(index: Index, docs: DataFrame) -> DataFrame:
         search, f"doc_id {kind}, item_id long, score double, question_overlap double, answer_overlap double")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, part_items: int = PART_ITEMS) -> DataFrame:
     """One row per (doc_id, item_id): score (in units of the threshold), the
     shares of the question and of the answer that the text holds."""
-    parts = [_matches_of(index, docs) for index in index_parts(benchmark)]
+    parts = [_matches_of(index, docs) for index in index_parts(benchmark, part_items)]
     if not parts:
         kind = docs.schema["doc_id"].dataType.simpleString()
         return docs.sparkSession.createDataFrame(

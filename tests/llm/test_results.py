@@ -85,6 +85,36 @@ def test_alignment_of_an_item_equals_the_full_one():
         assert abs(whole - (1 - want / len(item))) < 1e-9 and 0 <= first <= 1 and 0 <= rest <= 1
 
 
+def test_parts_of_the_index_do_not_change_what_is_found(spark):
+    """BM25 counts and windows are those of all items, one long item included."""
+    benchmark = table(spark, SF001, "benchmark").select("item_id", "text")
+    long_item = " ".join(f"lone{i}" for i in range(300))
+    benchmark = benchmark.unionByName(spark.createDataFrame([(10_000, long_item)], benchmark.schema)).repartition(3)
+    docs = table(spark, SF001, "documents").select("doc_id", "text").unionByName(
+        spark.createDataFrame([(-1, f"before {long_item} after")], "doc_id long, text string"))
+    found = [sorted(map(tuple, decontaminate.contaminated(docs, benchmark, part_items=n).collect())) for n in (7, 40, 4096)]
+    assert found[0] == found[1] == found[2]
+    assert {item for doc, item, *_ in found[0] if doc == -1} == {10_000}
+    assert len(found[0]) > 1
+
+
+def test_items_are_counted_over_the_whole_benchmark(spark):
+    rows = [(1, "a b c a"), (2, "b c"), (3, None), (4, ""), (5, "c " * 65), (5, "c " * 65)]
+    got = {(r.item_id, r.stride, tuple(sorted((t.word, t.n) for t in r.seen)))
+           for r in decontaminate.counted_items(spark.createDataFrame(rows, "item_id long, text string")).collect()}
+    assert got == {(1, 64, (("a", 1), ("b", 2), ("c", 4))), (2, 64, (("b", 2), ("c", 4))), (5, 128, (("c", 4),))}
+    assert [decontaminate.stride_of(n) for n in (1, 64, 65, 128, 129)] == [64, 64, 128, 128, 256]
+
+
+def test_long_texts_are_walked_in_stretches(spark, monkeypatch):
+    items = [(r.item_id, decontaminate.words_of(r.text)) for r in table(spark, SF001, "benchmark").collect()]
+    index = decontaminate.Index(items)
+    words = [w for i in range(0, len(items), 3) for w in [f"filler{i}"] * 50 + items[i][1]]
+    whole = index.matches(" ".join(words))
+    monkeypatch.setattr(decontaminate, "WINDOWS", 3)
+    assert whole and index.matches(" ".join(words)) == whole
+
+
 # -------------------------------------------------- learned: held-out accuracy
 def test_held_out_accuracy(spark):
     labels = {r.doc_id: r for r in table(spark, SF01, "labels").collect()}
