@@ -299,6 +299,7 @@ def _index_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each run first its distinct words, a row each, then its documents
     with the index of every word (32-bit numbers)."""
     names = ["word", "at", "whole"]
+    pool = pa.default_memory_pool()
     for batch in batches:
         whole, joined, apart = batch.columns
         for at, end in _runs(joined):
@@ -310,6 +311,8 @@ def _index_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             places = pa.Array.from_buffers(pa.binary(), end - at, [
                 None, pa.py_buffer(offsets.astype("<i4").tobytes()),
                 pa.py_buffer(coded.indices.to_numpy().astype("<i4").tobytes())])
+            del lists, coded        # workers stay for later tasks: what a run took goes back
+            pool.release_unused()
             yield pa.RecordBatch.from_arrays([pa.nulls(end - at, pa.string()), places, whole.slice(at, end - at)], names)
 
 
