@@ -31,6 +31,30 @@ def outer_join_keys(left: DataFrame, right: DataFrame, left_on: Sequence[str],
     return left.join(right, cond, "full")
 
 
+def outer_join_hot_keys(left: DataFrame, right: DataFrame, left_on: Sequence[str],
+                        right_on: Sequence[str]) -> DataFrame:
+    """J1 for keys that hold a large part of both sides, missing ones included:
+    the rows of ``outer_join_keys`` as matching rows and the unmatched rows of
+    either side. Adaptive execution splits a hot key of an inner join on both
+    sides, and of an anti join on its left; the right of each anti join is
+    reduced to distinct keys first. A full outer join cannot be split. Costs
+    two more passes over each side, so it pays where a key is hot."""
+    def same(a: DataFrame, a_on: Sequence[str], b: DataFrame, b_on: Sequence[str]):
+        return reduce(lambda x, y: x & y, [a[i].eqNullSafe(b[j]) for i, j in zip(a_on, b_on)])
+
+    def unmatched(a: DataFrame, a_on: Sequence[str], b: DataFrame, b_on: Sequence[str]) -> DataFrame:
+        keys = b.select(*[F.col(f"`{c}`").alias(f"_key{i}") for i, c in enumerate(b_on)]).distinct()
+        return a.join(keys, same(a, a_on, keys, [f"_key{i}" for i in range(len(b_on))]), "left_anti")
+
+    def nulls(df: DataFrame) -> list:
+        return [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]
+
+    matched = left.join(right, same(left, left_on, right, right_on), "inner")
+    only_left = unmatched(left, left_on, right, right_on).select("*", *nulls(right))
+    only_right = unmatched(right, right_on, left, left_on).select(*nulls(left), "*")
+    return matched.union(only_left).union(only_right)
+
+
 def combine_pheno_manifest(pheno: DataFrame, manifest: DataFrame, *,
                            pheno_keys: Sequence[str] = ("animal", "visit_dcf", "Treatment"),
                            manifest_keys: Sequence[str] = ("case_id", "Visit", "treatment_id"),

@@ -53,12 +53,35 @@ def metabolomics_grand_table(assay: DataFrame, meta: Metadata, *, out: str | Non
 
 
 def cytokine_grand_table(assay_targets_in_rows: DataFrame, meta: Metadata, *,
-                         target_col: str = "targetName", prefix: str = "serum_") -> DataFrame:
-    """D3 (R4, P5, X1, J2): targets-in-rows assay -> long -> joined to the
-    cohort. Stays long; no wide pivot over an unknown number of targets."""
+                         target_col: str = "targetName", prefix: str = "serum_",
+                         out: str | None = None) -> DataFrame:
+    """D3 (R4, P5, X1, J2, S2): targets-in-rows assay -> long -> joined to the
+    cohort, written to ``out`` if given. Stays long; no wide pivot over an
+    unknown number of targets."""
     long = preprocess.transpose_assay(assay_targets_in_rows, target_col=target_col, prefix=prefix)
     long = long.withColumn("sample_id", clean_id(F.col("sample_id")))
-    return long.join(meta.combined, long["sample_id"] == meta.combined["custom_id"], "inner")
+    grand = long.join(meta.combined, long["sample_id"] == meta.combined["custom_id"], "inner")
+    if out:
+        write_dataset(grand, out)
+    return grand
+
+
+def cytokine_preprocessing_job(spark: SparkSession, assay_targets_in_rows: DataFrame, meta: Metadata,
+                               base: str, *, steps: Sequence[str] = ("scale",),
+                               target_col: str = "targetName", prefix: str = "serum_",
+                               raw_data: bool = False, name: str = "grand_cytokine") -> DataFrame:
+    """D4 for cytokines (D3 -> A8 -> Z9): the raw grand table is written,
+    read again by stage, preprocessed per target - by scaling alone unless
+    other steps are named - and written; with ``raw_data`` it is written as
+    it is."""
+    cytokine_grand_table(assay_targets_in_rows, meta, target_col=target_col, prefix=prefix,
+                         out=f"{base.rstrip('/')}/{name}_raw")
+    long = read_stage(spark, base, name, "raw")
+    if not raw_data:
+        long = preprocess.run_steps(long, steps)
+    stage = "raw_long" if raw_data else "preprocessed_long"
+    write_dataset(long, f"{base.rstrip('/')}/{name}_{stage}")
+    return read_stage(spark, base, name, stage)
 
 
 def long_format(grand: DataFrame, *, id_vars: Sequence[str], match: str = "serum",

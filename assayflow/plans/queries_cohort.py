@@ -51,6 +51,13 @@ def pheno_manifest_outer(spark: SparkSession, d: str) -> DataFrame:
     return _pc(spark, d)
 
 
+@register("pheno_manifest_outer_hot_keys", _csql("SELECT * FROM pc"))
+def pheno_manifest_outer_hot_keys(spark: SparkSession, d: str) -> DataFrame:
+    """J1 as a matching and two unmatched parts, for hot keys."""
+    return cohort.outer_join_hot_keys(cohort.dedup_rows(fx.pheno(spark, d)), fx.manifest(spark, d),
+                                      ["animal", "visit_dcf", "Treatment"], ["case_id", "Visit", "treatment_id"])
+
+
 @register("grand_table_inner", _csql(
     "SELECT replace(trim(cast(g.sample_id AS VARCHAR)), ' ', '') AS sample_id, g.animal AS animal_x, "
     "round(g.serum_click, 6) AS serum_click, round(g.serum_view, 6) AS serum_view, "
