@@ -14,7 +14,9 @@ leaves no half file. Nothing but one row per partition is gathered to number
 the ids.
 
 The tokenizer works on words between white space, so each distinct word of a
-batch is encoded once by the library and its ids are put in place by index.
+batch is encoded once by the library and its ids are put in place by index;
+words that differ in upper and lower case alone are one. A Python worker loads
+the tokenizer once for all its tasks.
 
 Defined results: NULL text counts as empty and holds the end id alone; NULL
 doc_id sorts first; rows with equal doc_id follow one another by the hash of
@@ -24,6 +26,7 @@ extra columns are ignored; an empty table gives no shards and no rows.
 
 from __future__ import annotations
 
+import functools
 import importlib
 import itertools
 import json
@@ -179,27 +182,35 @@ class Encoder:
         plain["normalizer"] = None
         plain["pre_tokenizer"]["pretokenizers"] = [{"type": "WhitespaceSplit"}, steps[1]]
         self.plain = load(json.dumps(plain))
+        # the last id of a word, and no other, has the suffix (no word of letters holds it)
+        vocab, suffix = plain["model"]["vocab"], plain["model"]["end_of_word_suffix"]
+        if not suffix or sum(len(v) == 1 + len(suffix) and v.endswith(suffix) for v in vocab) != 256:
+            raise ValueError("not a tokenizer that marks where each word ends")
+        self.is_last = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.is_last[[i for v, i in vocab.items() if v.endswith(suffix)]] = True
 
     def words(self, words: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
-        """Ids of distinct words, and the place of each word among them. A
+        """Ids of distinct words, and the place of each word's ids. A
         word of simple letters in lower case is one word of the tokenizer, so
         many make one text; all others are texts of their own."""
         simple = pc.match_substring_regex(words, f"^[{LETTERS}]+$").to_numpy(zero_copy_only=False)
-        letters = pc.utf8_lower(words.filter(pa.array(simple))).to_pylist()
+        lower = pc.utf8_lower(words.filter(pa.array(simple))).dictionary_encode()
+        letters = lower.dictionary.to_pylist()
         joined = [" ".join(letters[i:i + TOGETHER]) for i in range(0, len(letters), TOGETHER)]
-        sizes, flat = [], []
+        flat = [np.empty(0, dtype=np.uint32)]
         for at in range(0, len(joined), TOGETHER):      # few encodings are held at a time
-            for e in self.plain.encode_batch(joined[at:at + TOGETHER], add_special_tokens=False):
-                sizes.append(np.bincount(e.word_ids))
-                flat.append(np.array(e.ids, dtype=np.uint32))
+            batch = self.plain.encode_batch_fast(joined[at:at + TOGETHER], add_special_tokens=False)
+            flat += [np.array(e.ids, dtype=np.uint32) for e in batch]
+        flat = [np.concatenate(flat)]
+        sizes = np.diff(np.flatnonzero(self.is_last[flat[0]]), prepend=-1)
         others = words.filter(pa.array(~simple)).to_pylist()
-        own = [e.ids for e in self.tokenizer.encode_batch(others, add_special_tokens=False)]
-        sizes.append(np.fromiter(map(len, own), dtype=np.int64, count=len(own)))
+        own = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
         flat.append(np.fromiter(itertools.chain.from_iterable(own), dtype=np.uint32))
+        sizes = np.r_[sizes, np.fromiter(map(len, own), dtype=np.int64, count=len(own))]
         place = np.empty(len(words), dtype=np.int64)
-        place[np.r_[np.flatnonzero(simple), np.flatnonzero(~simple)]] = np.arange(len(words))
-        ends = np.cumsum(np.concatenate([np.zeros(1, dtype=np.int64), *sizes]), dtype=np.int32)
-        return pa.ListArray.from_arrays(ends, np.concatenate(flat)), place
+        place[simple] = lower.indices.to_numpy()
+        place[~simple] = len(letters) + np.arange(len(others))
+        return pa.ListArray.from_arrays(np.r_[0, np.cumsum(sizes)].astype(np.int32), np.concatenate(flat)), place
 
     def texts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts, end ids included, and the end of each text."""
@@ -211,12 +222,18 @@ class Encoder:
         # the end id is one more word, put after the last word of each text
         lists = pa.concat_arrays([lists, pa.array([[end_id]], lists.type)])
         last = np.cumsum(pc.list_value_length(parts).to_numpy())
-        index = np.insert(place[coded.indices.to_numpy()], last, len(place))
+        index = np.insert(place[coded.indices.to_numpy()], last, len(lists) - 1)
         found = lists.take(pa.array(index))
         ends = np.cumsum(pc.list_value_length(found).to_numpy(), dtype=np.int64)[last + np.arange(len(last))]
         return found.flatten().to_numpy(), ends
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(config: str) -> Encoder:
+    """The encoder of a worker, kept for its later tasks."""
+    return Encoder(config)
+
+
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``STEP_BYTES`` bytes, one at least."""
     size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -256,7 +273,7 @@ def write_shards(docs: DataFrame, path: str, config: str, end_id: int = END_ID,
         part, shard, begin, place = TaskContext.get().partitionId(), 0, 0, 0
         held: list[np.ndarray] = []
         started: list[dict] = []
-        open_at, encoder = None, Encoder(shared.value)
+        open_at, encoder = None, _encoder(shared.value)
 
         def full() -> pa.RecordBatch:
             ids = np.concatenate(held)

@@ -159,6 +159,29 @@ def test_texts_are_encoded_as_the_library_does():
         at = end
 
 
+def test_a_worker_loads_the_tokenizer_once_and_encodes_a_word_of_any_case_once():
+    config = token_shards.read_tokenizer()
+    encoder = token_shards._encoder(config)
+    assert token_shards._encoder(config) is encoder
+    handed, plain = [], encoder.plain
+
+    class Plain:
+        def encode_batch_fast(self, texts, **how):
+            handed.extend(w for t in texts for w in t.split(" "))
+            return plain.encode_batch_fast(texts, **how)
+
+    import pyarrow as pa
+    try:
+        encoder.plain = Plain()
+        ids, ends = encoder.texts(pa.array(["Overword OVERWORD, éa", "overword Éa x1"]), 2)
+    finally:
+        encoder.plain = plain
+    assert sorted(handed) == ["overword", "éa"]
+    library = encoder.tokenizer
+    assert ids[:ends[0]].tolist() == [*library.encode("Overword OVERWORD, éa", add_special_tokens=False).ids, 2]
+    assert ids[ends[0]:].tolist() == [*library.encode("overword Éa x1", add_special_tokens=False).ids, 2]
+
+
 @pytest.mark.parametrize("shard_ids", [token_shards.SHARD_IDS, 700])
 def test_documents_read_back_from_the_files(spark, edge, empty, tmp_path, shard_ids):
     config = token_shards.read_tokenizer()
