@@ -163,24 +163,26 @@ def fold_word(word: Column, rank_of) -> Column:
         _let(F.octet_length(word), whole)))
 
 
-def _spans() -> list[int]:
-    """Start, length, the bits of both ends and the bits between of every
-    substring of two bytes or more, by its end: 5, 5, 23 and 23 bits."""
-    return [i << 51 | (j - i) << 46 | (1 << i | 1 << j) << 23 | (1 << j) - (2 << i)
-            for j in range(2, SHORT_BYTES + 1) for i in range(j - 1)]
+def _spans() -> list[tuple[int, int]]:
+    """Start and end of every substring of two bytes or more, by its end."""
+    return [(i, j) for j in range(2, SHORT_BYTES + 1) for i in range(j - 1)]
 
 
-def fold_short_word(word: Column, rank_of) -> Column:
+def fold_short_word(word: Column, ranks_of) -> Column:
     """Ids of a word of at most ``SHORT_BYTES`` bytes (binary) where ranks grow
     with every merge: a fold over the word's ranked merges, lowest rank first,
     then leftmost. A merge happens if its ends are boundaries and exactly one
-    boundary lies between; that one goes."""
+    boundary lies between; that one goes. A merge is a number: its rank, the
+    bits of both ends and the bits between (23 bits each)."""
     n = F.octet_length(word)
-    spans = F.slice(long_array(_spans()), F.lit(1), F.shiftright(n * (n - 1), 1))
+    starts = long_array([i + 1 for i, _ in _spans()]).cast("array<int>")
+    sizes = long_array([j - i for i, j in _spans()]).cast("array<int>")
+    bits = long_array([(1 << i | 1 << j) << 23 | (1 << j) - (2 << i) for i, j in _spans()])
+    subs = F.transform(F.slice(starts, F.lit(1), F.shiftright(n * (n - 1), 1)),
+                       lambda start, k: F.substring(word, start, F.get(sizes, k)))
 
-    def ranked(p: Column) -> Column:
-        rank = rank_of(F.substring(word, F.shiftright(p, 51).cast("int") + 1, F.shiftright(p, 46).bitwiseAND(31).cast("int")))
-        return F.coalesce(F.shiftleft(rank.cast("bigint"), 46) + p.bitwiseAND((1 << 46) - 1), F.lit(-1).cast("bigint"))
+    def ranked(rank: Column, k: Column) -> Column:
+        return F.shiftleft(rank.cast("bigint"), 46) + F.get(bits, k)
 
     def merge(edges: Column, m: Column) -> Column:
         ends = F.shiftright(m, 23)
@@ -188,11 +190,11 @@ def fold_short_word(word: Column, rank_of) -> Column:
         return F.when(fits, edges - edges.bitwiseAND(m)).otherwise(edges)
 
     def pieces(edges: Column) -> Column:
-        return _let(F.filter(F.sequence(F.lit(0), n), lambda i: F.getbit(edges, i) == 1), lambda at: F.transform(
-            F.sequence(F.lit(1), F.size(at) - 1), lambda k: rank_of(F.substring(
+        return _let(F.filter(F.sequence(F.lit(0), n), lambda i: F.getbit(edges, i) == 1), lambda at: ranks_of(F.transform(
+            F.sequence(F.lit(1), F.size(at) - 1), lambda k: F.substring(
                 word, F.get(at, k - 1) + 1, F.get(at, k) - F.get(at, k - 1)))))
 
-    merges = F.sort_array(F.array_remove(F.transform(spans, ranked), F.lit(-1).cast("bigint")))
+    merges = F.sort_array(F.array_compact(ranks_of(subs, ranked)))
     all_edges = F.call_function("shiftleft", F.lit(1).cast("bigint"), n + 1) - 1
     return _let(F.aggregate(merges, all_edges, merge), pieces)
 
@@ -246,9 +248,25 @@ def ascending(ranks: dict[bytes, int]) -> bool:
     return True
 
 
-def _rank_lookup(constants: Constants, ranks: DataFrame):
+def _rank_lookups(constants: Constants, ranks: DataFrame):
+    """The rank of a string of bytes, NULL where it is no piece; and an array
+    of what ``found`` makes of the rank and place of each of an array's
+    strings, NULL where one is no piece. A number per bucket has a bit set for
+    each of its pieces: most other strings are told by it."""
     maps = constants.add(_bucketed(ranks, "piece", "rank", RANK_BUCKETS))
-    return lambda piece: _lookup(maps, piece, RANK_BUCKETS)
+    slot = lambda h: h.bitwiseAND(RANK_BUCKETS - 1).cast("int")
+    spot = lambda h: F.shiftright(h, 32).bitwiseAND(63).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), spot(F.xxhash64("piece")))
+    own = ranks.groupBy(slot(F.xxhash64("piece")).alias("slot")).agg(F.bit_or(one).alias("bits"))
+    every = ranks.sparkSession.range(RANK_BUCKETS).select(F.col("id").cast("int").alias("slot")).join(own, "slot", "left")
+    listed = F.array_sort(F.collect_list(F.struct("slot", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))))
+    marks = constants.add(every.agg(F.transform(listed, lambda s: s["bits"]).alias("marks")))
+
+    def of_all(strings: Column, found=lambda rank, k: rank) -> Column:
+        return _let(strings, lambda own: F.transform(F.transform(own, lambda s: F.xxhash64(s)), lambda h, k: F.when(
+            F.getbit(F.get(marks, slot(h)), spot(h)) == 1, found(F.try_element_at(F.get(maps, slot(h)), F.get(own, k)), k))))
+
+    return lambda piece: _lookup(maps, piece, RANK_BUCKETS), of_all
 
 
 def word_ids(texts: DataFrame, text: str, of_word, cache_docs: int = CACHE_DOCS,
@@ -355,15 +373,17 @@ def encode(docs: DataFrame, text: str, ids: str, ranks: DataFrame, cache_docs: i
     spark = docs.sparkSession
     by_piece = {bytes(r["piece"]): r["rank"] for r in ranks.collect()}   # the tokenizer's, a fixed number
     with Constants(spark) as constants:
-        rank_of = _rank_lookup(constants, ranks)
+        rank_of, ranks_of = _rank_lookups(constants, ranks)
         in_order = constants.add(_by_rank(ranks)) if ascending(by_piece) else None
 
         def of_word(word: Column) -> Column:
-            binary = word.cast("binary")
+            return _let(word.cast("binary"), of_binary)
+
+        def of_binary(binary: Column) -> Column:
             size = F.octet_length(binary)
             ids = F.when(size == 0, F.array().cast("array<int>"))   # the one word of an empty text
             if in_order is not None:
-                ids = ids.when(size <= SHORT_BYTES, fold_short_word(binary, rank_of)) \
+                ids = ids.when(size <= SHORT_BYTES, fold_short_word(binary, ranks_of)) \
                     .when(size > LONG_BYTES, fold_long_word(binary, rank_of, in_order))
             return ids.otherwise(fold_word(binary, rank_of))
 

@@ -201,7 +201,30 @@ def test_documents_read_back_from_the_files(spark, edge, empty, tmp_path, shard_
     assert token_shards.read_documents(spark, f"{tmp_path}/e").count() == 0
 
 
-# ------------------------------------------------------------------ long words
+# ------------------------------------------------------------- short and long words
+def test_ranks_of_many_strings_and_short_words_equal_a_plain_map(spark):
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 300, b"bc": 301, b"abc": 302, b"\xc3\xa9": 303, b"aa": 304}
+    table = spark.createDataFrame([(bytearray(k), v) for k, v in ranks.items()], "piece binary, rank int")
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aabcé") for _ in range(rng.randint(2, 10))) for _ in range(200)]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    with bpe.Constants(spark) as constants:
+        _, of_all = bpe._rank_lookups(constants, table)
+        b = df.word.cast("binary")
+        halves = F.array(b, F.substring(b, 1, 2), F.substring(b, 2, 3), F.lit(b""))
+        rows = df.select("word", of_all(halves).alias("found"), bpe.fold_short_word(b, of_all).alias("ids")).collect()
+    for r in rows:
+        w = r.word.encode()
+        assert r.found == [ranks.get(x) for x in (w, w[:2], w[1:4], b"")]
+        pieces = [w[i:i + 1] for i in range(len(w))]
+        while len(pieces) > 1:
+            best, at = min((ranks.get(x + y, 999), i) for i, (x, y) in enumerate(zip(pieces, pieces[1:])))
+            if best == 999:
+                break
+            pieces[at:at + 2] = [pieces[at] + pieces[at + 1]]
+        assert r.ids == [ranks[x] for x in pieces]
+
+
 def test_long_words_and_breaks_equal_tiktoken(spark):
     import tiktoken
     public = importlib.import_module("public_tokenizers")
