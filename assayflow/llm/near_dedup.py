@@ -45,7 +45,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType
 
 from assayflow.llm.common import cell_count, connected_components, joined_components, materialize, table
 from assayflow.llm.exact_dedup import repeated_cells, with_maybe
@@ -55,6 +54,8 @@ SIMILAR = 0.8
 SKETCHES, TAKE = 16, 2
 #: Second pass: members a block, and word pairs a step of their count.
 BLOCK, STEP = 128, 4096
+#: Texts a worker holds as Python strings at a time, and words whose hashes it keeps.
+TEXTS, KNOWN = 256, 1 << 15
 WORD = re.compile(r"[^\W_]+")
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -71,12 +72,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
     """Stable 64-bit hashes; ``known`` is a bounded cache."""
-    if len(known) > 500_000:
-        known.clear()
     out = []
     for w in words:
         h = known.get(w)
         if h is None:
+            if len(known) >= KNOWN:
+                known.clear()
             h = known[w] = xxhash.xxh3_64_intdigest(w)
         out.append(h)
     return np.array(out, dtype=np.uint64)
@@ -231,17 +232,24 @@ def _text_keys(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")]
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[str]]]]:
+    """Batches by ``TEXTS`` rows, with the words of their texts. Workers stay
+    for later tasks, so what a batch took goes back."""
+    for batch in batches:
+        for at in range(0, len(batch), TEXTS):
+            part = batch.slice(at, TEXTS)
+            yield part, [WORD.findall(t.lower()) if t else [] for t in part.column("text").to_pylist()]
+        del batch, part
+        pa.default_memory_pool().release_unused()
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, int] = {}
-    for batch in batches:
-        nodes, sizes, flat, ends = [], [], [np.empty(0, np.int64)], [0]
-        for text in batch.column("text").to_pylist():
-            words = WORD.findall(text.lower()) if text else []
-            sizes.append(len(words))
-            nodes.append(xxhash.xxh3_128_digest(" ".join(words)) if words else None)
-            if words:
-                flat.append(sketches(_word_hashes(words, known)))
-            ends.append(ends[-1] + (SKETCHES if words else 0))
+    for batch, texts in _stretches(batches):
+        nodes = [xxhash.xxh3_128_digest(" ".join(words)) if words else None for words in texts]
+        sizes = [len(words) for words in texts]
+        flat = [np.empty(0, np.int64), *[sketches(_word_hashes(words, known)) for words in texts if words]]
+        ends = np.cumsum([0, *[SKETCHES if words else 0 for words in texts]])
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(nodes, pa.binary()),
              pa.array(sizes, pa.int32()),
@@ -256,16 +264,21 @@ def signatures(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_signed, f"doc_id {kind}, k1 long, k2 long, node binary, n_words int, sketches array<long>")
 
 
-@F.pandas_udf(BinaryType())
-def _packed(texts: pd.Series) -> pd.Series:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, int] = {}
-    return pd.Series([_word_hashes(WORD.findall(t.lower()), known).tobytes() for t in texts])
+    for batch, texts in _stretches(batches):
+        words = pa.array([_word_hashes(words, known).tobytes() for words in texts], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("node"), words], names=["node", "words"])
 
 
-@F.pandas_udf(BooleanType())
-def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
-    read = lambda x: np.frombuffer(x, dtype=np.uint64)
-    return pd.Series([alike(read(x), read(y)) for x, y in zip(a, b)], dtype=bool)
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that are near duplicates; words are read where they lie."""
+    read = lambda cell: np.frombuffer(cell.as_buffer(), dtype=np.uint64)
+    for batch in batches:
+        near = [alike(read(a), read(b)) for a, b in zip(batch.column("words_a"), batch.column("words_b"), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(n).filter(pa.array(near, pa.bool_())) for n in "ab"], names=["a", "b"])
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 # ------------------------------------------------------------------ links
@@ -273,7 +286,7 @@ def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """The pairs (a, b) that are near duplicates."""
     side = lambda n: words.select(F.col("node").alias(n), F.col("words").alias(f"words_{n}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.filter(_alike("words_a", "words_b")).select("a", "b")
+    return both.select("a", "b", "words_a", "words_b").mapInArrow(_alike, "a binary, b binary")
 
 
 def _block_links(members: pd.DataFrame) -> pd.DataFrame:
@@ -338,7 +351,7 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]
     wanted = members.select("node").distinct().join(nodes.select("node", "k1", "k2"), "node")
     texts = docs.select(*_text_keys(F.col("text")), "text").join(wanted, ["k1", "k2"])
     words = materialize(texts.groupBy("node").agg(F.first("text").alias("text"))
-                        .select("node", _packed("text").alias("words")))
+                        .mapInArrow(_packed, "node binary, words binary"))
     links = materialize(_verified(stars, words))
     components = connected_components(links)
     more = materialize(_apart(members, components, nodes.select("node", "sketches").join(words, "node")))

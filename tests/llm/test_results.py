@@ -342,6 +342,26 @@ def test_no_link_between_texts_is_lost(spark):
     assert len({of[i] for i in range(len(texts) - 120, len(texts))}) == 120
 
 
+def test_workers_hold_few_texts_and_words():
+    import pyarrow as pa
+    import xxhash
+    known = {}
+    words = [f"w{i}" for i in range(3 * near_dedup.KNOWN)]
+    hashes = near_dedup._word_hashes(words, known)
+    assert len(known) <= near_dedup.KNOWN and hashes[-1] == xxhash.xxh3_64_intdigest(words[-1])
+    texts = ["One two", None, "", "one, two three"] * near_dedup.TEXTS
+    batch = pa.RecordBatch.from_pydict({"node": pa.array([b"%d" % i for i in range(len(texts))]), "text": pa.array(texts)})
+    packed = list(near_dedup._packed(iter([batch])))
+    assert max(map(len, packed)) <= near_dedup.TEXTS and sum(map(len, packed)) == len(texts)
+    cells = pa.Table.from_batches(packed).combine_chunks().column("words").combine_chunks()
+    want = [near_dedup._word_hashes(near_dedup.WORD.findall((t or "").lower()), {}).tobytes() for t in texts]
+    assert cells.to_pylist() == want
+    pairs = pa.RecordBatch.from_pydict({"a": [b"1", b"2"], "b": [b"3", b"4"], "words_a": pa.array([want[0], want[0]]),
+                                        "words_b": pa.array([want[3], want[4]])})
+    kept = list(near_dedup._alike(iter([pairs.slice(1), pairs])))
+    assert [k.to_pydict() for k in kept] == [{"a": [b"2"], "b": [b"4"]}] * 2
+
+
 def test_a_repeated_shingle_changes_no_other_label(spark):
     rng = random.Random(10)
     page = [f"w{rng.randint(0, 5000)}" for _ in range(1000)]
