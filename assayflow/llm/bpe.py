@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
-from assayflow.llm.common import long_array, materialize, table, words_expr
+from assayflow.llm.common import give_back, long_array, materialize, own_copy, table, words_expr
 
 #: Documents whose distinct words are folded beforehand, the most words kept
 #: of them, and the longest word kept (bytes): 100 MB at the very most.
@@ -80,8 +80,9 @@ def read_ranks(spark: SparkSession, path: str | None = None) -> DataFrame:
     path = path or importlib.import_module("public_tokenizers").path(TOKENIZER)
     with open(path, encoding="ascii") as lines:
         pairs = [line.split() for line in lines if line.strip()]
-    return spark.createDataFrame([(a, int(b)) for a, b in pairs], "b64 string, rank int").select(
-        F.unbase64("b64").alias("piece"), "rank")
+    # an Arrow table needs no Python worker of its own kind on the executors
+    read = pa.table({"b64": pa.array([a for a, _ in pairs], pa.string()), "rank": pa.array([int(b) for _, b in pairs], pa.int32())})
+    return spark.createDataFrame(read).select(F.unbase64("b64").alias("piece"), "rank")
 
 
 def _bucketed(entries: DataFrame, key: str, value: str, buckets: int) -> DataFrame:
@@ -317,7 +318,6 @@ def _index_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each run first its distinct words, a row each, then its documents
     with the index of every word (32-bit numbers)."""
     names = ["word", "at", "whole"]
-    pool = pa.default_memory_pool()
     for batch in batches:
         whole, joined, apart = batch.columns
         for at, end in _runs(joined):
@@ -330,8 +330,10 @@ def _index_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 None, pa.py_buffer(offsets.astype("<i4").tobytes()),
                 pa.py_buffer(coded.indices.to_numpy().astype("<i4").tobytes())])
             del lists, coded        # workers stay for later tasks: what a run took goes back
-            pool.release_unused()
-            yield pa.RecordBatch.from_arrays([pa.nulls(end - at, pa.string()), places, whole.slice(at, end - at)], names)
+            give_back()
+            yield pa.RecordBatch.from_arrays([pa.nulls(end - at, pa.string()), places, own_copy(whole.slice(at, end - at))], names)
+        del batch, whole, joined, apart
+    give_back()
 
 
 def _numbers(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -363,7 +365,12 @@ def _place_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = known.take(pa.array(places))
             size = np.r_[0, np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False))]
             ids = pa.ListArray.from_arrays(size[np.r_[0, ends]].astype(np.int32), found.flatten())
-            yield pa.RecordBatch.from_arrays([batch.column(2).slice(i, j - i), ids], ["whole", "ids"])
+            yield pa.RecordBatch.from_arrays([own_copy(batch.column(2).slice(i, j - i)), ids], ["whole", "ids"])
+            del places, found, ids
+        del batch
+        give_back()
+    del held, known
+    give_back()
 
 
 def encode(docs: DataFrame, text: str, ids: str, ranks: DataFrame, cache_docs: int = CACHE_DOCS,

@@ -3,9 +3,11 @@ intermediate tables, bounded bitmaps and connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """What a Python worker has freed goes back to the system. Workers stay
+    for later tasks, and the batches that Spark sends lie in the C heap, which
+    keeps them otherwise (other C libraries have no such call)."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.pythonapi, "malloc_trim", None)
+    if trim is not None:
+        trim(ctypes.c_size_t(0))
+
+
+def own_copy(column: pa.Array) -> pa.Array:
+    """A column apart from the batch that it was cut from, which is held as
+    long as one of its columns is."""
+    return pa.concat_arrays([column, column.slice(0, 0)])
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document belongs to the held-out quarter (NULL id: no)."""
     fold = F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))

@@ -55,7 +55,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType
 
-from assayflow.llm.common import materialize, table
+from assayflow.llm.common import give_back, materialize, table
 
 WORD = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
@@ -415,7 +415,9 @@ def _clean(text: Column, index: Index, spark: SparkSession) -> Column:
     @F.pandas_udf(BooleanType())
     def clean(texts: pd.Series) -> pd.Series:
         own = shared.value
-        return pd.Series([not own.matches(t) for t in texts], dtype=bool)
+        out = pd.Series([not own.matches(t) for t in texts], dtype=bool)
+        give_back()
+        return out
 
     return clean(text)
 

@@ -46,7 +46,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayflow.llm.common import cell_count, connected_components, joined_components, materialize, table
+from assayflow.llm.common import (
+    cell_count, connected_components, give_back, joined_components, materialize, own_copy, table,
+)
 from assayflow.llm.exact_dedup import repeated_cells, with_maybe
 
 SHINGLE = 5
@@ -233,14 +235,18 @@ def _text_keys(text: Column) -> list[Column]:
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[str]]]]:
-    """Batches by ``TEXTS`` rows, with the words of their texts. Workers stay
-    for later tasks, so what a batch took goes back."""
+    """Batches by ``TEXTS`` rows, their other columns as copies, with the words
+    of their texts. What a batch took goes back."""
     for batch in batches:
+        others = [n for n in batch.schema.names if n != "text"]
         for at in range(0, len(batch), TEXTS):
             part = batch.slice(at, TEXTS)
-            yield part, [WORD.findall(t.lower()) if t else [] for t in part.column("text").to_pylist()]
-        del batch, part
-        pa.default_memory_pool().release_unused()
+            words = [WORD.findall(t.lower()) if t else [] for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([own_copy(part.column(n)) for n in others], names=others), words
+            del part, words
+        del batch
+        give_back()
+    give_back()     # the last batch is free only once its reader has ended
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +284,8 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = [alike(read(a), read(b)) for a, b in zip(batch.column("words_a"), batch.column("words_b"), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(n).filter(pa.array(near, pa.bool_())) for n in "ab"], names=["a", "b"])
         del batch
-        pa.default_memory_pool().release_unused()
+        give_back()
+    give_back()
 
 
 # ------------------------------------------------------------------ links

@@ -24,7 +24,7 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from assayflow.llm.common import held_out, materialize, table
+from assayflow.llm.common import give_back, held_out, materialize, table
 
 WORD = re.compile(r"[^\W\d_]+")
 JVM_WORD = r"\p{L}+"
@@ -194,9 +194,13 @@ def probabilities(text: Column, chain: Chain, spark: SparkSession) -> Column:
     shared = spark.sparkContext.broadcast(chain)
 
     @F.pandas_udf(ArrayType(DoubleType()))
-    def predict(texts: pd.Series) -> pd.Series:
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = shared.value
-        return pd.Series(list(own.predict(own.rows((features_of(t) for t in texts), len(texts))).astype(float)))
+        for texts in batches:
+            yield pd.Series(list(own.predict(own.rows((features_of(t) for t in texts), len(texts))).astype(float)))
+            del texts
+            give_back()
+        give_back()
 
     return predict(text)
 

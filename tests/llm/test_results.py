@@ -4,8 +4,11 @@ programmes, every-pair searches, DuckDB, and held-out labels."""
 import base64
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import duckdb
@@ -362,6 +365,71 @@ def test_workers_hold_few_texts_and_words():
     assert [k.to_pydict() for k in kept] == [{"a": [b"2"], "b": [b"4"]}] * 2
 
 
+LEAN_WORKER = """
+import re, sys
+import pyarrow as pa
+from assayflow.llm import bpe, near_dedup
+from assayflow.llm.common import give_back
+
+def megabytes():
+    told = open("/proc/self/smaps_rollup").read()
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", told))) / 1024
+
+def batches(path):
+    with open(path, "rb") as stream, pa.ipc.open_stream(stream) as reader:
+        yield from reader
+
+def write(path, columns):
+    one = pa.RecordBatch.from_pydict(columns)
+    with pa.OSFile(path, "wb") as sink, pa.ipc.new_stream(sink, one.schema) as out:
+        out.write_batch(one)
+        out.write_batch(one)
+
+text, n, folder = " ".join("abcdefgh"[i % 8] * 108 for i in range(30)), 8000, sys.argv[1]
+ids = pa.array(range(n))
+write(folder + "/near", {"doc_id": ids, "k1": ids, "k2": ids, "node": pa.array([b"x"] * n), "text": pa.array([text] * n)})
+write(folder + "/bpe", {"whole": ids, "joined": pa.array([text.replace(" ", " \\x1e")] * n), "apart": pa.nulls(n, pa.list_(pa.string()))})
+for path, worker in (("near", near_dedup._signed), ("near", near_dedup._packed), ("bpe", bpe._index_words)):
+    for again in range(3):
+        if again == 1:          # what a worker loads once does not count
+            give_back()
+            before = megabytes()
+        for out in worker(batches(folder + "/" + path)):
+            pass
+        del out
+    assert megabytes() - before < 12, (worker.__name__, round(megabytes() - before))
+"""
+
+
+def test_an_idle_worker_keeps_no_batch(tmp_path):
+    """Two batches of 27 MB, read from a stream as Spark's workers do."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = os.pathsep.join([root, os.environ.get("PYTHONPATH", "")])
+    ran = subprocess.run([sys.executable, "-c", LEAN_WORKER, str(tmp_path)], env=os.environ | {"PYTHONPATH": paths},
+                         capture_output=True, text=True, timeout=300)
+    assert not ran.returncode, ran.stderr[-1000:]
+
+
+def test_what_workers_return_holds_no_batch():
+    """A batch lies in one piece, which any of its columns would hold."""
+    import pyarrow as pa
+    ids, n = pa.array(range(600)), 600
+    columns = {"doc_id": ids, "k1": ids, "k2": ids, "node": pa.array([b"x"] * n), "text": pa.array(["some words"] * n),
+               "whole": ids, "joined": pa.array(["some \x1ewords\x1e"] * n), "apart": pa.nulls(n, pa.list_(pa.string()))}
+    one = pa.RecordBatch.from_pydict(columns)
+    given = {b.address for c in one.columns for b in c.buffers() if b is not None}
+    for worker, names in ((near_dedup._signed, ["doc_id", "k1", "k2", "text"]), (near_dedup._packed, ["node", "text"]),
+                          (bpe._index_words, ["whole", "joined", "apart"])):
+        batch = one.select(names)
+        out = list(worker(iter([batch])))
+        kept = {"doc_id", "node", "whole"} & set(names) & set(out[0].schema.names)
+        assert kept
+        for name in kept - ({"node"} if worker is near_dedup._signed else set()):
+            got = pa.concat_arrays([o.column(name) for o in out]).drop_null()
+            assert got.equals(batch.column(name))
+            assert not given & {b.address for o in out for b in o.column(name).buffers() if b is not None}
+
+
 def test_a_repeated_shingle_changes_no_other_label(spark):
     rng = random.Random(10)
     page = [f"w{rng.randint(0, 5000)}" for _ in range(1000)]
