@@ -12,8 +12,9 @@ steps, each merge replaced in the whole word at once, which costs time in
 proportion to their length. Decoding looks up the bytes of every id and
 concatenates the pieces.
 
-Of a short word all substrings that are pieces are looked up; the fold takes
-them in the order of their ranks and merges where the boundaries allow it.
+Of a short word all substrings are looked up in a table of cells by their
+hash; the fold takes those that may be pieces in the order of their ranks and
+merges where the boundaries allow it and the piece is the same string.
 
 A run is worked on inside one task without a shuffle: its distinct words
 travel ahead of its documents. The rank map and the pieces, constants of the
@@ -52,7 +53,8 @@ RUN_BYTES = 1 << 23
 SHORT_BYTES, LONG_BYTES = 22, 2048
 #: Follows every word of a text on the way to Python.
 BREAK = "\x1e"
-RANK_BUCKETS = 1 << 15
+#: Powers of two: the cells of the ranks, the buckets of the map for shared cells.
+RANK_CELLS, RANK_BUCKETS = 1 << 20, 1 << 12
 #: Stands for "no merge" in the fold.
 NO_RANK = 1 << 30
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -87,7 +89,7 @@ def read_ranks(spark: SparkSession, path: str | None = None) -> DataFrame:
 
 def _bucketed(entries: DataFrame, key: str, value: str, buckets: int) -> DataFrame:
     """One row: an array over buckets of maps key -> value."""
-    slot = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    slot = F.hash(key).bitwiseAND(buckets - 1)
     maps = entries.groupBy(slot.alias("slot")).agg(
         F.map_from_entries(F.collect_list(F.struct(key, value))).alias("m"))
     kind = maps.schema["m"].dataType.simpleString()
@@ -122,7 +124,7 @@ class Constants:
 
 
 def _lookup(maps: Column, key: Column, buckets: int) -> Column:
-    return F.try_element_at(F.get(maps, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), key)
+    return F.try_element_at(F.get(maps, F.hash(key).bitwiseAND(buckets - 1)), key)
 
 
 def _let(value: Column, body) -> Column:
@@ -169,35 +171,39 @@ def _spans() -> list[tuple[int, int]]:
     return [(i, j) for j in range(2, SHORT_BYTES + 1) for i in range(j - 1)]
 
 
-def fold_short_word(word: Column, ranks_of) -> Column:
+def fold_short_word(word: Column, ranks_of: Ranks) -> Column:
     """Ids of a word of at most ``SHORT_BYTES`` bytes (binary) where ranks grow
     with every merge: a fold over the word's ranked merges, lowest rank first,
     then leftmost. A merge happens if its ends are boundaries and exactly one
-    boundary lies between; that one goes. A merge is a number: its rank, the
-    bits of both ends and the bits between (23 bits each)."""
+    boundary lies between; that one goes. A merge is a number: the rank in its
+    cell and the number of its span. The state is one too: the bits of the
+    places that are no boundary, then (23 bits) of those that are."""
     n = F.octet_length(word)
+    spans = F.slice(F.expr(f"sequence(0, {len(_spans()) - 1})"), F.lit(1), F.shiftright(n * (n - 1), 1))
     starts = long_array([i + 1 for i, _ in _spans()]).cast("array<int>")
     sizes = long_array([j - i for i, j in _spans()]).cast("array<int>")
     bits = long_array([(1 << i | 1 << j) << 23 | (1 << j) - (2 << i) for i, j in _spans()])
-    subs = F.transform(F.slice(starts, F.lit(1), F.shiftright(n * (n - 1), 1)),
-                       lambda start, k: F.substring(word, start, F.get(sizes, k)))
-
-    def ranked(rank: Column, k: Column) -> Column:
-        return F.shiftleft(rank.cast("bigint"), 46) + F.get(bits, k)
-
-    def merge(edges: Column, m: Column) -> Column:
-        ends = F.shiftright(m, 23)
-        fits = (F.bit_count(edges.bitwiseAND(m)) == 1) & (edges.bitwiseAND(ends) == ends.bitwiseAND((1 << 23) - 1))
-        return F.when(fits, edges - edges.bitwiseAND(m)).otherwise(edges)
-
-    def pieces(edges: Column) -> Column:
-        return _let(F.filter(F.sequence(F.lit(0), n), lambda i: F.getbit(edges, i) == 1), lambda at: ranks_of(F.transform(
+    string = lambda k: F.substring(word, F.get(starts, k), F.get(sizes, k))
+    span = lambda m: m.bitwiseAND(255).cast("int")
+    numbered = lambda rank, k: F.shiftleft(rank.cast("bigint"), 8) + k
+
+    def merge(state: Column, m: Column) -> Column:
+        met = state.bitwiseAND(F.get(bits, span(m)))
+        # a cell's rank may be another string's, so the piece is compared where it matters
+        fits = (met < 1 << 23) & (F.bit_count(met) == 1) & (F.get(ranks_of.by_rank, F.shiftright(m, 8).cast("int")) == string(span(m)))
+        return F.when(fits, state + met * ((1 << 23) - 1)).otherwise(state)
+
+    def pieces(state: Column) -> Column:
+        return _let(F.filter(F.sequence(F.lit(0), n), lambda i: F.getbit(state, i) == 1), lambda at: ranks_of(F.transform(
             F.sequence(F.lit(1), F.size(at) - 1), lambda k: F.substring(
                 word, F.get(at, k - 1) + 1, F.get(at, k) - F.get(at, k - 1)))))
 
-    merges = F.sort_array(F.array_compact(ranks_of(subs, ranked)))
+    cell_of = lambda k: ranks_of.cell_of(string(k))
+    merges = F.transform(F.filter(spans, lambda k: cell_of(k).isNotNull()), lambda k: numbered(cell_of(k), k))
+    # where pieces share a cell the rank is looked up; NULL (no piece) merges nothing
+    sure = F.transform(merges, lambda m: F.when(m >= 0, m).otherwise(numbered(ranks_of.rank_of(string(span(m))), span(m))))
     all_edges = F.call_function("shiftleft", F.lit(1).cast("bigint"), n + 1) - 1
-    return _let(F.aggregate(merges, all_edges, merge), pieces)
+    return _let(F.aggregate(F.sort_array(sure), all_edges, merge), pieces)
 
 
 def _code(rank: Column) -> Column:
@@ -249,25 +255,44 @@ def ascending(ranks: dict[bytes, int]) -> bool:
     return True
 
 
+class Ranks:
+    """Ranks of strings of bytes. A string's cell, by its hash, holds the rank
+    of the only piece there, -1 where pieces share it, NULL where there is
+    none; the pieces of shared cells are in a map."""
+
+    def __init__(self, constants: Constants, ranks: DataFrame):
+        self.by_rank = constants.add(_by_rank(ranks))
+        placed = ranks.withColumn("cell", _cell(F.col("piece")))
+        taken = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("rank"))
+        at, n, rank = np.array(taken.collect(), np.int64).reshape(-1, 3).T   # the tokenizer's, a fixed number
+        held, empty = np.full(RANK_CELLS, -1, np.int32), np.ones(RANK_CELLS, bool)
+        held[at[n == 1]], empty[at] = rank[n == 1], False
+        cells = pa.ListArray.from_arrays([0, RANK_CELLS], pa.array(held, mask=empty))
+        self.cells = constants.add(ranks.sparkSession.createDataFrame(pa.table({"cells": cells})))
+        shared = placed.join(taken.filter("n > 1").select("cell"), "cell", "left_semi")
+        self.maps = constants.add(_bucketed(shared, "piece", "rank", RANK_BUCKETS))
+
+    def cell_of(self, string: Column) -> Column:
+        return F.get(self.cells, _cell(string))
+
+    def rank_of(self, string: Column) -> Column:
+        """NULL where the string is no piece."""
+        return _let(string, lambda s: F.when(F.get(self.by_rank, self.cell_of(s)) == s, self.cell_of(s)).when(
+            self.cell_of(s) < 0, _lookup(self.maps, s, RANK_BUCKETS)))
+
+    def __call__(self, strings: Column) -> Column:
+        """The rank of each of an array's strings."""
+        return F.transform(strings, self.rank_of)
+
+
+def _cell(string: Column) -> Column:
+    return F.hash(string).bitwiseAND(RANK_CELLS - 1)
+
+
 def _rank_lookups(constants: Constants, ranks: DataFrame):
-    """The rank of a string of bytes, NULL where it is no piece; and an array
-    of what ``found`` makes of the rank and place of each of an array's
-    strings, NULL where one is no piece. A number per bucket has a bit set for
-    each of its pieces: most other strings are told by it."""
-    maps = constants.add(_bucketed(ranks, "piece", "rank", RANK_BUCKETS))
-    slot = lambda h: h.bitwiseAND(RANK_BUCKETS - 1).cast("int")
-    spot = lambda h: F.shiftright(h, 32).bitwiseAND(63).cast("int")
-    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), spot(F.xxhash64("piece")))
-    own = ranks.groupBy(slot(F.xxhash64("piece")).alias("slot")).agg(F.bit_or(one).alias("bits"))
-    every = ranks.sparkSession.range(RANK_BUCKETS).select(F.col("id").cast("int").alias("slot")).join(own, "slot", "left")
-    listed = F.array_sort(F.collect_list(F.struct("slot", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))))
-    marks = constants.add(every.agg(F.transform(listed, lambda s: s["bits"]).alias("marks")))
-
-    def of_all(strings: Column, found=lambda rank, k: rank) -> Column:
-        return _let(strings, lambda own: F.transform(F.transform(own, lambda s: F.xxhash64(s)), lambda h, k: F.when(
-            F.getbit(F.get(marks, slot(h)), spot(h)) == 1, found(F.try_element_at(F.get(maps, slot(h)), F.get(own, k)), k))))
-
-    return lambda piece: _lookup(maps, piece, RANK_BUCKETS), of_all
+    """The rank of a string of bytes, and of an array's strings."""
+    found = Ranks(constants, ranks)
+    return found.rank_of, found
 
 
 def word_ids(texts: DataFrame, text: str, of_word, cache_docs: int = CACHE_DOCS,
@@ -381,7 +406,7 @@ def encode(docs: DataFrame, text: str, ids: str, ranks: DataFrame, cache_docs: i
     by_piece = {bytes(r["piece"]): r["rank"] for r in ranks.collect()}   # the tokenizer's, a fixed number
     with Constants(spark) as constants:
         rank_of, ranks_of = _rank_lookups(constants, ranks)
-        in_order = constants.add(_by_rank(ranks)) if ascending(by_piece) else None
+        in_order = ascending(by_piece)
 
         def of_word(word: Column) -> Column:
             return _let(word.cast("binary"), of_binary)
@@ -389,9 +414,9 @@ def encode(docs: DataFrame, text: str, ids: str, ranks: DataFrame, cache_docs: i
         def of_binary(binary: Column) -> Column:
             size = F.octet_length(binary)
             ids = F.when(size == 0, F.array().cast("array<int>"))   # the one word of an empty text
-            if in_order is not None:
+            if in_order:
                 ids = ids.when(size <= SHORT_BYTES, fold_short_word(binary, ranks_of)) \
-                    .when(size > LONG_BYTES, fold_long_word(binary, rank_of, in_order))
+                    .when(size > LONG_BYTES, fold_long_word(binary, rank_of, ranks_of.by_rank))
             return ids.otherwise(fold_word(binary, rank_of))
 
         cache = materialize(word_ids(docs, text, of_word, cache_docs)).withColumnRenamed("ids", "known")

@@ -225,6 +225,33 @@ def test_ranks_of_many_strings_and_short_words_equal_a_plain_map(spark):
         assert r.ids == [ranks[x] for x in pieces]
 
 
+def test_short_words_whose_substrings_share_cells_equal_a_plain_fold(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "RANK_CELLS", 256)   # most cells are shared, or hold another string's rank
+    ranks = {bytes([b]): b for b in range(256)} | {
+        p: 256 + i for i, p in enumerate([b"ab", b"bc", b"abc", b"cab", b"aa", b"aaaa", b"abcab", b"\xc3\xa9"])}
+    assert bpe.ascending(ranks)
+    table = spark.createDataFrame([(bytearray(k), v) for k, v in ranks.items()], "piece binary, rank int")
+    rng = random.Random(7)
+    words = ["".join(rng.choice("aabcé") for _ in range(rng.randint(1, 11))) for _ in range(300)] + ["a" * 22, "abc" * 7]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    with bpe.Constants(spark) as constants:
+        found = bpe.Ranks(constants, table)
+        cells = df.select(found.cell_of(F.col("word").cast("binary")).alias("cell")).distinct().collect()
+        rows = df.select("word", found.rank_of(F.col("word").cast("binary")).alias("own"),
+                         bpe.fold_short_word(F.col("word").cast("binary"), found).alias("ids")).collect()
+    assert len(cells) > 2 and (-1,) in cells
+    for r in rows:
+        w = r.word.encode()
+        assert r.own == ranks.get(w)
+        pieces = [w[i:i + 1] for i in range(len(w))]
+        while len(pieces) > 1:
+            best, at = min((ranks.get(x + y, 999), i) for i, (x, y) in enumerate(zip(pieces, pieces[1:])))
+            if best == 999:
+                break
+            pieces[at:at + 2] = [pieces[at] + pieces[at + 1]]
+        assert r.ids == [ranks[x] for x in pieces]
+
+
 def test_long_words_and_breaks_equal_tiktoken(spark):
     import tiktoken
     public = importlib.import_module("public_tokenizers")
